@@ -19,6 +19,7 @@ longer than a block makes a block of its own.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,75 +37,140 @@ MAGIC = b"RPG1"
 HEADER = struct.Struct("<7I")
 END_ID = 1
 #: Distinct words a worker keeps ids of; beyond it the store starts again.
-VOCABULARY_WORDS = 1 << 20
+VOCABULARY_WORDS = 1 << 21
+_CUT_KIND = tk.KIND.copy()
+_CUT_KIND[128:] = 0
+_CUT_KIND[[ord(c) for c in "'<|>"]] = 0
 
 
 class WordEncoder:
-    """ids of whole texts, each distinct word encoded once.
-
-    Correct for tokenizers whose normaliser and pre-tokenizer never look across ASCII
-    white space and drop it, which ``tests/llm/test_repair.py`` holds against whole-text
-    encoding.  ``fold`` says that the normaliser lower-cases, so words may be folded first.
+    """ids of whole texts, each distinct unit (a word or a part of one) encoded once.
+
+    Units are words, cut further between an ASCII letter, digit or sign and a neighbour of
+    another of these kinds, except next to ``'<|>``.  That is correct for tokenizers whose
+    normaliser and pre-tokenizer never look across such places and drop white space, which
+    ``tests/llm/test_repair.py`` holds against whole-text encoding.  ``fold`` says that the
+    normaliser lower-cases, so units may be folded first.  ``mark`` is a special token that
+    keeps the units of one call apart.
     """
 
-    def __init__(self, path: str, fold: bool = True):
+    def __init__(self, path: str, fold: bool = True, mark: str = "<|startoftext|>"):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.fold = fold
+        self.fold, self.mark, self.mark_id = fold, mark, self.tokenizer.token_to_id(mark)
         self.clear()
 
     def clear(self) -> None:
+        self.slots = np.full(2 * VOCABULARY_WORDS, -1, np.int32)  # open addressing
         self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.at = np.zeros(0, np.int32)
+        self.size = np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.int32)
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.int32, int(size.sum()))
-        at = len(self.flat) + np.cumsum(size) - size
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.at = np.concatenate([self.at, at])[order]
-        self.size = np.concatenate([self.size, size])[order]
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Each hash's unit, or -1."""
+        top, shift = len(self.slots), np.uint64(64 - (len(self.slots) - 1).bit_length())
+        found = np.full(len(hashes), -1, np.int64)
+        if not len(self.keys):
+            return found
+        place = (hashes >> shift).astype(np.int64)
+        unit = self.slots[place]
+        good = (unit >= 0) & (self.keys[unit] == hashes)
+        found[good] = unit[good]
+        todo = np.flatnonzero(~good & (unit >= 0))
+        place = place[todo]
+        while len(todo):
+            place = (place + 1) % top
+            unit = self.slots[place]
+            good = (unit >= 0) & (self.keys[unit] == hashes[todo])
+            found[todo[good]] = unit[good]
+            more = ~good & (unit >= 0)
+            todo, place = todo[more], place[more]
+        return found
+
+    def _learn(self, keys: np.ndarray, units: list[str]) -> None:
+        ids: list[np.ndarray] = []
+        for k in range(0, len(units), 4096):
+            some = units[k : k + 4096]
+            if any(self.mark in u for u in some):
+                for u in some:
+                    ids += [np.array(self.tokenizer.encode(u, add_special_tokens=False).ids, np.int32), np.array([self.mark_id], np.int32)]
+            else:
+                ids += [np.array(self.tokenizer.encode(self.mark.join(some), add_special_tokens=False).ids, np.int32), np.array([self.mark_id], np.int32)]
+        if any(self.mark in u for u in units):
+            parts = ids[0::2] if len(ids) == 2 * len(units) else [np.array(self.tokenizer.encode(u, add_special_tokens=False).ids, np.int32) for u in units]
+            size = np.array([len(p) for p in parts], np.int64)
+            flat = np.concatenate(parts)
+        else:
+            flat = np.concatenate(ids)
+            stops = np.flatnonzero(flat == self.mark_id)
+            size = np.diff(stops, prepend=-1) - 1
+            flat = np.delete(flat, stops)
+        n = len(self.keys)
+        self.at = np.concatenate([self.at, (len(self.flat) + np.cumsum(size) - size).astype(np.int32)])
+        self.size = np.concatenate([self.size, size.astype(np.int32)])
         self.flat = np.concatenate([self.flat, flat])
+        self.keys = np.concatenate([self.keys, keys])
+        place = (keys >> np.uint64(64 - (len(self.slots) - 1).bit_length())).astype(np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):
+            free = self.slots[place] < 0
+            _, first = np.unique(place[free], return_index=True)
+            put = np.flatnonzero(free)[first]
+            self.slots[place[put]] = n + todo[put]
+            left = np.ones(len(todo), bool)
+            left[put] = False
+            todo, place = todo[left], (place[left] + 1) % len(self.slots)
+
+    def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends, and where each document's units begin (n_docs + 1)."""
+        starts, ends, _ = tk.words(data, offsets)
+        kind = _CUT_KIND[data]
+        cut = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+        cut = np.flatnonzero(cut) + 1
+        edge = np.zeros(len(data) + 1, bool)
+        edge[starts], edge[cut] = True, True
+        out = np.flatnonzero(edge)
+        stop = np.zeros(len(data) + 1, bool)
+        stop[ends], stop[cut] = True, True
+        # a document boundary inside a run of text starts a word already, so cuts there coincide
+        return out, np.flatnonzero(stop), np.searchsorted(out, offsets)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids per document) of a chunk, each document closed by END_ID."""
-        starts, ends, begins = tk.words(data, offsets)
+        starts, ends, begins = self.units(data, offsets)
         fold = self.fold and b"<|" not in data.tobytes()  # special tokens heed case
         hashes = tk.word_hashes(tk.LOWER[data] if fold else data, starts, ends)
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(unique) > VOCABULARY_WORDS:
-            self.clear()
-        slot = np.searchsorted(self.keys, unique)
-        known = (slot < len(self.keys)) & (self.keys[np.minimum(slot, len(self.keys) - 1)] == unique if len(self.keys) else False)
-        if not np.all(known):
-            new = np.flatnonzero(~known)
+        unit = self._find(hashes)
+        missing = np.flatnonzero(unit < 0)
+        if len(missing):
+            new, first = np.unique(hashes[missing], return_index=True)
+            if len(self.keys) + len(new) > VOCABULARY_WORDS and len(self.keys):
+                self.clear()
+                return self.encode(data, offsets)
             raw = data.tobytes()
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            self._learn(unique[new], texts)
-            slot = np.searchsorted(self.keys, unique)
-        at, size = self.at[slot][inverse], self.size[slot][inverse]
-        # a slot for the end id after the last word of each document
-        n_docs = len(offsets) - 1
-        size_all = np.insert(size, begins[1:], 1)
-        is_end = np.insert(np.zeros(len(size), bool), begins[1:], True)
-        at_all = np.insert(at, begins[1:], 0)
-        total = int(size_all.sum())
-        out_at = np.cumsum(size_all) - size_all
-        source = np.repeat(at_all - out_at, size_all) + np.arange(total)
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[missing[first]].tolist(), ends[missing[first]].tolist(), strict=True)]
+            self._learn(new, texts)
+            unit[missing] = self._find(hashes[missing])
+        # a slot for the end id after the last unit of each document
+        n_docs, n = len(offsets) - 1, len(unit)
+        size = np.ones(n + n_docs, np.int64)
+        at = np.zeros(n + n_docs, np.int64)
+        place = np.arange(n) + np.repeat(np.arange(n_docs), np.diff(begins))
+        size[place], at[place] = self.size[unit], self.at[unit]
+        stop = np.cumsum(size)
+        source = np.repeat(at - (stop - size), size)
+        source += np.arange(len(source))
         flat = self.flat if len(self.flat) else np.zeros(1, np.int32)
-        ids = flat[np.minimum(np.maximum(source, 0), len(flat) - 1)].astype(np.int64)
-        ids[out_at[is_end]] = END_ID
-        bounds = np.append(out_at[is_end] + 1, 0)[:n_docs]
-        return ids, np.diff(bounds, prepend=0)
+        ids = flat[np.minimum(source, len(flat) - 1)]
+        ends_at = stop[begins[1:] + np.arange(n_docs)]
+        ids[ends_at - 1] = END_ID
+        return ids, np.diff(ends_at, prepend=0)
 
 
-def repair(ids: np.ndarray, lengths: np.ndarray, rounds: int = 4, top: int = 1024, least: int = 8) -> tuple[np.ndarray, np.ndarray, list[int], int, np.ndarray]:
+def repair(ids: np.ndarray, lengths: np.ndarray, rounds: int = 3, top: int = 1024, least: int = 8) -> tuple[np.ndarray, np.ndarray, list[int], int, np.ndarray]:
     """(sequence, rules, rules a round, first nonterminal, symbols per document)."""
     seq = ids.astype(np.int64)
     base = first = int(seq.max()) + 1 if len(seq) else 0
@@ -256,7 +322,7 @@ def _encode_partition(path: str, block_ids: int, rounds: int):
     return run
 
 
-def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, shards: int | None = None, block_ids: int = 1 << 20, rounds: int = 4) -> str:
+def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, shards: int | None = None, block_ids: int = 1 << 20, rounds: int = 3) -> str:
     """Encode docs(doc_id, text) with the tokenizer file and write grammar blocks in
     ascending doc_id order; returns where they are."""
     spark = docs.sparkSession
