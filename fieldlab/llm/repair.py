@@ -60,6 +60,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.fold, self.mark, self.mark_id = fold, mark, self.tokenizer.token_to_id(mark)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -90,24 +93,32 @@ class WordEncoder:
             todo, place = todo[more], place[more]
         return found
 
+    def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units, ids per unit)."""
+        encode = lambda text: np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+        if all(map(str.isalpha, units)):  # one pre-token each, whose last id ends a word
+            flat = encode(" ".join(units))
+            stops = np.flatnonzero(self.closes[flat])
+            if len(stops) == len(units) and stops[-1] == len(flat) - 1:
+                return flat, np.diff(stops, prepend=-1)
+        if not any(self.mark in u for u in units):
+            flat = encode(self.mark.join(units))
+            stops = np.append(np.flatnonzero(flat == self.mark_id), len(flat))
+            return flat[flat != self.mark_id], np.diff(stops, prepend=-1) - 1
+        parts = [encode(u) for u in units]
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
     def _learn(self, keys: np.ndarray, units: list[str]) -> None:
-        ids: list[np.ndarray] = []
-        for k in range(0, len(units), 4096):
-            some = units[k : k + 4096]
-            if any(self.mark in u for u in some):
-                for u in some:
-                    ids += [np.array(self.tokenizer.encode(u, add_special_tokens=False).ids, np.int32), np.array([self.mark_id], np.int32)]
-            else:
-                ids += [np.array(self.tokenizer.encode(self.mark.join(some), add_special_tokens=False).ids, np.int32), np.array([self.mark_id], np.int32)]
-        if any(self.mark in u for u in units):
-            parts = ids[0::2] if len(ids) == 2 * len(units) else [np.array(self.tokenizer.encode(u, add_special_tokens=False).ids, np.int32) for u in units]
-            size = np.array([len(p) for p in parts], np.int64)
-            flat = np.concatenate(parts)
-        else:
-            flat = np.concatenate(ids)
-            stops = np.flatnonzero(flat == self.mark_id)
-            size = np.diff(stops, prepend=-1) - 1
-            flat = np.delete(flat, stops)
+        plain = np.fromiter(map(str.isalpha, units), bool, len(units))
+        order = np.argsort(~plain, kind="stable")
+        cut = int(plain.sum())
+        flats, sizes = [], []
+        for lo, hi in ((0, cut), (cut, len(units))):
+            for k in range(lo, hi, 4096):
+                flat, size = self._encode_units([units[i] for i in order[k : min(k + 4096, hi)].tolist()])
+                flats.append(flat)
+                sizes.append(size)
+        keys, flat, size = keys[order], np.concatenate(flats), np.concatenate(sizes)
         n = len(self.keys)
         self.at = np.concatenate([self.at, (len(self.flat) + np.cumsum(size) - size).astype(np.int32)])
         self.size = np.concatenate([self.size, size.astype(np.int32)])
@@ -172,7 +183,7 @@ class WordEncoder:
 
 def repair(ids: np.ndarray, lengths: np.ndarray, rounds: int = 3, top: int = 1024, least: int = 8) -> tuple[np.ndarray, np.ndarray, list[int], int, np.ndarray]:
     """(sequence, rules, rules a round, first nonterminal, symbols per document)."""
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.uint32)
     base = first = int(seq.max()) + 1 if len(seq) else 0
     last = np.zeros(len(seq), bool)
     last[np.cumsum(lengths)[lengths > 0] - 1] = True
@@ -181,18 +192,19 @@ def repair(ids: np.ndarray, lengths: np.ndarray, rounds: int = 3, top: int = 102
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        code = (seq[:-1] << 32) | seq[1:]
-        free = ~last[:-1]
-        slot = ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-        counts = np.bincount(slot[free], minlength=1 << 18)
+        slot = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(14)
+        slot[last[:-1]] = 1 << 18  # a pair that would span two documents
+        counts = np.bincount(slot, minlength=(1 << 18) + 1)
+        counts[1 << 18] = 0
         floor = max(least, int(np.partition(counts, -top)[-top]))
-        hot = np.flatnonzero(free & (counts[slot] >= floor))
-        pairs, n = np.unique(code[hot], return_counts=True)
+        hot = np.flatnonzero((counts >= floor)[slot])
+        code = (seq[hot].astype(np.int64) << 32) | seq[hot + 1]
+        pairs, n = np.unique(code, return_counts=True)
         pairs = np.sort(pairs[np.lexsort((pairs, -n))[:top]][np.sort(n)[::-1][:top] >= least])
         if not len(pairs):
             break
-        rank = np.searchsorted(pairs, code[hot])
-        fits = pairs[np.minimum(rank, len(pairs) - 1)] == code[hot]
+        rank = np.searchsorted(pairs, code)
+        fits = pairs[np.minimum(rank, len(pairs) - 1)] == code
         at, rank = hot[fits], rank[fits]
         # of overlapping pairs every other one, from the left
         fresh = np.diff(at, prepend=-2) != 1
@@ -219,7 +231,7 @@ def write_block(doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray,
     for k, (a, b) in enumerate(rules.tolist()):
         size[first + k] = size[a] + size[b]
     width = 2 if first + len(rules) <= 1 << 16 else 3 if first + len(rules) <= 1 << 24 else 4
-    packed = seq.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]
+    packed = seq.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4)[:, :width]
     return b"".join([
         MAGIC, HEADER.pack(len(doc_ids), len(ids), len(rules), len(per_round), len(seq), first, width),
         np.array(per_round, "<u4").tobytes(), rules.astype("<u4").tobytes(), size[first:].astype("<u4").tobytes(),
