@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, phrases, quality, repair, toxicity, urls
+from . import decontaminate, media, mixing, phrases, quality, repair, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op2_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, epochs=2)
 
@@ -48,7 +52,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_media_flac, op2_toxicity_ftrl, op6_mix_sources, op7_repeated_phrases, op8_url_filter, op9_token_ids, op10_quality_classifier)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_media_flac, op2_toxicity_ftrl, op5_decontaminate, op6_mix_sources, op7_repeated_phrases, op8_url_filter, op9_token_ids, op10_quality_classifier)}
 
 OP6_SQL = r"""
 WITH sizes AS (
