@@ -23,7 +23,6 @@ from .common import bytes_of, partitions
 
 #: Bytes of text in a group, and hashes in a bucket, on average.
 GROUP_BYTES, BUCKET_HASHES = 4 << 20, 3 << 20
-KEY_BYTES = 7
 
 
 def group_count(total_bytes: int) -> int:
@@ -54,17 +53,28 @@ def split(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.
     return owner[cut].astype(np.int64), cut, np.append(cut[1:], len(hashes))
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Values by byte planes, compressed: planes of small numbers take next to nothing."""
+    import zstandard
+
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(raw: bytes, kind: str) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def pack_keys(hashes: np.ndarray) -> bytes:
-    """The low 56 bits; with the bucket they tell hashes apart as well as 60 bits or more."""
-    wide = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
-    return np.ascontiguousarray(wide[:, :KEY_BYTES].T).tobytes()
+    """Sorted hashes as their differences."""
+    return pack(np.diff(hashes, prepend=np.uint64(0)).astype("<u8"))
 
 
 def unpack_keys(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(KEY_BYTES, -1)
-    wide = np.zeros((planes.shape[1], 8), np.uint8)
-    wide[:, :KEY_BYTES] = planes.T
-    return wide.view("<u8").ravel()
+    return np.cumsum(unpack(raw, "<u8"), dtype=np.uint64)
 
 
 SENT = "bucket int, g int, keys binary, data binary"
@@ -80,7 +90,7 @@ def _send(extract: Extract, buckets: int):
         hashes, values = extract(sort_table(table))
         owner, lo, hi = split(hashes, buckets)
         spans = list(zip(lo.tolist(), hi.tolist(), strict=True))
-        return pa.table({"bucket": pa.array(owner, pa.int32()), "g": pa.array([g] * len(owner), pa.int32()), "keys": pa.array([pack_keys(hashes[a:b]) for a, b in spans], pa.binary()), "data": pa.array([values[a:b].tobytes() for a, b in spans], pa.binary())})
+        return pa.table({"bucket": pa.array(owner, pa.int32()), "g": pa.array([g] * len(owner), pa.int32()), "keys": pa.array([pack_keys(hashes[a:b]) for a, b in spans], pa.binary()), "data": pa.array([pack(values[a:b]) for a, b in spans], pa.binary())})
 
     return run
 
@@ -89,7 +99,7 @@ def _answer(reduce: Reduce, kind: str):
     def run(table: pa.Table) -> pa.Table:
         groups = table.column("g").to_pylist()
         keys = [unpack_keys(k) for k in table.column("keys").to_pylist()]
-        values = np.concatenate([np.frombuffer(v, kind) for v in table.column("data").to_pylist()])
+        values = np.concatenate([unpack(v, kind) for v in table.column("data").to_pylist()])
         size = np.array([len(k) for k in keys])
         key = np.concatenate(keys)
         del keys
@@ -106,7 +116,7 @@ def _answer(reduce: Reduce, kind: str):
         back[order] = out
         cut = np.append(0, np.cumsum(size))
         bucket = table.column("bucket")[0].as_py()
-        return pa.table({"g": pa.array(groups, pa.int32()), "bucket": pa.array([bucket] * len(groups), pa.int32()), "data": pa.array([back[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())})
+        return pa.table({"g": pa.array(groups, pa.int32()), "bucket": pa.array([bucket] * len(groups), pa.int32()), "data": pa.array([pack(back[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())})
 
     return run
 
@@ -115,7 +125,7 @@ def ask(docs: DataFrame, extract: Extract, sent: str, reduce: Reduce, finish: Ca
     """Rows of ``finish`` for every group.
 
     extract(group) gives sorted distinct hashes and a value (dtype ``sent``) for each;
-    reduce(values, run starts, run of each) gives an answer (dtype ``answered``) for each
+    reduce(values, run starts, run of each) gives an answer (few different bytes travel best) (dtype ``answered``) for each
     value, where equal hashes stand together in one run; finish(group, answers in extract's
     order) gives rows of ``schema``.
     """
@@ -128,7 +138,7 @@ def ask(docs: DataFrame, extract: Extract, sent: str, reduce: Reduce, finish: Ca
 
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("bucket")
-        parts = [np.frombuffer(v, answered) for v in right.column("data").to_pylist()]
+        parts = [unpack(v, answered) for v in right.column("data").to_pylist()]
         return finish(sort_table(left), np.concatenate(parts) if parts else np.zeros(0, answered))
 
     return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(end, schema)

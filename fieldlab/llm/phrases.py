@@ -79,7 +79,8 @@ def _least_ids(size: int):
 
 
 def _reduce(values: np.ndarray, starts: np.ndarray, run_of: np.ndarray) -> np.ndarray:
-    return np.minimum.reduceat(values, starts)[run_of] if len(starts) else values
+    """The bits in which the corpus's least id differs from the group's: mostly none."""
+    return np.minimum.reduceat(values, starts)[run_of] ^ values if len(starts) else values
 
 
 def locate(g: Group, repeated: np.ndarray, first: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -150,14 +151,15 @@ def kept_digests(g: Group, gone: np.ndarray) -> list[str]:
     return out
 
 
-def removed(table: pa.Table, least: np.ndarray, size: int) -> tuple[Group, np.ndarray]:
+def removed(table: pa.Table, answers: np.ndarray, size: int) -> tuple[Group, np.ndarray]:
     """The group, and which of its words go."""
     g = Group(table, size)
     gone = np.zeros(len(g.words) + 1, np.int64)
     if len(g.windows):
         unique, where, inverse = np.unique(g.windows, return_index=True, return_inverse=True)
-        if len(unique) != len(least):
+        if len(unique) != len(answers):
             raise ValueError("answers don't fit the group")
+        least = g.key[g.doc[g.at[where]]] ^ answers
         index = np.full(len(g.words), -1, np.int64)
         index[g.at] = inverse
         later = g.key[g.doc[g.at]] > least[inverse]
@@ -173,8 +175,8 @@ def removed(table: pa.Table, least: np.ndarray, size: int) -> tuple[Group, np.nd
 def dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row of docs(doc_id, text)."""
 
-    def finish(table: pa.Table, least: np.ndarray) -> pa.Table:
-        g, gone = removed(table, least, size)
+    def finish(table: pa.Table, answers: np.ndarray) -> pa.Table:
+        g, gone = removed(table, answers, size)
         lost = np.append(0, np.cumsum(gone))
         return pa.table({"doc_id": pa.array(g.ids, pa.int64()), "n_words": pa.array(g.counts), "n_removed": pa.array(lost[g.begins[1:]] - lost[g.begins[:-1]]), "kept_sha256": pa.array(kept_digests(g, gone), pa.string())})
 
@@ -184,8 +186,8 @@ def dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
 def dedup_texts(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """(doc_id, text) with the kept words joined by one space."""
 
-    def finish(table: pa.Table, least: np.ndarray) -> pa.Table:
-        g, gone = removed(table, least, size)
+    def finish(table: pa.Table, answers: np.ndarray) -> pa.Table:
+        g, gone = removed(table, answers, size)
         raw = g.data.tobytes()
         texts = [b" ".join(raw[g.starts[k] : g.ends[k]] for k in np.flatnonzero(~gone[a:b]) + a).decode("utf-8", "replace") for a, b in zip(g.begins[:-1].tolist(), g.begins[1:].tolist(), strict=True)]
         return pa.table({"doc_id": pa.array(g.ids, pa.int64()), "text": pa.array(texts, pa.string())})
