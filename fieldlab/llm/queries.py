@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media, mixing, phrases, quality, repair, suffixes, toxicity, urls
+from . import decontaminate, jaccard, media, mixing, phrases, quality, repair, suffixes, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op2_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), size=5)
+
+
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(table(spark, sf_dir, "documents"), length=400)
 
@@ -56,7 +60,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_media_flac, op2_toxicity_ftrl, op4_suffix_array, op5_decontaminate, op6_mix_sources, op7_repeated_phrases, op8_url_filter, op9_token_ids, op10_quality_classifier)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_media_flac, op2_toxicity_ftrl, op3_jaccard_join, op4_suffix_array, op5_decontaminate, op6_mix_sources, op7_repeated_phrases, op8_url_filter, op9_token_ids, op10_quality_classifier)}
 
 OP6_SQL = r"""
 WITH sizes AS (
