@@ -18,7 +18,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -30,12 +30,17 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(batch.num_rows, np.int64)
         for lo, hi, data, offs in tk.chunks(batch, "text"):
             counts[lo:hi] = np.diff(tk.words(data, offs)[2])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(counts)], ["doc_id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("row"), pa.array(counts)], ["doc_id", "source", "row", "size"])
+
+
+def row_hash() -> Column:
+    """Tells rows apart by id, source and text."""
+    return F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.coalesce("source", F.lit("")), "text")
 
 
 def word_sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of each whole text."""
-    return docs.select("doc_id", "source", "text").mapInArrow(_sizes, "doc_id long, source string, size long")
+    """(doc_id, source, row, size): words of each whole text."""
+    return docs.select("doc_id", "source", "text", row_hash().alias("row")).mapInArrow(_sizes, "doc_id long, source string, row long, size long")
 
 
 def targets(sizes: DataFrame, weights: Sequence[int], share: float, epochs: int) -> DataFrame:
@@ -60,8 +65,8 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, epochs: int)
     return per.select("source", "source_size", F.when(line.isNull() | (F.col("w") * line > epochs * F.col("source_size")), (epochs * F.col("source_size")).cast("double")).otherwise(F.col("w") * line).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, epochs: int = 2) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of docs(doc_id, source, text)."""
+def taken_rows(docs: DataFrame, weights: Sequence[int], share: float, epochs: int) -> DataFrame:
+    """(doc_id, row, size, source_size, target, taken) for every row of docs."""
     sizes = materialize(word_sizes(docs).withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "mix-sizes")
     goal = targets(sizes, weights, share, epochs).withColumn("tag", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))
     rows = sizes.withColumn("tag", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))).withColumn("range", F.substring("key", 1, 3))
@@ -75,4 +80,21 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     budget = F.floor(F.col("target"))
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(F.lit(0))
     left = budget - whole * F.col("source_size") - F.col("range_at") - F.col("at")
-    return rows.select("doc_id", "size", "source_size", "target", (whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))).cast("long").alias("taken"))
+    return rows.select("doc_id", "row", "size", "source_size", "target", (whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, epochs: int = 2) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for every row of docs(doc_id, source, text)."""
+    return taken_rows(docs, weights, share, epochs).drop("row")
+
+
+def keep_taken(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, epochs: int = 2) -> DataFrame:
+    """The mixed rows of docs, with all their columns: a row stands once for every epoch that
+    takes any of its words, whole also where the budget cuts it.  Rows without words cost
+    nothing and stay once; rows alike in id, source and text are taken alike."""
+    name = next(n for n in ("row", *(f"row_{k}" for k in range(len(docs.columns) + 1))) if n not in docs.columns)
+    times = taken_rows(docs, weights, share, epochs)
+    times = times.groupBy("row").agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.greatest("size", F.lit(1))))).cast("int").alias("times"))
+    times = times.where("times > 0").select(F.col("row").alias(name), "times")
+    kept = docs.withColumn(name, row_hash()).join(times.withColumnRenamed("times", f"{name}_times"), name)
+    return kept.withColumn(f"{name}_times", F.explode(F.array_repeat(F.lit(0), F.col(f"{name}_times")))).select(*docs.columns)

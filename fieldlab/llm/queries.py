@@ -110,7 +110,10 @@ edges AS (
   SELECT u, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS v FROM goals WHERE r IS NOT NULL),
 both_ways AS (SELECT u, v FROM edges WHERE u <> '' AND v <> '' AND u <> v UNION SELECT v, u FROM edges WHERE u <> '' AND v <> '' AND u <> v),
 reach(a, b) AS (SELECT u, u FROM both_ways UNION SELECT reach.a, both_ways.v FROM reach JOIN both_ways ON reach.b = both_ways.u),
-inherited AS (SELECT a AS node, min(action) AS action FROM reach JOIN ruled ON reach.b = ruled.node WHERE action IS NOT NULL GROUP BY a)
+nodes AS (SELECT DISTINCT b AS node, regexp_extract(b, '^[^/]*') AS host, regexp_extract(b, '(?s)^[^/]*(.*)', 1) AS path FROM reach),
+node_rules AS (
+  SELECT node, (SELECT action FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC, action LIMIT 1) AS action FROM nodes),
+inherited AS (SELECT a AS node, min(action) AS action FROM reach JOIN node_rules ON reach.b = node_rules.node WHERE action IS NOT NULL GROUP BY a)
 SELECT page_id, host, path, rule, coalesce(ruled.action, inherited.action, 'allow') AS verdict
 FROM ruled LEFT JOIN inherited ON ruled.node = inherited.node
 """

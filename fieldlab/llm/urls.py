@@ -8,7 +8,7 @@ block reaches every other alias; a page's own rule always outranks its group.
 
 Cases: a null url, or one without ``://``, has empty host and path, fits no rule and is
 nobody's alias; repeated rows get equal verdicts; an empty table or no edges at all work;
-links to urls outside the table still join groups; extra columns are ignored.
+links to urls outside the table still join groups, and rules judge those urls too; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -76,8 +76,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], edges: DataFr
     ruled = ruled.withColumn("best", best_rule(F.col("host"), F.col("path"), rules)).withColumn("node", F.concat("host", "path"))
     found = links(pages) if edges is None else links(pages).union(edges.select("u", "v"))
     groups = components(found)
-    own = ruled.where("node <> '' and best is not null").select("node", F.col("best.action").alias("action")).distinct()
-    decided = groups.join(own, "node").groupBy("root").agg(F.min("action").alias("action"))  # 'allow' sorts before 'block'
+    own = best_rule(F.regexp_extract("node", "^[^/]*", 0), F.regexp_extract("node", "(?s)^[^/]*(.*)", 1), rules)
+    decided = groups.select("root", own.getField("action").alias("action")).where("action is not null").groupBy("root").agg(F.min("action").alias("action"))  # 'allow' sorts before 'block'
     inherited = groups.join(decided, "root").select("node", F.col("action").alias("inherited"))
     out = ruled.join(inherited, "node", "left")
     return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", "inherited", F.lit("allow")).alias("verdict"))
