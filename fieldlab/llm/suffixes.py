@@ -46,12 +46,12 @@ PACKET_BYTES, PACKET_RUNS = 1 << 20, 20_000
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, first start, last start, anchor hash, content hash) of every run, starts
-    counted in the chunk."""
+    """(document, first start, last start, anchor hash, content hash, anchor's place) of every
+    run, starts and places counted in the chunk."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     starts = np.arange(n - gram + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * tk.powers(tk._R, n), out=sums[1:])
@@ -62,7 +62,7 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     whole = owner[: n - length + 1] == owner[length - 1 :]
     at = np.flatnonzero(whole)
     if not len(at):
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     a = anchor[at]
     new = np.ones(len(at), bool)
     new[1:] = (a[1:] != a[:-1]) | (owner[at[1:]] != owner[at[:-1]])
@@ -71,10 +71,10 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     a = a[new]
     stop = last + length
     content = tk.mix((sums[stop] - sums[first]) * tk.powers(tk._R_INV, n)[first] + (stop - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (a - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-    return owner[first].astype(np.int64), first, last, h[a], content
+    return owner[first].astype(np.int64), first, last, h[a], content, a
 
 
-RUNS = "g int, doc_id long, tag long, anchor long, content long, first int, n int"
+RUNS = "g int, doc_id long, tag long, anchor long, content long, first int, n int, rel int"
 
 
 def _runs(length: int, gram: int):
@@ -82,9 +82,9 @@ def _runs(length: int, gram: int):
         for batch in batches:
             ids = batch.column("doc_id")
             for lo, hi, data, offs in tk.chunks(batch, "text"):
-                doc, first, last, anchor, content = runs_of(data, offs, length, gram)
+                doc, first, last, anchor, content, place = runs_of(data, offs, length, gram)
                 take = pa.array(doc + lo)
-                yield pa.RecordBatch.from_arrays([batch.column("g").take(take), ids.take(take), batch.column("tag").take(take), pa.array(anchor.astype(np.uint64).view(np.int64)), pa.array(content.astype(np.uint64).view(np.int64)), pa.array((first - offs[doc]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))], ["g", "doc_id", "tag", "anchor", "content", "first", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column("g").take(take), ids.take(take), batch.column("tag").take(take), pa.array(anchor.astype(np.uint64).view(np.int64)), pa.array(content.astype(np.uint64).view(np.int64)), pa.array((first - offs[doc]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array((place - first).astype(np.int32))], ["g", "doc_id", "tag", "anchor", "content", "first", "n", "rel"])
 
     return run
 
@@ -224,26 +224,66 @@ def intervals(flags: np.ndarray) -> np.ndarray:
 FOUND = "anchor long, content long, spans array<int>"
 
 
-def _sort_packets(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, int, int, bytes]] = []
-        held = 0
+def may_repeat(anchors: np.ndarray, rel: np.ndarray, contents: list[bytes], length: int, gram: int) -> np.ndarray:
+    """Which contents may share a string of ``length`` bytes with another of their anchor.
+
+    A string with its anchor j bytes in contains the piece of ``length - stride`` bytes that
+    begins ``stride * (j div stride)`` bytes before the anchor, so a content none of whose
+    few such pieces another one has can be left out.
+    """
+    stride = -(-(length - gram) // 8) or 1
+    size = np.array([len(c) for c in contents])
+    base = np.cumsum(size) - size
+    flat = np.frombuffer(b"".join(contents), np.uint8)
+    out = np.zeros(len(contents), bool)
+    for t in range((length - gram) // stride + 1):
+        start = rel - stride * t
+        fits = np.flatnonzero((start >= 0) & (start + length - stride <= size))
+        at = base[fits] + start[fits]
+        key = tk.mix(tk.span_hash(flat, at, at + length - stride) ^ tk.mix(anchors[fits].view(np.uint64)))
+        _, which, count = np.unique(key, return_inverse=True, return_counts=True)
+        out[fits[count[which] > 1]] = True
+    return out
+
 
-        def flush(upto: int) -> pa.RecordBatch:
-            some = rows[:upto]
-            flags = repeated_starts([r[3] for r in some], length)
-            spans = [intervals(f | (r[2] > 1)).astype(np.int32) for f, r in zip(flags, some, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.int64()), pa.array(spans, pa.list_(pa.int32()))], ["anchor", "content", "spans"])
+def _sort_packets(length: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[int, int, int, int, bytes]] = []  # wait for the suffix array
+        rows: list[tuple[int, int, int, int, bytes]] = []  # wait for the rest of their anchor
+        held = waiting = 0
+
+        def sift() -> list[pa.RecordBatch]:
+            nonlocal kept, rows, held, waiting
+            done = []
+            if rows:
+                live = may_repeat(np.array([r[0] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64), [r[4] for r in rows], length, gram)
+                kept += [r for r, x in zip(rows, live.tolist(), strict=True) if x]
+                done = [r for r, x in zip(rows, live.tolist(), strict=True) if not x and r[2] > 1]
+            held = sum(len(r[4]) for r in kept)
+            rows, waiting = [], 0
+            return [answer(done, [np.array([0, len(r[4]) - length + 1]) for r in done])] if done else []
+
+        def flush() -> list[pa.RecordBatch]:
+            nonlocal kept, held
+            flags = repeated_starts([r[4] for r in kept], length)
+            out = answer(kept, [intervals(f | (r[2] > 1)) for f, r in zip(flags, kept, strict=True)])
+            kept, held = [], 0
+            return [out]
+
+        def answer(some: list, spans: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.int64()), pa.array([x.astype(np.int32) for x in spans], pa.list_(pa.int32()))], ["anchor", "content", "spans"])
 
         for batch in batches:
-            for anchor, content, copies, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "copies", "bytes")), strict=True):
-                if held >= PACKET_BYTES and rows[-1][0] != anchor:  # an anchor's contents stay together
-                    yield flush(len(rows))
-                    rows, held = [], 0
-                rows.append((anchor, content, copies, raw))
-                held += len(raw)
-        if rows:
-            yield flush(len(rows))
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "copies", "rel", "bytes")), strict=True):
+                if waiting >= PACKET_BYTES and rows[-1][0] != row[0]:  # an anchor's contents stay together
+                    yield from sift()
+                    if held >= PACKET_BYTES:
+                        yield from flush()
+                rows.append(row)
+                waiting += len(row[4])
+        yield from sift()
+        if kept:
+            yield from flush()
 
     return run
 
@@ -263,14 +303,14 @@ def _string_hashes(length: int):
 def _fetch(length: int):
     def run(docs: pa.Table, wanted: pa.Table) -> pa.Table:
         """The bytes of wanted runs from the documents of a group."""
-        names = ["anchor", "content", "copies", "many", "bytes"]
+        names = ["anchor", "content", "copies", "many", "rel", "bytes"]
         texts: dict[tuple, bytes] = {}
         for key, tag, text in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "tag", "text")), strict=True):
             texts[key, tag] = text
-        rows = [wanted.column(c).to_pylist() for c in ("doc_id", "tag", "first", "n", "anchor", "content", "copies", "many")]
+        rows = [wanted.column(c).to_pylist() for c in ("doc_id", "tag", "first", "n", "anchor", "content", "copies", "many", "rel")]
         raw = {k: t.encode() for k, t in texts.items() if t is not None} if len(rows[0]) else {}
         parts = [raw[d, t][f : f + n + length - 1] for d, t, f, n, *_ in zip(*rows, strict=True)]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32())
         return pa.table([*(pa.array(c, k) for c, k in zip(rows[4:], kinds, strict=True)), pa.array(parts, pa.binary())], names=names)
 
     return run
@@ -314,7 +354,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool =
     rows = docs.select("doc_id", "text", exchange.group_of(groups).alias("g"), F.xxhash64("text").alias("tag"))
     runs = materialize(rows.where(F.octet_length("text") >= length).mapInArrow(_runs(length, gram), RUNS), "runs")
 
-    by_content = runs.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("g", "doc_id", "tag", "first", "n")).alias("at"))
+    by_content = runs.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("g", "doc_id", "tag", "first", "n", "rel")).alias("at"))
     by_content = materialize(by_content, "contents")
     by_anchor = by_content.groupBy("anchor").agg(F.count("*").alias("contents"))
     mixed = by_content.join(by_anchor.where("contents > 1"), "anchor")
@@ -322,10 +362,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool =
 
     dealt = rows.repartition("g")
     wanted = mixed.select("at.*", "anchor", "content", "copies", (F.col("contents") > PACKET_RUNS).alias("many"))
-    fetched = dealt.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(_fetch(length), "anchor long, content long, copies long, many boolean, bytes binary")
+    fetched = dealt.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(_fetch(length), "anchor long, content long, copies long, many boolean, rel int, bytes binary")
     fetched = materialize(fetched, "fetched")
     packets = fetched.where("not many").repartition("anchor").sortWithinPartitions("anchor", "content")
-    sorted_out = packets.mapInArrow(_sort_packets(length), FOUND)
+    sorted_out = packets.mapInArrow(_sort_packets(length, gram), FOUND)
     strings = fetched.where("many").mapInArrow(_string_hashes(length), "anchor long, content long, copies long, at int, string long")
     seen = strings.groupBy("anchor", "string").agg(F.sum("copies").alias("total"))
     counted = strings.join(seen.where("total > 1"), ["anchor", "string"])
