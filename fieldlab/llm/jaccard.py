@@ -12,11 +12,12 @@ Two documents link when their sets' Jaccard similarity reaches 3/4.
    the rarest ``n - ceil(3 n / 4) + 1`` shingles of their rank into inverted lists, which
    every linked pair shares, and so do light sets that may have heavy partners.  The
    boundary is where enumerating stops being cheaper than scanning, by measured counts.
-4. Lists are scanned without pairing their members: each round compares a list's members
-   with one pivot, and joins linked sets into components.  A list all of whose members are
-   in one component is done.  Once the pairs left between components are few against the
-   postings, all of them are compared.  So a group of many near copies costs about a
-   comparison each, and no link between different components is missed.
+4. Lists with the same members are scanned once, and without pairing their members: each
+   of a few rounds compares a list's members with one pivot and gives linked sets one
+   label.  A list whose members all share a label is done.  Then the pairs that are left
+   between labels are compared, if what follows their first shared element can reach the
+   overlap.  So a group of many near copies costs a few comparisons each, and no link
+   between different components is missed.
 
 All comparisons are exact over 64-bit shingle hashes.
 
@@ -45,8 +46,8 @@ from .common import materialize
 SHINGLE = 5
 #: Sizes above this are always heavy: the subsets of larger sets are too many.
 LIGHT_LIMIT = 12
-#: Pairs compared at once in the last round, for each posting.
-PAIRS_A_POSTING = 4
+#: Rounds of comparisons with one member a list, before all that is left.
+STAR_ROUNDS = 3
 
 INFO = "doc_id long, n int, sid long, work double, singles int, tokens array<long>"
 
@@ -167,20 +168,21 @@ def boundary_of(sets: DataFrame) -> int:
 
 def _keys(boundary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "sid", "n"]
+        names = ["key", "sid", "n", "pos"]
         for batch in batches:
             n = batch.column("n").to_numpy()
             singles = batch.column("singles").to_numpy()
             sid = batch.column("sid").to_numpy()
             tokens = batch.column("tokens")
             flat, at = tokens.flatten().to_numpy(), np.append(0, np.cumsum(tokens.value_lengths().to_numpy()))
-            keys, owners = [], []
+            keys, owners, places = [], [], []
             for k in range(batch.num_rows):
                 size, own = int(n[k]), flat[at[k] : at[k + 1]]
                 if size > boundary or 4 * size >= 3 * (boundary + 1):
                     part = own[: prefix(size) - int(singles[k])]
                     keys.append(part)
                     owners.append(np.full(len(part), k))
+                    places.append(np.arange(len(part)) + int(singles[k]))
                 if size <= boundary:
                     ranked = np.sort(own).view(np.uint64)
                     for m in partners(size):
@@ -192,23 +194,28 @@ def _keys(boundary: int):
                         made = tk.mix(tk.mix(ranked)[sets].sum(axis=1, dtype=np.uint64) ^ tk.mix(np.array([salt]))[0]).view(np.int64)
                         keys.append(made)
                         owners.append(np.full(len(made), k))
+                        places.append(np.zeros(len(made), np.int64))
             key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sid[owner]), pa.array(n[owner].astype(np.int32))], names)
+            place = np.concatenate(places) if places else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sid[owner]), pa.array(n[owner].astype(np.int32)), pa.array(place.astype(np.int32))], names)
 
     return run
 
 
-def _fits(a: str, b: str):
-    return (4 * F.col(a) >= 3 * F.col(b)) & (4 * F.col(b) >= 3 * F.col(a))
+def _reach(nu: str, pu: str, nv: str, pv: str):
+    """Whether sets of nu and nv elements can link if the elements at pu and pv of their
+    ranks are the first that they share: what follows must reach the overlap."""
+    left = F.least(F.col(nu) - F.col(pu), F.col(nv) - F.col(pv))
+    return 7 * left >= 3 * (F.col(nu) + F.col(nv))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) that link."""
+    """The rows of pairs (u, v, ...) that link."""
     one = sets.select(F.col("sid").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("tu"))
     two = sets.select(F.col("sid").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("tv"))
     both = pairs.join(one, "u").join(two, "v").withColumn("shared", F.size(F.array_intersect("tu", "tv")))
-    return both.where("100 * shared >= 75 * (nu + nv - shared)").select("u", "v")
+    return both.where("100 * shared >= 75 * (nu + nv - shared)").drop("nu", "tu", "nv", "tv", "shared")
 
 
 def release(df: DataFrame) -> None:
@@ -217,48 +224,70 @@ def release(df: DataFrame) -> None:
     df.sparkSession._jvm.System.gc()
 
 
+def one_list_of_each(postings: DataFrame) -> DataFrame:
+    """postings without lists of a single member, and with one list of each set of members.
+
+    Of lists with the same members the one ranked first stays: a pair's first shared element
+    is the first of its lists, so it is never lost.  Member sets are told apart by count and
+    two sums of hashes.
+    """
+    lists = postings.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("sid", F.lit(1)).cast("decimal(38,0)")).alias("t"), F.min(F.struct("sid", "pos")).alias("first"))
+    chosen = lists.where("c > 1").groupBy("c", "s", "t").agg(F.min(F.struct(F.col("first.pos"), F.col("key"))).alias("best"))
+    return postings.join(chosen.select(F.col("best.key").alias("key")), "key")
+
+
 def link_sets(sets: DataFrame, postings: DataFrame) -> DataFrame:
-    """(node, root) of the sets that have links."""
-    lists = postings.groupBy("key").agg(F.count("*").alias("members"))
-    postings = materialize(postings.join(lists.where("members > 1").select("key"), "key"), "postings")
-    total = postings.count()
-    links = roots = None
+    """(node, root) of the sets that have links.
+
+    ``root`` of a posting is a label that only connected sets share.  The first round
+    compares each list's members with its least, the next ones with a member of the list's
+    most frequent label, another one for each sixteenth of the lists; each round then lowers
+    labels along the links found.  What is left between labels is compared in the last
+    round, so rounds only save comparisons and never lose a link.
+    """
+    postings = materialize(one_list_of_each(materialize(postings, "all-postings")).withColumn("root", F.col("sid")), "postings")
+    links: list[DataFrame] = []
     done: DataFrame | None = None
-    while total:
-        left = postings
-        if roots is not None:
-            known = roots.select(F.col("node").alias("sid"), "root")
-            left = left.join(known, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        else:
-            left = left.withColumn("root", F.col("sid"))
-        counts = left.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("within"))
-        open_keys = counts.where("all * all > within").select("key", ((F.col("all") * F.col("all") - F.col("within")) / 2).alias("between"))
-        left = materialize(left.join(open_keys, "key"), "open")
-        row = left.select("key", "between").distinct().agg(F.sum("between").alias("pairs")).first()
-        if not row.pairs:
+    for step in range(STAR_ROUNDS + 1):
+        labels = postings.groupBy("key").agg((F.min("root") != F.max("root")).alias("apart"))
+        left = materialize(postings.join(labels.where("apart").select("key"), "key"), "left")
+        if left.isEmpty():
             break
-        last = roots is not None and row.pairs <= PAIRS_A_POSTING * total
-        if last:
-            a, b = left.select("key", F.col("sid").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru")), left.select("key", F.col("sid").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
-            pairs = a.join(b, "key").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & _fits("nu", "nv"))
+        if step == STAR_ROUNDS:
+            names = ("key", "sid", "n", "pos", "root")
+            one = left.select("key", *(F.col(c).alias(f"{c}_u") for c in names[1:]))
+            two = left.select("key", *(F.col(c).alias(f"{c}_v") for c in names[1:]))
+            pairs = one.join(two, "key").where((F.col("sid_u") < F.col("sid_v")) & (F.col("root_u") != F.col("root_v")) & _reach("n_u", "pos_u", "n_v", "pos_v"))
         else:
-            pivot = left.groupBy("key").agg(F.min(F.struct("sid", "n", "root")).alias("p"))
-            pairs = left.join(pivot, "key").where((F.col("sid") != F.col("p.sid")) & (F.col("root") != F.col("p.root")))
-            pairs = pairs.select(F.col("p.sid").alias("u"), F.col("p.n").alias("nu"), F.col("sid").alias("v"), F.col("n").alias("nv")).where(_fits("nu", "nv"))
-            postings = left.join(pivot, "key").where(F.col("sid") != F.col("p.sid")).select("key", "sid", "n")
-        pairs = pairs.select("u", "v").distinct()
+            members = left
+            if step:
+                most = left.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).getField("root").alias("most"))
+                members = left.join(most, "key")
+            order = F.col("sid") if not step else F.xxhash64("sid", F.lit(step), F.pmod("key", F.lit(16)))
+            chosen = members if not step else members.where("root = most")
+            pivot = chosen.groupBy("key").agg(F.min(F.struct(order.alias("o"), "sid", "n", "pos", "root")).alias("p"))
+            pairs = left.join(pivot, "key").select(F.col("p.sid").alias("sid_u"), F.col("p.n").alias("n_u"), F.col("p.pos").alias("pos_u"), F.col("p.root").alias("root_u"), F.col("sid").alias("sid_v"), F.col("n").alias("n_v"), F.col("pos").alias("pos_v"), F.col("root").alias("root_v"))
+            fit = (4 * F.col("n_u") >= 3 * F.col("n_v")) & (4 * F.col("n_v") >= 3 * F.col("n_u"))
+            pairs = pairs.where((F.col("root_u") != F.col("root_v")) & (fit if step else _reach("n_u", "pos_u", "n_v", "pos_v")))
+        pairs = pairs.select(F.least("sid_u", "sid_v").alias("u"), F.greatest("sid_u", "sid_v").alias("v"), F.when(F.col("sid_u") < F.col("sid_v"), F.col("root_u")).otherwise(F.col("root_v")).alias("ru"), F.when(F.col("sid_u") < F.col("sid_v"), F.col("root_v")).otherwise(F.col("root_u")).alias("rv")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["u", "v"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        new = materialize(_linked(pairs, sets), "links")
-        done = pairs if done is None else done.union(pairs)
-        links = new if links is None else links.union(new)
-        roots = materialize(components(links), "roots")
-        if last:
+        done = pairs.select("u", "v") if done is None else done.union(pairs.select("u", "v"))
+        found = materialize(_linked(pairs, sets), "links")
+        links.append(found.select("u", "v"))
+        if step == STAR_ROUNDS:
             break
-        postings = materialize(postings, "postings")
+        both = found.select(F.col("ru").alias("old"), F.col("rv").alias("new")).union(found.select(F.col("rv").alias("old"), F.col("ru").alias("new")))
+        lower = both.where("new < old").groupBy("old").agg(F.min("new").alias("new"))
+        postings = left.join(lower, F.col("root") == F.col("old"), "left").select("key", "sid", "n", "pos", F.coalesce("new", "root").alias("root"))
         release(sets)
-    return roots if roots is not None else sets.sparkSession.createDataFrame([], "node long, root long")
+    if not links:
+        return sets.sparkSession.createDataFrame([], "node long, root long")
+    every = links[0]
+    for more in links[1:]:
+        every = every.union(more)
+    return materialize(components(every), "roots")
 
 
 def join(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -268,7 +297,7 @@ def join(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     release(docs)
     sets = materialize(info.where("tokens is not null").select("sid", "n", "work", "singles", "tokens").dropDuplicates(["sid"]), "distinct-sets")
     release(docs)
-    postings = sets.select("sid", "n", "singles", "tokens").mapInArrow(_keys(boundary_of(sets)), "key long, sid long, n int")
+    postings = sets.select("sid", "n", "singles", "tokens").mapInArrow(_keys(boundary_of(sets)), "key long, sid long, n int, pos int")
     roots = link_sets(sets, postings)
     rows = info.select("doc_id", "n", "sid").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     names = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -68,9 +68,10 @@ def test_any_boundary_gives_the_same(spark, boundary, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
-def test_star_rounds_alone_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "PAIRS_A_POSTING", 0)
-    rows = near_copies(6, n=30, longest=30)
+@pytest.mark.parametrize("rounds", [0, 1, 9])
+def test_rounds_lose_no_link(spark, rounds, monkeypatch):
+    monkeypatch.setattr(jaccard, "STAR_ROUNDS", rounds)
+    rows = near_copies(6, n=60, longest=30)
     assert run(spark, rows) == brute(rows)
 
 
