@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -37,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: u and its smaller neighbours go to the least of them
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
-        now = materialize(small.where("u <> v").distinct(), "edges")
+        old, now = now, materialize(small.where("u <> v").distinct(), "edges")
+        discard(old)
         after = _state(now)
         if after == before:
             break

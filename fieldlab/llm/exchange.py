@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import bytes_of, partitions
 
 #: Bytes of text in a group, and hashes in a bucket, on average.
-GROUP_BYTES, BUCKET_HASHES = 4 << 20, 3 << 20
+GROUP_BYTES, BUCKET_HASHES = 2 << 20, 3 << 19
 
 
 def group_count(total_bytes: int) -> int:
@@ -116,6 +116,8 @@ def _answer(reduce: Reduce, kind: str):
         back[order] = out
         cut = np.append(0, np.cumsum(size))
         bucket = table.column("bucket")[0].as_py()
+        del values, order, run_of, fresh, out
+        pa.default_memory_pool().release_unused()
         return pa.table({"g": pa.array(groups, pa.int32()), "bucket": pa.array([bucket] * len(groups), pa.int32()), "data": pa.array([pack(back[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())})
 
     return run
@@ -139,6 +141,7 @@ def ask(docs: DataFrame, extract: Extract, sent: str, reduce: Reduce, finish: Ca
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("bucket")
         parts = [unpack(v, answered) for v in right.column("data").to_pylist()]
+        pa.default_memory_pool().release_unused()
         return finish(sort_table(left), np.concatenate(parts) if parts else np.zeros(0, answered))
 
     return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(end, schema)

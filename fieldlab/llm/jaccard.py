@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from . import exchange
 from . import textkit as tk
 from .components import components
-from .common import materialize
+from .common import discard, materialize
 
 SHINGLE = 5
 #: Sizes above this are always heavy: the subsets of larger sets are too many.
@@ -245,12 +245,17 @@ def link_sets(sets: DataFrame, postings: DataFrame) -> DataFrame:
     labels along the links found.  What is left between labels is compared in the last
     round, so rounds only save comparisons and never lose a link.
     """
-    postings = materialize(one_list_of_each(materialize(postings, "all-postings")).withColumn("root", F.col("sid")), "postings")
+    whole = materialize(postings, "all-postings")
+    postings = before = materialize(one_list_of_each(whole).withColumn("root", F.col("sid")), "postings")
+    discard(whole)
     links: list[DataFrame] = []
+    pairs_kept: list[DataFrame] = []
     done: DataFrame | None = None
     for step in range(STAR_ROUNDS + 1):
         labels = postings.groupBy("key").agg((F.min("root") != F.max("root")).alias("apart"))
         left = materialize(postings.join(labels.where("apart").select("key"), "key"), "left")
+        discard(before)
+        before = left
         if left.isEmpty():
             break
         if step == STAR_ROUNDS:
@@ -273,9 +278,10 @@ def link_sets(sets: DataFrame, postings: DataFrame) -> DataFrame:
         if done is not None:
             pairs = pairs.join(done, ["u", "v"], "left_anti")
         pairs = materialize(pairs, "pairs")
+        pairs_kept.append(pairs)
         done = pairs.select("u", "v") if done is None else done.union(pairs.select("u", "v"))
         found = materialize(_linked(pairs, sets), "links")
-        links.append(found.select("u", "v"))
+        links.append(found)
         if step == STAR_ROUNDS:
             break
         both = found.select(F.col("ru").alias("old"), F.col("rv").alias("new")).union(found.select(F.col("rv").alias("old"), F.col("ru").alias("new")))
@@ -284,10 +290,13 @@ def link_sets(sets: DataFrame, postings: DataFrame) -> DataFrame:
         release(sets)
     if not links:
         return sets.sparkSession.createDataFrame([], "node long, root long")
-    every = links[0]
+    every = links[0].select("u", "v")
     for more in links[1:]:
-        every = every.union(more)
-    return materialize(components(every), "roots")
+        every = every.union(more.select("u", "v"))
+    roots = materialize(components(every), "roots")
+    for used in (before, *pairs_kept, *links):
+        discard(used)
+    return roots
 
 
 def join(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
