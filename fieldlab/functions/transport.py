@@ -14,7 +14,8 @@ INF = float("inf")
 def diffusivity(model, T, C, D0, p1=0.0, p2=0.0) -> Column:
     """By model: ``constant`` D0; ``arrhenius`` D0 exp(-p1/RT); ``chapman_enskog``
     D0 T^1.5 / p1; ``concentration`` D0 (1 + p1 C + p2 C^2)."""
-    model, T, C, D0, p1, p2 = F.lit(model) if model in ("constant", "arrhenius", "chapman_enskog", "concentration") else col(model), col(T), col(C), col(D0), col(p1), col(p2)
+    known = isinstance(model, str) and model in ("constant", "arrhenius", "chapman_enskog", "concentration")
+    model, T, C, D0, p1, p2 = F.lit(model) if known else col(model), col(T), col(C), col(D0), col(p1), col(p2)
     return F.when(model == "constant", D0).when(model == "arrhenius", D0 * F.exp(-p1 / (R * T))).when(model == "chapman_enskog", D0 * F.pow(T, F.lit(1.5)) / p1).when(model == "concentration", D0 * (1.0 + p1 * C + p2 * C * C))
 
 
