@@ -93,8 +93,8 @@ def _runs(length: int, gram: int):
 
 
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order, followed ``depth`` symbols deep; symbols are 0..2**16 - 1, and the
-    end is smaller than all."""
+    """Suffixes in order, followed ``depth`` symbols deep; symbols are 0..510, and the end is
+    smaller than all."""
     n = len(symbols)
     s = symbols.astype(np.int64)
     if n < 2:
@@ -146,14 +146,14 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _sort_directly(s: np.ndarray, which: np.ndarray, depth: int) -> np.ndarray:
-    """The suffixes ``which`` in order by their first ``depth`` symbols, four symbols a pass;
+    """The suffixes ``which`` in order by their first ``depth`` symbols, seven symbols a pass;
     only those still tied take part in a pass."""
     n = len(s)
-    padded = np.zeros(n + 4 * (depth // 4 + 2), np.uint64)
+    padded = np.zeros(n + 7, np.uint64)
     padded[:n] = s + 1
     key = np.zeros(n + 1, np.uint64)
-    for k in range(4):
-        key[:n] = (key[:n] << np.uint64(16)) | np.minimum(padded[k : n + k], np.uint64(0xFFFF))
+    for k in range(7):
+        key[:n] = (key[:n] << np.uint64(9)) | padded[k : n + k]
     order = which.copy()
     first = np.argsort(key[order], kind="stable")
     order = order[first]
@@ -162,7 +162,7 @@ def _sort_directly(s: np.ndarray, which: np.ndarray, depth: int) -> np.ndarray:
     if len(order):
         group[1:] = np.cumsum(k[1:] != k[:-1])
     live = np.arange(len(order))
-    at = 4
+    at = 7
     while at < depth and len(live):
         tied = np.zeros(len(live), bool)
         same = group[live[1:]] == group[live[:-1]]
@@ -171,18 +171,27 @@ def _sort_directly(s: np.ndarray, which: np.ndarray, depth: int) -> np.ndarray:
         live = live[tied]
         if not len(live):
             break
-        k = key[np.minimum(order[live] + at, n)]
-        by = np.lexsort((k, group[live]))
-        k, g = k[by], group[live][by]
-        order[live] = order[live][by]
-        fresh = np.zeros(len(live), bool)
-        fresh[1:] = (k[1:] != k[:-1]) | (g[1:] != g[:-1])
+        k, g = key[np.minimum(order[live] + at, n)], group[live]
+        inner = np.zeros(len(live), bool)
+        inner[1:] = g[1:] == g[:-1]
+        begin = np.flatnonzero(~inner)
+        differs = np.zeros(len(live), bool)
+        differs[1:] = inner[1:] & (k[1:] != k[:-1])
+        # only groups whose keys differ are sorted; repeats stay as they are
+        mixed = np.repeat(np.logical_or.reduceat(differs, begin), np.diff(np.append(begin, len(live))))
+        some = np.flatnonzero(mixed)
+        if len(some):
+            by = some[np.lexsort((k[some], g[some]))]
+            k[some] = k[by]
+            order[live[some]] = order[live[by]]
+        fresh = ~inner
+        fresh[1:] |= k[1:] != k[:-1]
         starts = np.flatnonzero(fresh)
         # a group that splits gets numbers that no other has: the place of each part's start
         number = np.zeros(len(live), np.int64)
         number[fresh] = starts
         group[live] = np.maximum.accumulate(number)
-        at += 4
+        at += 7
     return order
 
 
