@@ -42,7 +42,7 @@ def literal_type(text) -> Column:
 def parse_array(text) -> Column:
     """The items of ``[a, b, c]``, trimmed; empty for ``[]``."""
     inner = F.regexp_replace(F.trim(col(text)), r"^\[|\]$", "")
-    return F.when(F.trim(inner) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(inner, ","), F.trim))
+    return F.when(F.trim(inner) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(inner, ","), lambda x: F.trim(x)))
 
 
 def to_bool(text, default: bool = False) -> Column:

@@ -49,7 +49,7 @@ def autocorrelation(field: DataFrame, run: str = "run", max_lag: int = MAX_LAG)
     sums = [F.coalesce(F.sum(F.col("c") * F.col(f"c{k}")), F.lit(0.0)).alias(f"s{k}") for k in range(1, max_lag)]
     out = rows.groupBy(run).agg(F.count("v").alias("n"), F.var_pop("v").alias("variance"), *sums)
     lags = F.least(F.floor(F.col("n") / 4), F.lit(max_lag)).cast("int")
-    terms = [F.lit(0.0)] + [F.when(F.col("variance") >= 1e-15, F.col(f"s{k}") / ((F.col("n") - k) * F.when(F.col("variance") >= 1e-15, F.col("variance")))) for k in range(1, max_lag)]
+    terms = [F.lit(0.0)] + [F.col(f"s{k}") / F.when((F.col("variance") >= 1e-15) & (F.col("n") > k), (F.col("n") - k) * F.col("variance")) for k in range(1, max_lag)]
     return out.select(run, "n", "variance", F.slice(F.array(*terms), F.lit(1), F.greatest(lags, F.lit(0))).alias("acf"))
 
 
