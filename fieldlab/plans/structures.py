@@ -382,11 +382,11 @@ def diffusion_implicit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {FIELD}, f AS (SELECT run, i, v / 50 AS u, w / 12 AS v FROM field),
 n AS (SELECT *, coalesce(lead(u) OVER g, first_value(u) OVER h) + coalesce(lag(u) OVER g, last_value(u) OVER h) - 2 * u AS lu, coalesce(lead(v) OVER g, first_value(v) OVER h) + coalesce(lag(v) OVER g, last_value(v) OVER h) - 2 * v AS lv FROM f WINDOW g AS (PARTITION BY run ORDER BY i), h AS (PARTITION BY run ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
-SELECT run, i, round(u + 0.1 * (0.2 * lu - u * v * v + 0.04 * (1 - u)), 12) AS u, round(v + 0.1 * (0.1 * lv + u * v * v - 0.1 * v), 12) AS v FROM n""")
+SELECT run, i, round(u + 0.1 * (0.2 * lu - u * v * v + 0.04 * (1 - u)), 7) AS u, round(v + 0.1 * (0.1 * lv + u * v * v - 0.1 * v), 7) AS v FROM n""")
 def gray_scott_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One periodic Gray-Scott step."""
     rows = field(spark, sf_dir).select("run", "i", (F.col("v") / 50).alias("u"), (F.col("w") / 12).alias("v"))
-    return rounded(iterate.react_runs(rows, "gray_scott", 0.2, 0.1, 0.04, 0.06, 0.1, 1, 1.0), 12)
+    return rounded(iterate.react_runs(rows, "gray_scott", 0.2, 0.1, 0.04, 0.06, 0.1, 1, 1.0), 7)
 
 
 @query()

@@ -57,11 +57,6 @@ def _number(c: Column) -> Column:
     return F.regexp_replace(c.cast("double").cast("string"), r"\.0$", "")
 
 
-def _body(rows: DataFrame, section: int, order: list[str], text: Column) -> DataFrame:
-    at = F.row_number().over(Window.partitionBy(F.lit(section)).orderBy(*order))
-    return rows.select(F.lit(section).alias("section"), at.cast("long").alias("at"), text.alias("text"))
-
-
 def vtk_grid(field: DataFrame, shape: tuple[int, ...], spacing: tuple[float, ...], name: str = "u", title: str = "field") -> DataFrame:
     """Lines of a legacy structured-points file; field has i[, j[, k]] and v, and the first
     index varies fastest."""
@@ -150,8 +145,47 @@ def pvd(times: list[tuple[float, str]]) -> str:
 def write_checkpoint(df: DataFrame, path: str, step: int, time: float) -> None:
     """State as Parquet under ``step=N`` with a row of metadata beside it."""
     df.write.mode("overwrite").parquet(f"{path}/step={step}")
-    df.sparkSession.createDataFrame([(step, time, df.rdd.getNumPartitions())], "step long, time double, parts int").write.mode("overwrite").parquet(f"{path}/meta/step={step}")
+    df.sparkSession.createDataFrame([(step, time)], "step long, time double").write.mode("overwrite").parquet(f"{path}/meta/step={step}")
 
 
 def read_checkpoint(spark: SparkSession, path: str, step: int) -> tuple[DataFrame, float]:
     return spark.read.parquet(f"{path}/step={step}"), spark.read.parquet(f"{path}/meta/step={step}").first().time
+
+
+def write_npz(path: str, **arrays) -> None:
+    """Named arrays, or one-column DataFrames in order of their rows' ``i``, to one .npz file;
+    arrays are small by nature of the format, larger fields belong in Parquet."""
+    import numpy as np
+
+    np.savez(path, **{k: np.array([r[0] for r in v.orderBy("i").select("v").collect()]) if isinstance(v, DataFrame) else np.asarray(v) for k, v in arrays.items()})
+
+
+def read_npz(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(i, v) of one named array, flattened in row-major order."""
+    import numpy as np
+
+    with np.load(path) as f:
+        values = f[name].ravel().astype(float)
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "i long, v double")
+
+
+def vtu_pieces(nodes: DataFrame, elements: DataFrame, part: str = "part") -> DataFrame:
+    """(part, xml): one unstructured-grid piece for each part of the elements, with the nodes
+    its elements touch; ``pvtu`` writes the index over them."""
+    ids = elements.select(part, "id", "type", F.posexplode("node_ids").alias("pos", "node"))
+    local = ids.select(part, "node").distinct().withColumn("d", F.row_number().over(Window.partitionBy(part).orderBy("node")) - 1)
+    points = local.join(nodes.select(F.col("id").alias("node"), "x", "y", "z"), "node").groupBy(part).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("d", F.concat_ws(" ", *(_number(F.col(a)) for a in "xyz")).alias("t")))), lambda s: s["t"]), "\n").alias("points"))
+    cells = ids.join(local, [part, "node"]).groupBy(part, "id", "type").agg(F.array_sort(F.collect_list(F.struct("pos", "d"))).alias("c"))
+    cells = cells.withColumn("end", F.sum(F.size("c")).over(Window.partitionBy(part).orderBy("id")))
+    rows = F.array_sort(F.collect_list(F.struct("id", F.array_join(F.transform("c", lambda s: s["d"].cast("string")), " ").alias("t"), F.col("end").cast("string").alias("e"), mesh.vtk_code(F.col("type")).cast("string").alias("k"))))
+    joined = cells.groupBy(part).agg(F.count("*").alias("m"), rows.alias("r"))
+    line = lambda f: F.array_join(F.transform("r", lambda s: s[f]), " ")
+    array = lambda name, kind, body: F.concat(F.lit(f'<DataArray type="{kind}" Name="{name}" format="ascii">'), body, F.lit("</DataArray>"))
+    xml = F.concat(F.format_string('<VTKFile type="UnstructuredGrid" version="0.1"><UnstructuredGrid><Piece NumberOfPoints="%d" NumberOfCells="%d"><Points><DataArray type="Float64" NumberOfComponents="3" format="ascii">', "n", "m"), "points", F.lit("</DataArray></Points><Cells>"), array("connectivity", "Int64", line("t")), array("offsets", "Int64", line("e")), array("types", "UInt8", line("k")), F.lit("</Cells></Piece></UnstructuredGrid></VTKFile>"))
+    return points.join(joined, part).select(part, xml.alias("xml"))
+
+
+def pvtu(names: list[str]) -> str:
+    """The index file over the pieces."""
+    body = "".join(f'<Piece Source="{n}"/>' for n in names)
+    return f'<VTKFile type="PUnstructuredGrid" version="0.1"><PUnstructuredGrid GhostLevel="0"><PPoints><PDataArray type="Float64" NumberOfComponents="3"/></PPoints>{body}</PUnstructuredGrid></VTKFile>'

@@ -54,6 +54,22 @@ def test_fields(spark, tmp_path):
     assert [tuple(r) for r in files.time_series(long, "t", "s", "c").collect()] == [(0.0, 1.0, 2.0), (1.0, 3.0, None)]
 
 
+def test_pieces_and_arrays(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+
+    nodes, elements = tetra(spark)
+    pieces = {r.part: ET.fromstring(r.xml) for r in files.vtu_pieces(nodes, elements.where("id <= 3").withColumn("part", F.col("id") % 2)).collect()}
+    piece = pieces[0].find(".//Piece")
+    assert (piece.get("NumberOfPoints"), piece.get("NumberOfCells")) == ("4", "1")
+    arrays = {a.get("Name"): a.text for a in pieces[1].iter("DataArray") if a.get("Name")}
+    assert arrays == {"connectivity": "0 1 2 0 1", "offsets": "3 5", "types": "5 3"}
+    assert ET.fromstring(files.pvtu(["a.vtu", "b.vtu"])).tag == "VTKFile"
+    field = spark.createDataFrame([(1, 2.5), (0, 1.5)], "i long, v double")
+    files.write_npz(str(tmp_path / "a.npz"), u=field, w=[[1, 2], [3, 4]])
+    assert [r.v for r in files.read_npz(spark, str(tmp_path / "a.npz"), "u").orderBy("i").collect()] == [1.5, 2.5]
+    assert files.read_npz(spark, str(tmp_path / "a.npz"), "w").count() == 4
+
+
 INI = "name = test # note\nbad line\n[solver]\ntype = implicit\ntolerance=1e-6\n[time]\nsteps = 10\nok = yes\n"
 
 
