@@ -197,15 +197,25 @@ def repair(ids: np.ndarray, lengths: np.ndarray, rounds: int = 3, top: int = 102
         counts = np.bincount(slot, minlength=(1 << 18) + 1)
         counts[1 << 18] = 0
         floor = max(least, int(np.partition(counts, -top)[-top]))
-        hot = np.flatnonzero((counts >= floor)[slot])
-        code = (seq[hot].astype(np.int64) << 32) | seq[hot + 1]
-        pairs, n = np.unique(code, return_counts=True)
-        pairs = np.sort(pairs[np.lexsort((pairs, -n))[:top]][np.sort(n)[::-1][:top] >= least])
-        if not len(pairs):
+        chosen = np.flatnonzero(counts >= floor)
+        index = np.full(len(counts), -1, np.int32)
+        index[chosen] = np.arange(len(chosen))
+        rank = index[slot]
+        at = np.flatnonzero(rank >= 0)
+        if not len(at):
             break
-        rank = np.searchsorted(pairs, code)
-        fits = pairs[np.minimum(rank, len(pairs) - 1)] == code
-        at, rank = hot[fits], rank[fits]
+        rank = rank[at]
+        # a slot stands for its first pair; another pair in it waits for a later round
+        code = (seq[at].astype(np.int64) << 32) | seq[at + 1]
+        pairs = np.zeros(len(chosen), np.int64)
+        pairs[rank[::-1]] = code[::-1]
+        fits = code == pairs[rank]
+        at, rank = at[fits], rank[fits]
+        often = np.bincount(rank, minlength=len(chosen)) >= least
+        if not often.any():
+            break
+        fits = often[rank]
+        at, rank, pairs = at[fits], (np.cumsum(often) - 1)[rank[fits]], pairs[often]
         # of overlapping pairs every other one, from the left
         fresh = np.diff(at, prepend=-2) != 1
         start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
@@ -339,7 +349,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, shards:
     ascending doc_id order; returns where they are."""
     spark = docs.sparkSession
     path = path or scratch(spark, "token-ids")
-    ordered = docs.select("doc_id", "text").repartitionByRange(shards or partitions(spark), F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange(shards or partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_encode_partition(tokenizer, block_ids, rounds), STORED).write.option("compression", "zstd").parquet(path)
     return path
 
