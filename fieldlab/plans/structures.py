@@ -421,3 +421,22 @@ def time_series_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = table(spark, sf_dir, "events").withColumn("s", F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.row_number().over(w) % 3 + 1).cast("int")))
     return rows.groupBy("user_id", F.date_trunc("week", "ts").alias("week")).pivot("s", ["a", "b", "c"]).agg(F.max("value"))
+
+
+@query("WITH c AS (SELECT p_partkey AS cell, p_retailprice / 1000 AS c, 450 + p_size * 2.0 AS t FROM part), s AS (SELECT cell, t, c, 0.01 * 1e5 * exp(-50000 / (8.314 * t)) * c AS u FROM c) SELECT cell, round(c - u, 8) AS c, round(t + 100 * u / 10, 8) AS \"T\" FROM s")
+def reactor_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One coupled thermal-chemical step, a batch of cells at a time."""
+    from ..operators import coupled
+
+    cells = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cell"), (F.col("p_retailprice") / 1000).alias("c"), (450 + F.col("p_size") * 2.0).alias("T"))
+    return rounded(coupled.reactor(cells, "cell", "c", "T", 1e5, 5e4, -100.0, 10.0, 0.01, 1), 8)
+
+
+@query()
+def multiphysics_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chemistry, heat, diffusion, advection on a plane (rows only; its parts have SQL)."""
+    from ..operators import coupled
+    from .bindings import grid2
+
+    plane = grid2(spark, sf_dir).withColumnRenamed("v", "c").withColumn("T", 300 + F.col("i") * 2.0)
+    return rounded(coupled.plane_step(plane, 0.01, 0.1, 0.2, 1e-2, 2e-2, 1e3, 3e4, 5.0).select("i", "j", "c", "T"), 8)

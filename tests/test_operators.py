@@ -206,3 +206,41 @@ def test_network_and_sampling(spark):
     assert ml.predict(rows.limit(0), ["x"], [(np.array([[2.0]]), np.array([1.0]))]).count() == 0
     picked = ml.residual_sample(rows.withColumn("k", F.lit(1)), "k", "residual", 1).collect()
     assert [r.id for r in picked] == [7]
+
+
+def test_reactor_and_plane(spark):
+    from fieldlab.operators import coupled
+
+    cells = spark.createDataFrame([(k, 1.0, 500.0 + k) for k in range(5)], "cell long, c double, T double")
+    for splitting in ("sequential", "strang"):
+        out = coupled.reactor(cells, "cell", "c", "T", 1e6, 6e4, -100.0, 10.0, 1e-3, 200, splitting).toPandas()
+        start = 500.0 + out.cell
+        assert ((out["T"] - start) - 10 * (1 - out.c)).abs().max() < 1e-9 and out.c.between(0, 1).all()
+    plane = spark.createDataFrame([(0, i, j, 1.0 if (i, j) == (3, 3) else 0.0, 300.0, 0.0, 0.0) for i in range(7) for j in range(7)], "run int, i int, j int, c double, T double, ux double, uy double")
+    stats = coupled.plane_stats(coupled.plane_step(plane, 0.1, 1.0, 1.0, 0.5, 0.1, 0.0, 0.0, 0.0), 1.0, 1.0).first()
+    assert stats.total == pytest.approx(1.0) and stats.t_max == pytest.approx(300.0)
+
+
+def test_interpolation(spark):
+    from fieldlab.operators import coupled
+
+    points = spark.createDataFrame([(0.0, 0.0, 1.0), (1.0, 0.0, 3.0)], "x double, y double, v double")
+    grid = spark.createDataFrame([(0.0, 0.0), (0.5, 0.0), (5.0, 5.0)], "x double, y double")
+    assert {(r.x, r.y): r.v for r in coupled.interpolate(points, grid, 1.5).collect()} == {(0.0, 0.0): 1.0, (0.5, 0.0): pytest.approx(2.0), (5.0, 5.0): None}
+
+
+def test_strategies(spark):
+    from fieldlab.operators import solve
+
+    a, b = linalg.poisson_1d(spark, 6)
+    good = solve.solve(a, b, solve.Options("cg", 1e-9, 20))
+    assert good.converged and solve.Options("nope", -1, 0).problems()
+    again = solve.retry(a, b, solve.Options("jacobi", 1e-9, 2), attempts=2)
+    assert again.attempts == 2 and not again.converged
+    seen = []
+    state = solve.time_steps(spark.createDataFrame([(0.0,)], "v double"), lambda d, t, h: seen.append(h) or d.select((F.col("v") + h).alias("v")), 0.0, 1.0, 0.3)
+    assert state.first().v == pytest.approx(1.0) and seen == pytest.approx([0.3, 0.3, 0.3, 0.1])
+    scaler = solve.LossScaler(8.0, 2)
+    assert [scaler.update(x) for x in (True, False, False)] == [4.0, 4.0, 8.0] and solve.choose_method(0.4) == "explicit"
+    with pytest.raises(ValueError):
+        solve.register("cg", linalg.jacobi)
