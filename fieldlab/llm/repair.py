@@ -38,6 +38,8 @@ HEADER = struct.Struct("<7I")
 END_ID = 1
 #: Distinct words a worker keeps ids of; beyond it the store starts again.
 VOCABULARY_WORDS = 1 << 21
+#: Bytes of text encoded together: arrays that stay in a core's cache.
+ENCODE_CHUNK = 1 << 18
 _CUT_KIND = tk.KIND.copy()
 _CUT_KIND[128:] = 0
 _CUT_KIND[[ord(c) for c in "'<|>"]] = 0
@@ -334,6 +336,7 @@ STORED = "shard int, block int, n_docs long, n_ids long, data binary"
 
 def _encode_partition(path: str, block_ids: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk.keep_heap()
         encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
         shard, block = TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
@@ -348,7 +351,7 @@ def _encode_partition(path: str, block_ids: int, rounds: int):
 
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
-            for lo, hi, data, offs in tk.chunks(batch, "text"):
+            for lo, hi, data, offs in tk.chunks(batch, "text", ENCODE_CHUNK):
                 ids, n = encoder.encode(data, offs)
                 doc_ids += names[lo:hi]
                 parts.append(ids)
@@ -374,6 +377,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, shards:
 
 
 def _read_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tk.keep_heap()
     for batch in batches:
         for shard, block, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "block", "data")), strict=True):
             b = Block(data)

@@ -11,6 +11,9 @@ bytes is the same as splitting the characters.
 
 from __future__ import annotations
 
+import ctypes
+import platform
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +32,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def keep_heap() -> None:
+    """Let this worker reuse freed memory for its arrays of a few MB, rather than give it back
+    to the system and fault it in again for every chunk (glibc only)."""
+    if sys.platform == "linux" and platform.libc_ver()[0] == "glibc":
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 28)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 28)  # M_TRIM_THRESHOLD
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
     have = _powers.get(int(base))
