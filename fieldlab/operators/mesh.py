@@ -120,8 +120,7 @@ def _clamped_angle(x: Column) -> Column:
     return F.acos(F.least(F.greatest(x, F.lit(-1.0)), F.lit(1.0)))
 
 
-def _triangle_quality(a: Column, b: Column, c: Column) -> dict[str, Column]:
-    l1, l2, l3 = distance(a, b), distance(b, c), distance(c, a)
+def _triangle_quality(l1: Column, l2: Column, l3: Column) -> dict[str, Column]:
     most, least = F.greatest(l1, l2, l3), F.least(l1, l2, l3)
     s = (l1 + l2 + l3) / 2.0
     area = F.sqrt(F.greatest(F.lit(0.0), s * (s - l1) * (s - l2) * (s - l3)))
@@ -135,17 +134,19 @@ def _triangle_quality(a: Column, b: Column, c: Column) -> dict[str, Column]:
 def quality(rows: DataFrame) -> DataFrame:
     """corner rows with aspect, volume, skewness, min_angle and max_angle of triangles, quads
     and tetrahedra; other types are left out."""
-    p = [_at(k) for k in range(4)]
-    tri, other = _triangle_quality(p[0], p[1], p[2]), _triangle_quality(p[0], p[2], p[3])
+    # edge lengths become columns first: nested, they would make code too large to compile
+    rows = rows.where(F.col("type").isin("triangle", "quad", "tet")).withColumns({f"_e{a}{b}": distance(_at(a), _at(b)) for a, b in ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))})
+    e = lambda a, b: F.col(f"_e{min(a, b)}{max(a, b)}")
+    tri, other = _triangle_quality(e(0, 1), e(1, 2), e(2, 0)), _triangle_quality(e(0, 2), e(2, 3), e(3, 0))
     ratio = lambda ls: F.when(F.least(*ls) > 1e-12, F.greatest(*ls) / F.when(F.least(*ls) > 1e-12, F.least(*ls))).otherwise(F.lit(1000.0))
-    quad = {"aspect": ratio([distance(p[k], p[(k + 1) % 4]) for k in range(4)]), "volume": tri["volume"] + other["volume"], "skewness": F.greatest(tri["skewness"], other["skewness"]), "min_angle": F.lit(0.0), "max_angle": F.lit(0.0)}
-    edges = [distance(p[a], p[b]) for a, b in ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))]
+    quad = {"aspect": ratio([e(k, (k + 1) % 4) for k in range(4)]), "volume": tri["volume"] + other["volume"], "skewness": F.greatest(tri["skewness"], other["skewness"]), "min_angle": F.lit(0.0), "max_angle": F.lit(0.0)}
+    edges = [e(a, b) for a, b in ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))]
     mean = sum(edges[1:], start=edges[0]) / 6.0
     ideal = mean * mean * mean / (6.0 * math.sqrt(2.0))
     volume = F.abs(_determinant()) / 6.0
     tet = {"aspect": ratio(edges), "volume": volume, "skewness": F.when(ideal > 1e-12, F.abs(volume - ideal) / F.when(ideal > 1e-12, ideal)).otherwise(F.lit(0.0)), "min_angle": F.lit(0.0), "max_angle": F.lit(0.0)}
     kind = F.col("type")
-    return rows.where(kind.isin("triangle", "quad", "tet")).withColumns({k: F.when(kind == "triangle", tri[k]).when(kind == "quad", quad[k]).otherwise(tet[k]) for k in tri})
+    return rows.withColumns({k: F.when(kind == "triangle", tri[k]).when(kind == "quad", quad[k]).otherwise(tet[k]) for k in tri}).drop(*(f"_e{a}{b}" for a, b in ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))))
 
 
 def quality_report(rows: DataFrame) -> DataFrame:
