@@ -1,7 +1,8 @@
 """Token-id output: Re-Pair grammar blocks with random-access decoding.
 
 A *block* holds the ids of consecutive documents.  Frequent adjacent id pairs are
-replaced by new symbols ("nonterminals"), round after round; the block stores the rules,
+replaced by new symbols ("nonterminals"), round after round until no pair is frequent; the
+block stores the rules,
 each symbol's expansion length and an index of documents, so one document is decoded
 without the rest of the block.  A pair never spans two documents.
 
@@ -202,51 +203,77 @@ class WordEncoder:
         return ids, np.diff(ends_at, prepend=0)
 
 
-def repair(ids: np.ndarray, lengths: np.ndarray, rounds: int = 3, top: int = 1024, least: int = 8) -> tuple[np.ndarray, np.ndarray, list[int], int, np.ndarray]:
-    """(sequence, rules, rules a round, first nonterminal, symbols per document)."""
+#: Slots that pairs are counted in by hash before any of them is counted exactly.
+PAIR_SLOTS = 18
+
+
+def _slot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - PAIR_SLOTS)
+
+
+def repair(ids: np.ndarray, lengths: np.ndarray, rounds: int | None = None, top: int = 1024, least: int = 8) -> tuple[np.ndarray, np.ndarray, list[int], int, np.ndarray]:
+    """(sequence, rules, rules a round, first nonterminal, symbols per document).
+
+    A round takes the ``top`` slots of most pairs by hash (and those as full as the last of
+    them) and replaces, by exact counts, the most frequent pair of each; without ``rounds``,
+    rounds follow until no pair stands ``least`` times.  Only *open* places are counted: a
+    pair without new symbols never becomes more frequent, so the places of a rare one are
+    closed until a neighbour is replaced.
+    """
     seq = ids.astype(np.uint32)
     base = first = int(seq.max()) + 1 if len(seq) else 0
     last = np.zeros(len(seq), bool)
     last[np.cumsum(lengths)[lengths > 0] - 1] = True
     rules: list[np.ndarray] = []
     per_round: list[int] = []
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        slot = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(14)
-        slot[last[:-1]] = 1 << 18  # a pair that would span two documents
-        counts = np.bincount(slot, minlength=(1 << 18) + 1)
-        counts[1 << 18] = 0
-        floor = max(least, int(np.partition(counts, -top)[-top]))
-        chosen = np.flatnonzero(counts >= floor)
-        index = np.full(len(counts), -1, np.int32)
-        index[chosen] = np.arange(len(chosen))
-        rank = index[slot]
-        at = np.flatnonzero(rank >= 0)
-        if not len(at):
-            break
-        rank = rank[at]
-        # a slot stands for its first pair; another pair in it waits for a later round
-        code = (seq[at].astype(np.int64) << 32) | seq[at + 1]
-        pairs = np.zeros(len(chosen), np.int64)
-        pairs[rank[::-1]] = code[::-1]
-        fits = code == pairs[rank]
-        at, rank = at[fits], rank[fits]
-        often = np.bincount(rank, minlength=len(chosen)) >= least
-        if not often.any():
+    at = np.flatnonzero(~last)  # a pair at the last place would span two documents
+    while rounds is None or len(per_round) < rounds:
+        slot = _slot(seq[at], seq[at + 1])
+        total = np.bincount(slot, minlength=1 << PAIR_SLOTS)
+        often = (total >= least)[slot]
+        if 4 * np.count_nonzero(often) < 3 * len(at):
+            at, slot = at[often], slot[often]
+        for floor in (max(least, int(np.partition(total, -top)[-top])), least):
+            near = np.flatnonzero((total >= floor)[slot])
+            put = at[near]
+            code = (seq[put].astype(np.int64) << 32) | seq[put + 1]
+            ranked = np.sort(code)
+            starts = np.flatnonzero(np.diff(ranked, prepend=-1))
+            counts = np.diff(starts, append=len(ranked))
+            often = (counts >= least) & (2 * counts > floor)
+            pairs, counts = ranked[starts[often]], counts[often]
+            if 2 * len(pairs) >= top:
+                break  # else the slots are full of rare pairs: look at all that may be frequent
+        if not len(pairs):
             break
-        fits = often[rank]
-        at, rank, pairs = at[fits], (np.cumsum(often) - 1)[rank[fits]], pairs[often]
+        if len(pairs) > top:
+            often = counts >= np.partition(counts, -top)[-top]
+            pairs, counts = pairs[often], counts[often]
+        # a slot stands for its most frequent pair; another pair in it waits for a later round
+        order = np.argsort(counts, kind="stable")
+        index = np.full(1 << PAIR_SLOTS, -1, np.int32)
+        index[_slot((pairs[order] >> 32).astype(np.uint32), pairs[order].astype(np.uint32))] = order
+        rank = index[slot[near]]
+        fits = (pairs[rank] == code) & (rank >= 0)
+        put, rank = put[fits], rank[fits]
         # of overlapping pairs every other one, from the left
-        fresh = np.diff(at, prepend=-2) != 1
-        start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - start) % 2 == 0
-        at, rank = at[take], rank[take]
-        seq[at] = base + rank
-        last[at] |= last[at + 1]
+        fresh = np.diff(put, prepend=-2) != 1
+        start = np.maximum.accumulate(np.where(fresh, np.arange(len(put)), 0))
+        take = (np.arange(len(put)) - start) % 2 == 0
+        put, rank = put[take], rank[take]
+        used = np.zeros(len(pairs), bool)  # a pair may lose all its places to its neighbours
+        used[rank] = True
+        pairs, rank = pairs[used], (np.cumsum(used) - 1)[rank]
+        seq[put] = base + rank
+        last[put] |= last[put + 1]
+        open_ = np.zeros(len(seq), bool)
+        open_[at] = True
+        open_[put] = True
+        open_[put[put > 0] - 1] = True
         keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
+        keep[put + 1] = False
         seq, last = seq[keep], last[keep]
+        at = np.flatnonzero(open_[keep] & ~last)
         rules.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1))
         per_round.append(len(pairs))
         base += len(pairs)
@@ -259,8 +286,10 @@ def repair(ids: np.ndarray, lengths: np.ndarray, rounds: int = 3, top: int = 102
 def write_block(doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray, **how) -> bytes:
     seq, rules, per_round, first, symbols = repair(ids, lengths, **how)
     size = np.ones(first + len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        size[first + k] = size[a] + size[b]
+    done = 0
+    for n in per_round:  # a round's rules are of symbols of rounds before
+        size[first + done : first + done + n] = size[rules[done : done + n]].sum(axis=1)
+        done += n
     width = 2 if first + len(rules) <= 1 << 16 else 3 if first + len(rules) <= 1 << 24 else 4
     packed = seq.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4)[:, :width]
     return b"".join([
@@ -308,7 +337,24 @@ class Block:
         return seq
 
     def ids(self) -> np.ndarray:
-        return self._expand(self.seq)
+        """All ids: each rule is expanded once, a round after those it is made of."""
+        top = self.first
+        size = np.append(np.ones(top, np.int64), self.sizes)
+        at = np.cumsum(size) - size
+        flat = np.arange(size.sum(), dtype=np.uint32)
+
+        def spell(symbols: np.ndarray) -> np.ndarray:
+            n = size[symbols]
+            stop = np.cumsum(n)
+            source = np.repeat(at[symbols] - (stop - n), n)
+            source += np.arange(len(source))
+            return flat[source]
+
+        for n in self.per_round.tolist():
+            found = spell(self.rules[top - self.first : top - self.first + n].ravel())
+            flat[at[top] : at[top] + len(found)] = found
+            top += n
+        return spell(self.seq)
 
     def document(self, k: int) -> np.ndarray:
         end = self.starts[k + 1] if k + 1 < self.n_docs else len(self.seq)
@@ -334,7 +380,7 @@ _encoders: dict[str, WordEncoder] = {}
 STORED = "shard int, block int, n_docs long, n_ids long, data binary"
 
 
-def _encode_partition(path: str, block_ids: int, rounds: int):
+def _encode_partition(path: str, block_ids: int, rounds: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tk.keep_heap()
         encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
@@ -366,7 +412,7 @@ def _encode_partition(path: str, block_ids: int, rounds: int):
     return run
 
 
-def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, shards: int | None = None, block_ids: int = 1 << 20, rounds: int = 3) -> str:
+def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, shards: int | None = None, block_ids: int = 1 << 20, rounds: int | None = None) -> str:
     """Encode docs(doc_id, text) with the tokenizer file and write grammar blocks in
     ascending doc_id order; returns where they are."""
     spark = docs.sparkSession

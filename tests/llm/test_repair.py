@@ -41,6 +41,22 @@ def test_blocks_round_trip(seed):
             assert block.id_at(k, at) == parts[k][at]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_no_frequent_pair_is_left(seed):
+    rng = np.random.default_rng(seed)
+    passages = [rng.integers(0, 49408, n) for n in (40, 300, 2000)]
+    parts = [np.concatenate([passages[rng.integers(3)], rng.integers(0, 300, rng.integers(1, 400))]) for _ in range(60)]
+    ids, lengths = np.concatenate(parts), np.array([len(p) for p in parts])
+    block = repair.Block(repair.write_block(list(range(60)), ids, lengths))
+    assert np.array_equal(block.ids(), ids) and block.sizes.max() > 8 and len(block.per_round) > 3
+    last = np.zeros(len(block.seq), bool)
+    last[np.append(block.starts[1:], len(block.seq)) - 1] = True
+    pairs = (block.seq[:-1].astype(np.int64) << 32 | block.seq[1:])[~last[:-1]]
+    assert np.unique(pairs, return_counts=True)[1].max() < 8
+    for k, part in enumerate(parts):
+        assert np.array_equal(block.document(k), part) and block.id_at(k, len(part) - 1) == part[-1]
+
+
 def test_single_symbol_runs():
     ids = np.full(1001, 7)
     block = repair.Block(repair.write_block([5], ids, np.array([1001])))
