@@ -123,18 +123,18 @@ def _answer(reduce: Reduce, kind: str):
     return run
 
 
-def ask(docs: DataFrame, extract: Extract, sent: str, reduce: Reduce, finish: Callable[[pa.Table, np.ndarray], pa.Table], answered: str, schema) -> DataFrame:
+def ask(docs: DataFrame, extract: Extract, sent: str, reduce: Reduce, finish: Callable[[pa.Table, np.ndarray], pa.Table], answered: str, schema, also: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``finish`` for every group.
 
     extract(group) gives sorted distinct hashes and a value (dtype ``sent``) for each;
     reduce(values, run starts, run of each) gives an answer (few different bytes travel best) (dtype ``answered``) for each
     value, where equal hashes stand together in one run; finish(group, answers in extract's
-    order) gives rows of ``schema``.
+    order) gives rows of ``schema``.  ``also`` names more columns of docs for ``finish``.
     """
     spark = docs.sparkSession
     total = bytes_of(docs, "text")
     groups, buckets = group_count(total), bucket_count(total, 1 if total < GROUP_BYTES else partitions(spark))
-    dealt = docs.select("doc_id", "text", group_of(groups).alias("g")).repartition("g")
+    dealt = docs.select("doc_id", "text", *also, group_of(groups).alias("g")).repartition("g")
     blobs = dealt.groupBy("g").applyInArrow(_send(extract, buckets), SENT)
     answers = blobs.groupBy("bucket").applyInArrow(_answer(reduce, sent), ANSWER)
 

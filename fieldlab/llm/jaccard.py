@@ -144,7 +144,7 @@ def _describe(size: int):
         ids = table.column("doc_id")
         ids = pa.array(ids.to_pylist(), pa.int64())
         known = pa.array([None if k == 0 else s for k, s in zip(n.tolist(), sid.tolist(), strict=True)], pa.int64())
-        return pa.table({"doc_id": ids, "n": pa.array(n.astype(np.int32)), "sid": known, "work": pa.array(work), "singles": pa.array(singles.astype(np.int32)), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
+        return pa.table({"doc_id": ids, "n": pa.array(n.astype(np.int32)), "sid": known, "work": pa.array(work), "singles": pa.array(singles.astype(np.int32)), "tokens": pa.array(tokens, pa.list_(pa.int64()))} | {c: table.column(c) for c in table.column_names if c == "row"})
 
     return finish
 
@@ -299,25 +299,39 @@ def link_sets(sets: DataFrame, postings: DataFrame) -> DataFrame:
     return roots
 
 
-def join(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text)."""
-    info = exchange.ask(docs, _counts(size), "<u4", _level, _describe(size), "u1", INFO)
+def labelled(docs: DataFrame, size: int, keyed: bool = False) -> DataFrame:
+    """(doc_id, n, root) for every row of docs; sets that are linked have one root, and rows
+    without words none.  ``keyed`` docs have a long ``row`` that stays with each row."""
+    info = exchange.ask(docs, _counts(size), "<u4", _level, _describe(size), "u1", INFO + ", row long" * keyed, ("row",) * keyed)
     info = materialize(info, "sets")
     release(docs)
     sets = materialize(info.where("tokens is not null").select("sid", "n", "work", "singles", "tokens").dropDuplicates(["sid"]), "distinct-sets")
     release(docs)
     postings = sets.select("sid", "n", "singles", "tokens").mapInArrow(_keys(boundary_of(sets)), "key long, sid long, n int, pos int")
     roots = link_sets(sets, postings)
-    rows = info.select("doc_id", "n", "sid").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    rows = info.select("doc_id", "n", "sid", *("row",) * keyed).join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    return rows.drop("sid")
+
+
+def join(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text)."""
+    rows = labelled(docs, size)
     names = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(names, "root", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """The rows of docs, with all their columns, of which each component keeps its smallest
-    id; rows without id stay."""
-    keep = join(docs, size).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    keep = materialize(keep, "kept")
-    once = docs.join(keep.where("rows = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    more = docs.join(keep.where("rows > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    """The rows of docs, with all their columns, of which each component keeps one row of
+    its smallest id; rows without id stay.  Rows are known by id and text, so an id may
+    stand for several texts; rows alike in both are one."""
+    name = next(n for n in ("row", *(f"row_{k}" for k in range(len(docs.columns) + 1))) if n not in docs.columns)
+    key = F.xxhash64("doc_id", "text")
+    rows = labelled(docs.select("doc_id", "text", key.alias("row")), size, keyed=True).where("doc_id is not null")
+    rows = rows.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.min("root").alias("root"), F.count("*").alias("rows"))
+    best = F.min(F.struct("doc_id", "row", "rows")).alias("best")
+    keep = rows.groupBy("root", F.when(F.col("root").isNull(), F.col("row")).alias("alone")).agg(best)
+    keep = materialize(keep.select(F.col("best.row").alias(name), F.col("best.rows").alias("rows")), "kept")
+    known = docs.where("doc_id is not null").withColumn(name, key)
+    once = known.join(keep.where("rows = 1").select(name), name, "left_semi").select(*docs.columns)
+    more = known.join(keep.where("rows > 1").select(name), name, "left_semi").dropDuplicates([name]).select(*docs.columns)
     return once.union(more).union(docs.where("doc_id is null"))

@@ -95,6 +95,13 @@ def test_one_of_each(spark):
     assert jaccard.join(docs.where("doc_id > 10")).count() == 0
 
 
+def test_one_of_each_of_repeated_ids(spark):
+    one, other = "a b c d e f g h", "p q r s t u v w"
+    rows = [(1, one), (1, other), (2, one), (3, other), (4, "k l m n o p"), (5, "k l m n o p"), (5, "z y x w v"), (6, None), (6, ""), (7, "i j"), (7, "i j")]
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.one_of_each(frame(spark, rows)).collect()), key=str)
+    assert kept == sorted([(1, one), (1, other), (4, "k l m n o p"), (5, "z y x w v"), (6, None), (6, ""), (7, "i j")], key=str)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 9), (5, 5), (None, 1)] + [(100 + k, 101 + k) for k in range(40)] + [(200, 200 + k) for k in range(1, 30)]
     got = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
