@@ -8,10 +8,13 @@ place; catalog tables are small, yet nothing is broadcast without Spark's size c
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kinetics import arrhenius
+from .iterate import keep
 
 
 def add_unique(catalog: DataFrame, more: DataFrame, key: str) -> DataFrame:
@@ -117,14 +120,21 @@ def network_stats(stoich: DataFrame, reactions: DataFrame) -> DataFrame:
     return counts.crossJoin(rx).crossJoin(network_edges(stoich).agg(F.count("*").alias("n_edges")))
 
 
-def reachable(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
-    """(src, dst, hops): everything within ``depth`` hops of the sources(src), themselves
-    included with 0; a frontier join a hop, none once nothing is new."""
+def reachable(edges: DataFrame, sources: DataFrame, depth: int | None = None) -> DataFrame:
+    """(src, dst, hops): everything within ``depth`` hops of the sources(src), or at any
+    distance without it, the sources themselves included with 0; a frontier join a hop.
+    Without ``depth`` hops follow until one finds nothing new, each written to the shared folder."""
     found = sources.select("src", F.col("src").alias("dst")).distinct().withColumn("hops", F.lit(0))
     front = found.select("src", "dst")
     step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    for hop in range(1, depth + 1):
+    if depth is None:
+        step = keep(step)
+    for hop in itertools.count(1) if depth is None else range(1, depth + 1):
         new = front.join(step, "dst").select("src", F.col("next").alias("dst")).distinct().join(found.select("src", "dst"), ["src", "dst"], "left_anti")
+        if depth is None:
+            new = keep(new)
+            if new.isEmpty():
+                break
         found = found.union(new.withColumn("hops", F.lit(hop)))
         front = new
     return found

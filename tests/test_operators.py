@@ -65,6 +65,12 @@ def test_reactions(spark):
     assert reactions.add_unique(species.limit(0), species, "species").count() == 3
 
 
+def test_reachable_without_bound(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(7)] + [(7, 3), (20, 0)], "src int, dst int")
+    found = {(r.src, r.dst): r.hops for r in reactions.reachable(edges, spark.createDataFrame([(0,), (5,)], "src int")).collect()}
+    assert found == {(0, k): k for k in range(8)} | {(5, 5): 0, (5, 6): 1, (5, 7): 2, (5, 3): 3, (5, 4): 4}
+
+
 def test_hydrogen_rates(spark):
     stoich = spark.createDataFrame([("r", "H2", "R", 1.0), ("r", "O2", "R", 1.0), ("r", "OH", "P", 2.0)], "rxn string, species string, side string, coeff double")
     rx = spark.createDataFrame([("r", 1e13, 0.0, 2e5, 1e12, 0.0, 5e4, True)], "rxn string, a_f double, b_f double, e_f double, a_r double, b_r double, e_r double, reversible boolean")
