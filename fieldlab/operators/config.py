@@ -62,13 +62,13 @@ def with_prefix(config: DataFrame, prefix: str, strip: bool = False) -> DataFram
     return rows.withColumn("key", F.substring("key", len(prefix) + 1, 1 << 20)) if strip else rows
 
 
-def layer(*layers: DataFrame) -> DataFrame:
-    """The last layer that has a key decides: (key, type, value, source)."""
-    both = None
+def layer(*layers: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The last layer that has a key decides: ([keys], key, type, value, source)."""
+    on, both = [*(keys or []), "key"], None
     for n, rows in enumerate(layers):
-        part = rows.select("key", "type", "value", F.lit(n).alias("source"))
+        part = rows.select(*on, "type", "value", F.lit(n).alias("source"))
         both = part if both is None else both.union(part)
-    return both.groupBy("key").agg(F.max_by(F.struct("type", "value", "source"), "source").alias("b")).select("key", "b.*")
+    return both.groupBy(*on).agg(F.max_by(F.struct("type", "value", "source"), "source").alias("b")).select(*on, "b.*")
 
 
 def diff(old: DataFrame, new: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -102,9 +102,13 @@ def validate(config: DataFrame, schema: DataFrame, keys: list[str] | None = None
     return rows.select(*keys, "key", problem.alias("problem")).where("problem is not null")
 
 
-def defaults(config: DataFrame, schema: DataFrame) -> DataFrame:
-    """config with the schema's defaults for absent keys."""
-    return layer(schema.where("default is not null").select("key", "type", F.col("default").alias("value")), config)
+def defaults(config: DataFrame, schema: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """config with the schema's defaults for absent keys.  ``config`` may hold many
+    configurations told apart by ``keys``."""
+    wanted = schema.where("default is not null").select("key", "type", F.col("default").alias("value"))
+    if keys:
+        wanted = config.select(*keys).distinct().crossJoin(F.broadcast(wanted))  # a schema has few rows
+    return layer(wanted, config, keys=keys)
 
 
 def preset(spark: SparkSession, name: str, config: DataFrame | None = None, overwrite: bool = False) -> DataFrame:

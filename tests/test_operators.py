@@ -199,6 +199,12 @@ def test_config(spark):
     assert config.document(config.schema_rows(spark, "mesh")).count() == 3
 
 
+def test_defaults_of_many_configurations(spark):
+    rows = spark.createDataFrame([(7, "time.cfl", "double", "0.9"), (8, "mine", "string", "x"), (8, "time.t_final", "double", None)], "cfg int, key string, type string, value string")
+    found = {(r.cfg, r.key): r.value for r in config.defaults(rows, config.schema_rows(spark, "time"), ["cfg"]).collect()}
+    assert found == {(7, "time.cfl"): "0.9", (7, "time.t_final"): "1.0", (7, "time.output_interval"): "10", (8, "mine"): "x", (8, "time.cfl"): "0.5", (8, "time.t_final"): None, (8, "time.output_interval"): "10"}
+
+
 def test_partitions(spark):
     assert partition.process_grid(12) == (2, 2, 3) and partition.process_grid(22) == (2, 11, 1) and partition.cube_root_grid(8) == (2, 2, 2)
     rows = spark.range(23).select(partition.owner("id", 23, 4).alias("o")).groupBy("o").count().orderBy("o").collect()
