@@ -99,24 +99,25 @@ def _group(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counts(size: int):
-    def extract(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def extract(table: pa.Table) -> exchange.Asked:
         unique, count = np.unique(_group(table, size)[1], return_counts=True)
-        return unique, count.astype("<u4")
+        return exchange.Asked(unique, count.astype("<u4"))
 
     return extract
 
 
-def _level(values: np.ndarray, starts: np.ndarray, run_of: np.ndarray) -> np.ndarray:
+def _level(total: np.ndarray) -> np.ndarray:
     """0 for shingles of one document, else 1 + 4 log2 of the documents, as a byte."""
-    if not len(values):
-        return values.astype(np.uint8)
-    total = np.add.reduceat(values.astype(np.float64), starts)
-    level = np.where(total > 1, np.minimum(1 + 4 * np.log2(total), 255), 0)
-    return level.astype(np.uint8)[run_of]
+    return np.where(total > 1, np.minimum(1 + 4 * np.log2(np.maximum(total, 1).astype(np.float64)), 255), 0).astype(np.uint8)
+
+
+#: How many documents hold a shingle; more than 2**32 - 1 count as so many.
+HOLDERS = exchange.Question("<u4", "u1", lambda values, starts: np.minimum(np.add.reduceat(values.astype(np.uint64), starts), 0xFFFFFFFF).astype("<u4"), _level)
 
 
 def _describe(size: int):
-    def finish(table: pa.Table, level: np.ndarray) -> pa.Table:
+    def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
+        level = exchange.in_order(answers, HOLDERS)
         doc, value = _group(table, size)
         code = level[np.searchsorted(np.unique(value), value)] if len(value) else level
         n_docs = table.num_rows
@@ -302,7 +303,8 @@ def link_sets(sets: DataFrame, postings: DataFrame) -> DataFrame:
 def labelled(docs: DataFrame, size: int, keyed: bool = False) -> DataFrame:
     """(doc_id, n, root) for every row of docs; sets that are linked have one root, and rows
     without words none.  ``keyed`` docs have a long ``row`` that stays with each row."""
-    info = exchange.ask(docs, _counts(size), "<u4", _level, _describe(size), "u1", INFO + ", row long" * keyed, ("row",) * keyed)
+    dealt = exchange.Exchange(docs, ("row",) * keyed)
+    info = dealt.finish(dealt.ask(_counts(size), HOLDERS), _describe(size), INFO + ", row long" * keyed)
     info = materialize(info, "sets")
     release(docs)
     sets = materialize(info.where("tokens is not null").select("sid", "n", "work", "singles", "tokens").dropDuplicates(["sid"]), "distinct-sets")

@@ -3,21 +3,23 @@
 A window is ``size`` consecutive words of one document.  A window whose words also start in
 a document with a smaller id is removed, word by word; windows are judged on the input.
 
-First the groups of ``exchange`` learn, for each distinct window, the least document id of
-the corpus.  Then each group confirms its recurring passages - maximal runs of recurring
-windows, each told once - cuts them into blocks of ``(size + 1) // 2`` words, one of which
-lies in every window whatever its place, and compiles them into the group's own
-Aho-Corasick automaton, whose letters are words.  All of the group's documents stream
-through it; at every block found, the windows around it are compared word by word with the
-passage.  So each shard of documents meets the automaton of exactly the passages it can
-hold, and work grows with the corpus and not with its square.
-
-Windows are told apart across groups by 64-bit hashes.
+1. A window's *block* is the one of its ``(size + 1) // 2``-word pieces with the least hash,
+   so equal windows have equal blocks.  The groups of ``exchange`` learn which blocks more
+   than one document id holds; a window of another block can't recur.
+2. For the other windows the groups ask for the least document id that holds them, which
+   confirms the recurring passages and names their first place.  Windows are told apart by
+   96 bits of two independent hashes.
+3. Each group compiles the passages that its documents have from elsewhere, or share among
+   themselves, into Aho-Corasick automata of at most ``SHARD_WINDOWS`` windows, whose letters
+   are words, and streams all of its documents through each.  What an automaton finds, word
+   by word, in a document with a larger id than the passage's first is removed.  A group only
+   meets passages that it can hold, so work grows with the corpus and not with its square.
 
 Cases: null and empty texts have no words; documents shorter than a window stay whole; rows
 with equal ids are one document as far as ids go: a window that occurs in no smaller id
 stays, also where the same id repeats it; null ids count as larger than all others; an
-empty table gives an empty result; extra columns are ignored.
+empty table gives an empty result; extra columns are ignored; a very long text is a group of
+its own, held whole by one task.
 """
 
 from __future__ import annotations
@@ -64,72 +66,106 @@ class Group:
         self.key = np.array([NO_ID if i is None else i for i in self.ids], np.int64)
         self.at = np.flatnonzero(tk.within(self.begins, size, len(self.words)))
         self.windows = tk.gram_hashes(self.words, size)[self.at] if len(self.at) else np.zeros(0, np.uint64)
+        self.owner = self.key[self.doc[self.at]]
+
+    def blocks(self) -> np.ndarray:
+        """The hash of each window's block."""
+        if not len(self.at):
+            return self.windows
+        piece = (self.size + 1) // 2
+        return tk.sliding_min(tk.gram_hashes(self.words, piece), self.size - piece + 1)[self.at]
+
+    def checks(self) -> np.ndarray:
+        """A second hash of each window."""
+        if not len(self.at):
+            return np.zeros(0, exchange.CHECK)
+        other = tk.mix(self.words ^ np.uint64(0xA0761D6478BD642F))
+        return (tk.gram_hashes(other, self.size)[self.at] >> np.uint64(32)).astype(exchange.CHECK)
+
+
+#: Blocks: whether more than one document id holds one; 2 stands for more than one.
+SHARED = exchange.Question("u1", "u1", lambda values, starts: np.minimum(np.add.reduceat(values.astype(np.uint32), starts), 2).astype("u1"), lambda total: (total > 1).astype("u1"))
+
+
+def _smaller(hashes: np.ndarray, own: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Only windows that a smaller id than any of the group's holds."""
+    some = least < own
+    return hashes[some], least[some]
+
+
+#: Windows: the least document id that holds one.
+FIRST = exchange.Question("<i8", "<i8", np.minimum.reduceat, lambda least: least, checked=True, reply=_smaller)
+
 
+def _runs(ranked: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, np.int64)
 
-def _least_ids(size: int):
-    def extract(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+
+def _ask_blocks(size: int):
+    def extract(table: pa.Table) -> exchange.Asked:
         g = Group(table, size)
-        order = np.argsort(g.windows, kind="stable")  # rows stand in order of id, so the first is the least
-        ranked = g.windows[order]
-        fresh = np.ones(len(ranked), bool)
-        fresh[1:] = ranked[1:] != ranked[:-1]
-        return ranked[fresh], g.key[g.doc[g.at[order[fresh]]]].astype("<i8")
+        blocks = g.blocks()
+        order = np.argsort(blocks, kind="stable")  # rows stand in order of id
+        ranked, owner = blocks[order], g.owner[order]
+        starts = _runs(ranked)
+        several = owner[np.append(starts[1:], len(ranked)) - 1] != owner[starts] if len(starts) else np.zeros(0, bool)
+        return exchange.Asked(ranked[starts], 1 + several.astype("u1"))
 
     return extract
 
 
-def _reduce(values: np.ndarray, starts: np.ndarray, run_of: np.ndarray) -> np.ndarray:
-    """The bits in which the corpus's least id differs from the group's: mostly none."""
-    return np.minimum.reduceat(values, starts)[run_of] ^ values if len(starts) else values
+def _ask_windows(size: int):
+    def extract(table: pa.Table, answers: pa.Table) -> exchange.Asked:
+        g = Group(table, size)
+        shared = exchange.in_order(answers, SHARED) > 0
+        distinct, which = np.unique(g.blocks(), return_inverse=True)
+        if len(distinct) != len(shared):
+            raise ValueError("answers don't fit the group")
+        some = np.flatnonzero(shared[which]) if len(which) else which
+        key, check = g.windows[some], g.checks()[some]
+        order = np.lexsort((check, key))  # stable: the first of equals has the least id
+        key, check = key[order], check[order]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
+        return exchange.Asked(key[fresh], g.owner[some][order[fresh]].astype("<i8"), check[fresh])
+
+    return extract
 
 
-def locate(g: Group, repeated: np.ndarray, first: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Word positions (with repeats) at which a repeated window starts.
+#: Windows in one automaton; with 13 words each their distinct words stay below the letters there are.
+SHARD_WINDOWS = 80_000
 
-    repeated: which distinct windows; first: the first word of each one's first occurrence;
-    index: the distinct window that starts at a word, or -1.
-    """
+
+def locate(g: Group, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word position, passage) of every occurrence of the windows that start at the words
+    ``passages``, found by streaming all documents of the group through their automata."""
     import ahocorasick
 
-    block = (g.size + 1) // 2
-    told = np.sort(first[repeated])
-    if not len(told):
-        return told
-    # maximal runs of first occurrences, cut into blocks from each run's start
-    new = np.ones(len(told), bool)
-    new[1:] = np.diff(told) > 1
-    begin = np.flatnonzero(new)
-    length = np.diff(np.append(begin, len(told)))  # windows in a run
-    count = (length + block - 2) // block + 1  # the last block may begin after the last window
-    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    blocks = np.repeat(told[begin], count) + block * step
-    blocks = blocks[blocks + block <= np.repeat(told[begin] + length - 1, count) + g.size]
-    # one letter for each word of the passages; 0 for all others and between documents
-    spelled = blocks[:, None] + np.arange(block)
-    letters = np.unique(g.words[spelled])
-    slot = np.minimum(np.searchsorted(letters, g.words), len(letters) - 1)
-    letter = np.where(letters[slot] == g.words, slot + 1, 0)
-    letter += np.where(letter >= 0xD800, 0x800, 0)  # no surrogates
-    word_text = lambda x: x.astype("<u4").tobytes().decode("utf-32-le")
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    whole = word_text(letter[spelled].ravel())
-    for k in range(0, len(whole), block):
-        automaton.add_word(whole[k : k + block])
-    automaton.make_automaton()
-    spaced = np.insert(letter, g.begins[1:-1], 0)
-    found = np.fromiter((end for end, _ in automaton.iter(word_text(spaced))), np.int64)
-    # back to word positions: one separator stands before each later document
+    # one separator stands before each later document
     gaps = g.begins[1:-1] + np.arange(len(g.begins) - 2)
-    found = found - np.searchsorted(gaps, found, side="left") - (block - 1)
-    at = (found[:, None] - np.arange(block)).ravel()
-    at = at[(at >= 0)]
-    at = at[index[at] >= 0]
-    at = np.unique(at[repeated[index[at]]])
-    model = first[index[at]]
-    same = np.ones(len(at), bool)
-    for j in range(g.size):
-        same &= g.words[at + j] == g.words[model + j]
-    return at[same]
+    spell = lambda x: x.astype("<u4").tobytes().decode("utf-32-le")
+    places, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, len(passages), SHARD_WINDOWS):
+        some = passages[lo : lo + SHARD_WINDOWS]
+        held = np.zeros(len(g.words) + 1, np.int64)
+        np.add.at(held, some, 1)
+        np.subtract.at(held, some + g.size, 1)
+        letters = np.unique(g.words[np.cumsum(held[:-1]) > 0])
+        # one letter for each word of the passages; 0 for all others and between documents
+        slot = np.minimum(np.searchsorted(letters, g.words), len(letters) - 1)
+        letter = np.where(letters[slot] == g.words, slot + 1, 0)
+        letter += np.where(letter >= 0xD800, 0x800, 0)  # no surrogates
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        whole = spell(letter)
+        for k, at in enumerate(some.tolist(), lo):
+            automaton.add_word(whole[at : at + g.size], k)
+        automaton.make_automaton()
+        found = np.array(list(automaton.iter(spell(np.insert(letter, g.begins[1:-1], 0)))), np.int64).reshape(-1, 2)
+        last = found[:, 0]
+        places.append(last - np.searchsorted(gaps, last, side="left") - (g.size - 1))
+        which.append(found[:, 1])
+    return np.concatenate(places), np.concatenate(which)
 
 
 def kept_digests(g: Group, gone: np.ndarray) -> list[str]:
@@ -151,45 +187,49 @@ def kept_digests(g: Group, gone: np.ndarray) -> list[str]:
     return out
 
 
-def removed(table: pa.Table, answers: np.ndarray, size: int) -> tuple[Group, np.ndarray]:
+def removed(table: pa.Table, answers: pa.Table, size: int) -> tuple[Group, np.ndarray]:
     """The group, and which of its words go."""
     g = Group(table, size)
     gone = np.zeros(len(g.words) + 1, np.int64)
     if len(g.windows):
-        unique, where, inverse = np.unique(g.windows, return_index=True, return_inverse=True)
-        if len(unique) != len(answers):
-            raise ValueError("answers don't fit the group")
-        least = g.key[g.doc[g.at[where]]] ^ answers
-        index = np.full(len(g.words), -1, np.int64)
-        index[g.at] = inverse
-        later = g.key[g.doc[g.at]] > least[inverse]
-        repeated = np.zeros(len(unique), bool)
-        repeated[inverse[later]] = True
-        at = locate(g, repeated, g.at[where], index)
-        at = at[g.key[g.doc[at]] > least[index[at]]]
-        gone[at] += 1
+        order = np.argsort(g.windows, kind="stable")
+        ranked, owner = g.windows[order], g.owner[order]
+        starts = _runs(ranked)
+        distinct, own, most = ranked[starts], owner[starts], owner[np.append(starts[1:], len(ranked)) - 1]
+        least = own.copy()
+        hashes, elsewhere = exchange.replies(answers, FIRST)
+        least[np.searchsorted(distinct, hashes)] = elsewhere
+        later = np.flatnonzero(least < most)  # some of the group's documents lose these
+        at, passage = locate(g, g.at[order[starts[later]]])
+        at = at[g.key[g.doc[at]] > least[later][passage]]
+        np.add.at(gone, at, 1)
         np.subtract.at(gone, at + size, 1)
     return g, np.cumsum(gone)[:-1] > 0
 
 
+def _dedup(docs: DataFrame, size: int, rows, schema: str) -> DataFrame:
+    dealt = exchange.Exchange(docs)
+    shared = dealt.ask(_ask_blocks(size), SHARED)
+    first = dealt.ask(_ask_windows(size), FIRST, shared)
+    return dealt.finish(first, lambda table, answers: rows(*removed(table, answers, size)), schema)
+
+
 def dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row of docs(doc_id, text)."""
 
-    def finish(table: pa.Table, answers: np.ndarray) -> pa.Table:
-        g, gone = removed(table, answers, size)
+    def rows(g: Group, gone: np.ndarray) -> pa.Table:
         lost = np.append(0, np.cumsum(gone))
         return pa.table({"doc_id": pa.array(g.ids, pa.int64()), "n_words": pa.array(g.counts), "n_removed": pa.array(lost[g.begins[1:]] - lost[g.begins[:-1]]), "kept_sha256": pa.array(kept_digests(g, gone), pa.string())})
 
-    return exchange.ask(docs, _least_ids(size), "<i8", _reduce, finish, "<i8", SCHEMA)
+    return _dedup(docs, size, rows, SCHEMA)
 
 
 def dedup_texts(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """(doc_id, text) with the kept words joined by one space."""
 
-    def finish(table: pa.Table, answers: np.ndarray) -> pa.Table:
-        g, gone = removed(table, answers, size)
+    def rows(g: Group, gone: np.ndarray) -> pa.Table:
         raw = g.data.tobytes()
         texts = [b" ".join(raw[g.starts[k] : g.ends[k]] for k in np.flatnonzero(~gone[a:b]) + a).decode("utf-8", "replace") for a, b in zip(g.begins[:-1].tolist(), g.begins[1:].tolist(), strict=True)]
         return pa.table({"doc_id": pa.array(g.ids, pa.int64()), "text": pa.array(texts, pa.string())})
 
-    return exchange.ask(docs, _least_ids(size), "<i8", _reduce, finish, "<i8", "doc_id long, text string")
+    return _dedup(docs, size, rows, "doc_id long, text string")

@@ -46,25 +46,6 @@ _CUT_KIND[128:] = 0
 _CUT_KIND[[ord(c) for c in "'<|>"]] = 0
 
 
-_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
-
-
-def unit_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans: of up to 16 bytes from their first and last eight, which hold
-    all of them, of longer ones from every byte."""
-    n = ends - starts
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    wide = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-    short = np.minimum(n, 8)
-    head = wide[starts] & _MASK[short]
-    tail = wide[ends - short] & _MASK[short]
-    out = tk.mix(head * np.uint64(0x9E3779B97F4A7C15) + tk.mix(tail + n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-    long = np.flatnonzero(n > 16)
-    if len(long):
-        out[long] = tk.span_hash(data, starts[long], ends[long])
-    return out
-
-
 class WordEncoder:
     """ids of whole texts, each distinct unit (a word or a part of one) encoded once.
 
@@ -175,7 +156,7 @@ class WordEncoder:
         """(all ids, ids per document) of a chunk, each document closed by END_ID."""
         starts, ends, begins = self.units(data, offsets)
         fold = self.fold and b"<|" not in data.tobytes()  # special tokens heed case
-        hashes = unit_hashes(tk.LOWER[data] if fold else data, starts, ends)
+        hashes = tk.span_hash(tk.LOWER[data] if fold else data, starts, ends)
         unit = self._find(hashes)
         missing = np.flatnonzero(unit < 0)
         if len(missing):

@@ -70,7 +70,7 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     last = at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
     a = a[new]
     stop = last + length
-    content = tk.mix((sums[stop] - sums[first]) * tk.powers(tk._R_INV, n)[first] + (stop - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (a - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    content = tk.mix(tk.span_hash(data, first, stop) + (a - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
     return owner[first].astype(np.int64), first, last, h[a], content, a
 
 
@@ -249,7 +249,7 @@ def may_repeat(anchors: np.ndarray, rel: np.ndarray, contents: list[bytes], leng
         start = rel - stride * t
         fits = np.flatnonzero((start >= 0) & (start + length - stride <= size))
         at = base[fits] + start[fits]
-        key = tk.mix(tk.span_hash(flat, at, at + length - stride) ^ tk.mix(anchors[fits].view(np.uint64)))
+        key = tk.mix(tk.rolling_hash(flat, at, at + length - stride) ^ tk.mix(anchors[fits].view(np.uint64)))
         _, which, count = np.unique(key, return_inverse=True, return_counts=True)
         out[fits[count[which] > 1]] = True
     return out

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK_BYTES = 1 << 20
 
@@ -63,8 +64,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each span; equal content, equal hash."""
+def rolling_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A polynomial hash modulo 2**64 of values[start:end], cheap for long spans that overlap.
+
+    Unequal contents can be built that collide, so it may only choose what is looked at more
+    closely, never decide that two spans are equal.
+    """
     n = len(values)
     sums = np.zeros(n + 1, dtype=U64)
     np.cumsum((values.astype(U64) + U64(1)) * powers(_R, n), out=sums[1:])
@@ -72,6 +77,34 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+#: Spans beyond this many bytes are hashed one by one.
+WIDE_SPAN = 64
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes data[start:end] of each span; equal content, equal hash.
+
+    Eight bytes at a time go through ``mix``, which is not linear, so no repetition within a
+    span cancels out; long spans go through xxh3.
+    """
+    n = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    wide = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = mix((wide[starts] & _MASK[np.minimum(n, 8)]) + n.astype(U64) * U64(0xD6E8FEB86659FD93))
+    live = np.flatnonzero((n > 8) & (n <= WIDE_SPAN))
+    at = 8
+    while len(live):
+        left = n[live] - at
+        out[live] = mix((wide[starts[live] + at] & _MASK[np.minimum(left, 8)]) * U64(0x9E3779B97F4A7C15) ^ out[live])
+        live = live[left > 8]
+        at += 8
+    for k in np.flatnonzero(n > WIDE_SPAN).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])
+    return out
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string or binary column; null counts as empty."""
     if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
@@ -128,7 +161,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
-    """The hash of every k consecutive values (documents are not told apart here)."""
+    """The hash of every k consecutive values (documents are not told apart here).
+
+    The values are mixed hashes, and k is small: a polynomial modulo 2**64 only lets unequal
+    sequences cancel out from 2**10 values on.
+    """
+    if k > 512:
+        raise ValueError("windows of more than 512 values")
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, U64)

@@ -22,3 +22,8 @@ def frame(spark, rows, partitions=3):
 def odd_rows():
     long = " ".join(f"w{i % 97}x{i % 13}" for i in range(9000))
     return [(1, None), (2, ""), (3, "   \t\n"), (4, "one"), (5, "one two  three\x0bfour"), (6, long), (7, "É a b ÑÑ zz"), (8, long), (8, long), (9, "x" * 5000)]
+
+
+def thue_morse(n, swap=False):
+    """A word of n letters a and b whose mirror has the same polynomial hash modulo 2**64."""
+    return "".join("ab"[(i.bit_count() + swap) % 2] for i in range(n))

@@ -5,7 +5,7 @@ import pytest
 from fieldlab.llm import exchange, jaccard
 from fieldlab.llm.components import components
 
-from .fixtures import frame, odd_rows, words
+from .fixtures import frame, odd_rows, thue_morse, words
 
 
 def shingle_set(text):
@@ -107,3 +107,17 @@ def test_components(spark):
     got = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
     want = {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7} | {k: 100 for k in range(100, 141)} | {k: 200 for k in range(200, 230)}
     assert got == want
+
+
+def test_structured_words(spark):
+    rows = [(1, thue_morse(1024)), (2, thue_morse(1024, swap=True)), (3, "a b c d " + thue_morse(2048)), (4, "a b c d " + thue_morse(2048, swap=True)), (5, thue_morse(1024))]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_relays(spark, monkeypatch):
+    monkeypatch.setattr(exchange, "GROUP_BYTES", 900)
+    monkeypatch.setattr(exchange, "BUCKET_HASHES", 60)
+    monkeypatch.setattr(exchange, "RELAY_BUCKETS", 3)
+    rows = near_copies(8)
+    assert exchange.Exchange(frame(spark, rows)).ranges > 1
+    assert run(spark, rows) == brute(rows)

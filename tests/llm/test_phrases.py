@@ -5,7 +5,7 @@ import pytest
 
 from fieldlab.llm import exchange, phrases
 
-from .fixtures import frame, odd_rows, words
+from .fixtures import frame, odd_rows, thue_morse, words
 
 
 def brute(rows, size=13):
@@ -66,3 +66,36 @@ def test_texts(spark):
     line = " ".join(f"w{i}" for i in range(15))
     rows = {r.doc_id: r.text for r in phrases.dedup_texts(frame(spark, [(1, "a  " + line), (2, line + "\nb")])).collect()}
     assert rows == {1: "a " + line, 2: "b"}
+
+
+def test_structured_words(spark):
+    for n in (1024, 2048):
+        filler = " ".join(f"w{i}" for i in range(12))
+        rows = [(1, f"{filler} {thue_morse(n)}"), (2, f"{filler} {thue_morse(n, swap=True)}"), (3, f"{filler} {thue_morse(n)}")]
+        assert run(spark, rows) == brute(rows)
+
+
+def test_automata_locate_and_nothing_else(spark):
+    """What the automata don't find is not removed: of three documents of one group with one
+    passage, the answers only name the passage once."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(1, passage), (2, f"x {passage} y"), (3, f"{passage} z {passage}")]
+    assert [r[2] for r in run(spark, rows)] == [0, 20, 40]
+
+
+@pytest.mark.parametrize("limit", [1, 7])
+def test_many_automata(spark, limit, monkeypatch):
+    monkeypatch.setattr(exchange, "GROUP_BYTES", 4000)
+    monkeypatch.setattr(phrases, "SHARD_WINDOWS", limit)
+    rows = copies(4)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_relays(spark, monkeypatch):
+    monkeypatch.setattr(exchange, "GROUP_BYTES", 500)
+    monkeypatch.setattr(exchange, "BUCKET_HASHES", 60)
+    monkeypatch.setattr(exchange, "RELAY_BUCKETS", 3)
+    rows = copies(5) + odd_rows()
+    dealt = exchange.Exchange(frame(spark, rows))
+    assert dealt.ranges > 1 and dealt.groups // dealt.ranges > 1
+    assert run(spark, rows) == brute(rows)

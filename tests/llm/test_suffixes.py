@@ -6,7 +6,7 @@ import pytest
 
 from fieldlab.llm import suffixes
 
-from .fixtures import frame, odd_rows
+from .fixtures import frame, odd_rows, thue_morse
 
 
 def brute(rows, length):
@@ -78,3 +78,9 @@ def test_suffix_array(seed):
     shallow = suffixes.suffix_array(s, 8)
     heads = [tuple(s[k : k + 8].tolist()) for k in shallow]
     assert heads == sorted(heads) and sorted(shallow.tolist()) == list(range(len(s)))
+
+
+def test_structured_bytes(spark):
+    rows = [(1, "x" + thue_morse(2048)), (2, "x" + thue_morse(2048, swap=True)), (3, thue_morse(1024)), (4, "#" * 300 + thue_morse(1024, swap=True))]
+    assert run(spark, rows, length=1024, gram=8) == brute(rows, 1024)
+    assert run(spark, rows) == brute(rows, 400)
