@@ -43,7 +43,7 @@ def bucket_count(total_bytes: int, least: int) -> int:
 
 
 def group_of(groups: int):
-    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups).cast("long"))
 
 
 def sort_table(table: pa.Table) -> pa.Table:
@@ -237,7 +237,7 @@ class Exchange:
         if not self.ranges:
             return blobs.groupBy("bucket").applyInArrow(_answer(q, True), ANSWER)
         batches = max(1, self.groups // self.ranges)
-        first = blobs.withColumn("relay", F.col("bucket") * batches + F.pmod("g", F.lit(batches))).repartition("relay")
+        first = blobs.withColumn("relay", F.col("bucket") * F.lit(batches).cast("long") + F.pmod("g", F.lit(batches).cast("long"))).repartition("relay")
         merged = first.groupBy("relay").applyInArrow(_merge(q, self.buckets), SENT)
         got = merged.groupBy("bucket").applyInArrow(_answer(q, False), ANSWER)
         return first.groupBy("relay").cogroup(got.groupBy("g")).applyInArrow(_hand_back(q), ANSWER)

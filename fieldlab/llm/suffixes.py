@@ -74,7 +74,7 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     return owner[first].astype(np.int64), first, last, h[a], content, a
 
 
-RUNS = "g int, doc_id long, tag long, anchor long, content long, first int, n int, rel int"
+RUNS = "g long, doc_id long, tag long, anchor long, content long, first int, n int, rel int"
 
 
 def _runs(length: int, gram: int):
