@@ -27,12 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import partitions, scratch
+from .common import bytes_of, partitions, scratch
 
 MAGIC = b"RPG1"
 HEADER = struct.Struct("<7I")
@@ -46,9 +47,26 @@ _CUT_KIND[128:] = 0
 _CUT_KIND[[ord(c) for c in "'<|>"]] = 0
 
 
+def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, first eight, last eight) of spans: all there is of up to 16 bytes; of longer
+    ones the last is a hash of 64 bits independent of ``span_hash``."""
+    n = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    wide = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    short = np.minimum(n, 8)
+    head, tail = wide[starts] & tk._MASK[short], wide[ends - short] & tk._MASK[short]
+    for k in np.flatnonzero(n > 16).tolist():
+        tail[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes(), 1)
+    return n.astype(np.int32), head, tail
+
+
 class WordEncoder:
     """ids of whole texts, each distinct unit (a word or a part of one) encoded once.
 
+    A unit is found by hash and then held against its own bytes; where another unit has its
+    hash, it gets the next one.
+
     Units are words, cut further between an ASCII letter, digit or sign and a neighbour of
     another of these kinds, except next to ``'<|>``.  That is correct for tokenizers whose
     normaliser and pre-tokenizer never look across such places and drop white space, which
@@ -74,6 +92,7 @@ class WordEncoder:
         self.at = np.zeros(0, np.int32)
         self.size = np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.int32)
+        self.bytes, self.head, self.tail = np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Each hash's unit, or -1."""
@@ -111,7 +130,7 @@ class WordEncoder:
         parts = [encode(u) for u in units]
         return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
 
-    def _learn(self, keys: np.ndarray, units: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, units: list[str], own: list[np.ndarray]) -> None:
         plain = np.fromiter(map(str.isalpha, units), bool, len(units))
         order = np.argsort(~plain, kind="stable")
         cut = int(plain.sum())
@@ -127,6 +146,7 @@ class WordEncoder:
         self.size = np.concatenate([self.size, size.astype(np.int32)])
         self.flat = np.concatenate([self.flat, flat])
         self.keys = np.concatenate([self.keys, keys])
+        self.bytes, self.head, self.tail = (np.concatenate([x, y[order]]) for x, y in zip((self.bytes, self.head, self.tail), own, strict=True))
         place = (keys >> np.uint64(64 - (len(self.slots) - 1).bit_length())).astype(np.int64)
         todo = np.arange(len(keys))
         while len(todo):
@@ -156,18 +176,26 @@ class WordEncoder:
         """(all ids, ids per document) of a chunk, each document closed by END_ID."""
         starts, ends, begins = self.units(data, offsets)
         fold = self.fold and b"<|" not in data.tobytes()  # special tokens heed case
-        hashes = tk.span_hash(tk.LOWER[data] if fold else data, starts, ends)
-        unit = self._find(hashes)
-        missing = np.flatnonzero(unit < 0)
-        if len(missing):
-            new, first = np.unique(hashes[missing], return_index=True)
-            if len(self.keys) + len(new) > VOCABULARY_WORDS and len(self.keys):
-                self.clear()
-                return self.encode(data, offsets)
-            raw = data.tobytes()
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[missing[first]].tolist(), ends[missing[first]].tolist(), strict=True)]
-            self._learn(new, texts)
-            unit[missing] = self._find(hashes[missing])
+        seen = tk.LOWER[data] if fold else data
+        hashes, own = tk.span_hash(seen, starts, ends), spelled(seen, starts, ends)
+        while True:
+            unit = self._find(hashes)
+            missing = np.flatnonzero(unit < 0)
+            if len(missing):
+                new, first = np.unique(hashes[missing], return_index=True)
+                if len(self.keys) + len(new) > VOCABULARY_WORDS and len(self.keys):
+                    self.clear()
+                    return self.encode(data, offsets)
+                which = missing[first]
+                raw = data.tobytes()
+                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
+                self._learn(new, texts, [x[which] for x in own])
+                unit[missing] = self._find(hashes[missing])
+            same = (self.bytes[unit] == own[0]) & (self.head[unit] == own[1]) & (self.tail[unit] == own[2])
+            other = np.flatnonzero(~same)
+            if not len(other):
+                break
+            hashes[other] = tk.mix(hashes[other] + np.uint64(1))
         # a slot for the end id after the last unit of each document
         n_docs, n = len(offsets) - 1, len(unit)
         size = np.ones(n + n_docs, np.int32)
@@ -192,7 +220,7 @@ def _slot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - PAIR_SLOTS)
 
 
-def repair(ids: np.ndarray, lengths: np.ndarray, rounds: int | None = None, top: int = 1024, least: int = 8) -> tuple[np.ndarray, np.ndarray, list[int], int, np.ndarray]:
+def repair(ids: np.ndarray, lengths: np.ndarray, rounds: int | None = None, top: int = 8192, least: int = 8) -> tuple[np.ndarray, np.ndarray, list[int], int, np.ndarray]:
     """(sequence, rules, rules a round, first nonterminal, symbols per document).
 
     A round takes the ``top`` slots of most pairs by hash (and those as full as the last of
@@ -214,7 +242,8 @@ def repair(ids: np.ndarray, lengths: np.ndarray, rounds: int | None = None, top:
         often = (total >= least)[slot]
         if 4 * np.count_nonzero(often) < 3 * len(at):
             at, slot = at[often], slot[often]
-        for floor in (max(least, int(np.partition(total, -top)[-top])), least):
+        full = total[total >= least]
+        for floor in (int(np.partition(full, -top)[-top]) if len(full) > top else least, least):
             near = np.flatnonzero((total >= floor)[slot])
             put = at[near]
             code = (seq[put].astype(np.int64) << 32) | seq[put + 1]
@@ -358,6 +387,9 @@ class Block:
 
 _encoders: dict[str, WordEncoder] = {}
 
+#: Bytes of text in a shard, at most on average.
+SHARD_BYTES = 64 << 20
+
 STORED = "shard int, block int, n_docs long, n_ids long, data binary"
 
 
@@ -398,7 +430,8 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, shards:
     ascending doc_id order; returns where they are."""
     spark = docs.sparkSession
     path = path or scratch(spark, "token-ids")
-    ordered = docs.select("doc_id", "text").repartitionByRange(shards or partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions("doc_id", "text")
+    shards = shards or max(partitions(spark), -(-bytes_of(docs, "text") // SHARD_BYTES))
+    ordered = docs.select("doc_id", "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_encode_partition(tokenizer, block_ids, rounds), STORED).write.option("compression", "zstd").parquet(path)
     return path
 

@@ -6,7 +6,7 @@ import pytest
 from fieldlab.llm import repair
 from fieldlab.llm import textkit as tk
 
-from .fixtures import frame, odd_rows
+from .fixtures import frame, odd_rows, thue_morse
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +25,23 @@ def test_words_encode_like_whole_texts():
     assert np.split(ids, np.cumsum(n)[:-1]) and [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == whole(texts)
 
 
+def encoded(texts):
+    raw = [t.encode() for t in texts]
+    ids, n = repair.WordEncoder(PATH).encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
+def test_structured_words():
+    texts = [thue_morse(n, swap) for n in (8, 16, 32, 1024, 2048) for swap in (False, True)]
+    assert encoded(texts) == whole(texts)
+
+
+def test_units_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(tk, "span_hash", lambda data, starts, ends: ((ends - starts) % 3).astype(np.uint64))
+    texts = ["one two six ten a b c abcdefgh abcdefgi x" + "y" * k + " aaaaaaaaa aaaaaaaaaa 12 12a" for k in range(30)]
+    assert encoded(texts) == whole(texts)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_blocks_round_trip(seed):
     rng = np.random.default_rng(seed)
