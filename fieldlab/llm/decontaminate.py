@@ -11,8 +11,13 @@ bound would fall below 1; items shorter than q bytes must occur exactly.
 Shared q-grams are counted by place, so bands in repetitive texts only ever count too
 much; the alignment decides.
 
-The items are broadcast when they take at most ``BROADCAST_BYTES``; a larger benchmark is
-cut into parts of that size, and documents pass over the parts one after the other.
+The items travel with the plan when they take at most ``BROADCAST_BYTES``; a larger benchmark
+is cut into parts of that size, and documents meet one part after the other, with each
+part's result written to the shared folder, so no plan holds more than one part.
+
+Hits are looked for in stretches of ``SCAN_BYTES`` and expanded to the places of their
+q-grams ``HITS`` at a time, so repetitive and very long texts take no more memory than
+others beyond a few times their bytes.
 
 Cases: null and empty texts match nothing; null, empty or blank items are ignored; repeated
 documents and repeated items each yield their own rows; empty tables give empty results;
@@ -29,9 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .common import discard, materialize
 
 Q, RATE = 8, 0.1
 BROADCAST_BYTES = 8 << 20
+#: Bytes of text whose q-grams are looked up together, and shared places that are counted together.
+SCAN_BYTES, HITS = 4 << 20, 1 << 21
 #: Bands that are aligned together.
 LANES = 2048
 
@@ -65,8 +73,17 @@ def grams(data: np.ndarray, q: int) -> np.ndarray:
     """The q bytes (at most 8) from every place, as one number each."""
     if len(data) < q:
         return np.zeros(0, np.uint64)
-    wide = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8).copy().view("<u8").ravel()
-    return wide[: len(data) - q + 1] & np.uint64((1 << (8 * q)) - 1)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) - q + 1,), "<u8", padded, strides=(1,)) & np.uint64((1 << (8 * q)) - 1)
+
+
+def _added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by key of several (keys, counts)."""
+    if len(found) == 1:
+        return found[0]
+    keys, which = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    return keys, np.bincount(which, np.concatenate([c for _, c in found])).astype(np.int64)
 
 
 class Items:
@@ -104,27 +121,34 @@ class Items:
     def regions(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, item, least diagonal) of every band that reaches its item's bound."""
         none = np.zeros(0, np.int64)
-        g = grams(data, self.q)
-        hit = np.flatnonzero(self.bits[self._slot(g)]) if len(self.keys) else none
-        owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
-        hit = hit[owner[hit] == owner[hit + self.q - 1]]
-        slot = np.minimum(np.searchsorted(self.keys, g[hit]), max(len(self.keys) - 1, 0))
-        good = self.keys[slot] == g[hit] if len(hit) else np.zeros(0, bool)
-        hit, slot = hit[good], slot[good]
-        if not len(hit):
-            return none, none, none
-        n = self.count[slot]
-        entry = np.repeat(self.at[slot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        item, diagonal = self.item[entry], np.repeat(hit, n) - self.place[entry]
-        doc = np.repeat(owner[hit].astype(np.int64), n)
-        # bands of item i begin every budget + 1 diagonals and are twice as wide
-        step = self.budget[item] + 1
         low = len(data) + 1  # keeps band numbers positive
-        band = (diagonal + low) // step
-        span = (2 * low) + 2
-        docs = len(offsets) - 1
-        key = (item * docs + doc) * span + band
-        unique, count = np.unique(key, return_counts=True)
+        span, docs = 2 * low + 2, len(offsets) - 1
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for lo in range(0, len(data) if len(self.keys) else 0, SCAN_BYTES):
+            g = grams(data[lo : lo + SCAN_BYTES + self.q - 1], self.q)
+            hit = np.flatnonzero(self.bits[self._slot(g)])
+            slot = np.minimum(np.searchsorted(self.keys, g[hit]), len(self.keys) - 1)
+            good = self.keys[slot] == g[hit]
+            hit, slot = hit[good] + lo, slot[good]
+            doc = np.searchsorted(offsets, hit, side="right") - 1
+            good = hit + self.q <= offsets[doc + 1]
+            hit, slot, doc = hit[good], slot[good], doc[good]
+            upto = np.cumsum(self.count[slot])
+            at = 0
+            while at < len(hit):  # at least one hit at a time
+                end = max(at + 1, int(np.searchsorted(upto, HITS + (upto[at - 1] if at else 0), side="right")))
+                n = self.count[slot[at:end]]
+                entry = np.repeat(self.at[slot[at:end]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                item = self.item[entry]
+                # bands of item i begin every budget + 1 diagonals and are twice as wide
+                band = (np.repeat(hit[at:end], n) - self.place[entry] + low) // (self.budget[item] + 1)
+                found.append(np.unique((item * docs + np.repeat(doc[at:end], n)) * span + band, return_counts=True))
+                if len(found) > 16:
+                    found = [_added(found)]
+                at = end
+        if not found:
+            return none, none, none
+        unique, count = _added(found)
         above = np.searchsorted(unique, unique + 1)
         leads = (above < len(unique)) & (unique[np.minimum(above, len(unique) - 1)] == unique + 1)
         with_next = count + np.where(leads, count[np.minimum(above, len(unique) - 1)], 0)
@@ -249,12 +273,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RAT
     """(doc_id, item_id, edits, start, stop): the best match of each item in each document."""
     some = docs.select("doc_id", "text")
     out = None
-    for ids, texts in parts_of(benchmark):
+    for (ids, texts), alone in _whether_alone(parts_of(benchmark)):
         found = some.mapInArrow(_scan(ids, texts, q, rate), SCHEMA)
+        found = found if alone else materialize(found, "matches")
         out = found if out is None else out.union(found)
     return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
 
 
+def _whether_alone(parts: Iterator) -> Iterator[tuple[tuple[list[int], list[bytes]], bool]]:
+    """Each part, and whether it's the only one."""
+    first, second = next(parts, None), next(parts, None)
+    if first is not None:
+        yield first, second is None
+    if second is not None:
+        yield second, False
+    for part in parts:
+        yield part, False
+
+
 def _mark(ids: list[int], texts: list[bytes], q: int, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(ids, texts, q, rate)
@@ -269,6 +305,12 @@ def _mark(ids: list[int], texts: list[bytes], q: int, rate: float):
 
 def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
     """The rows of docs, with all their columns, that match no item."""
-    for ids, texts in parts_of(benchmark):
+    before = None
+    for (ids, texts), alone in _whether_alone(parts_of(benchmark)):
         docs = docs.mapInArrow(_mark(ids, texts, q, rate), docs.schema)
+        if not alone:
+            docs = materialize(docs, "clean")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs

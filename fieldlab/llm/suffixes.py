@@ -18,9 +18,12 @@ input.
    ``length`` bytes deep.
 4. The runs' repeated strings go back to their documents.
 
-An anchor with more than ``PACKET_RUNS`` different contents doesn't go to a packet: its
-strings are counted by 64-bit hash in a partially aggregated group-by instead, so no anchor
-can crowd a task.  Equal contents are recognised by 64-bit hashes.
+An anchor with more than ``PACKET_RUNS`` different contents, such as a line that many pages
+have, is divided first, so that none crowds a task: strings with their anchor in the same
+stretch of ``stride`` places share a long piece, and only contents with an equal piece go to
+one packet.  ``STRIDES`` go down to a few places; what is more than a packet even then
+differs in a few bytes at its ends at most, and its strings are counted by 128 bits of hash.
+A run's content is known by 128 bits too, 64 of its anchor and 64 of its bytes.
 
 Cases: null and empty texts and texts shorter than ``length`` stay whole; repeated rows are
 documents of their own and repeat each other; null ids are kept; an empty table gives an
@@ -34,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +47,8 @@ from .common import bytes_of, materialize
 
 LENGTH, GRAM = 400, 32
 PACKET_BYTES, PACKET_RUNS = 1 << 20, 20_000
+#: Stretches of anchor places that crowded anchors are divided by, as shares of all places.
+STRIDES = (1 / 8, 1 / 64)
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -233,8 +239,8 @@ def intervals(flags: np.ndarray) -> np.ndarray:
 FOUND = "anchor long, content long, spans array<int>"
 
 
-def may_repeat(anchors: np.ndarray, rel: np.ndarray, contents: list[bytes], length: int, gram: int) -> np.ndarray:
-    """Which contents may share a string of ``length`` bytes with another of their anchor.
+def may_repeat(parts: np.ndarray, rel: np.ndarray, contents: list[bytes], length: int, gram: int) -> np.ndarray:
+    """Which contents may share a string of ``length`` bytes with another of their part.
 
     A string with its anchor j bytes in contains the piece of ``length - stride`` bytes that
     begins ``stride * (j div stride)`` bytes before the anchor, so a content none of whose
@@ -249,7 +255,7 @@ def may_repeat(anchors: np.ndarray, rel: np.ndarray, contents: list[bytes], leng
         start = rel - stride * t
         fits = np.flatnonzero((start >= 0) & (start + length - stride <= size))
         at = base[fits] + start[fits]
-        key = tk.mix(tk.rolling_hash(flat, at, at + length - stride) ^ tk.mix(anchors[fits].view(np.uint64)))
+        key = tk.mix(tk.rolling_hash(flat, at, at + length - stride) ^ tk.mix(parts[fits].view(np.uint64)))
         _, which, count = np.unique(key, return_inverse=True, return_counts=True)
         out[fits[count[which] > 1]] = True
     return out
@@ -257,39 +263,39 @@ def may_repeat(anchors: np.ndarray, rel: np.ndarray, contents: list[bytes], leng
 
 def _sort_packets(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[int, int, int, int, bytes]] = []  # wait for the suffix array
-        rows: list[tuple[int, int, int, int, bytes]] = []  # wait for the rest of their anchor
+        kept: list[tuple] = []  # (part, anchor, content, copies, first, rel, bytes) that wait for the suffix array
+        rows: list[tuple] = []  # wait for the rest of their part
         held = waiting = 0
 
         def sift() -> list[pa.RecordBatch]:
             nonlocal kept, rows, held, waiting
             done = []
             if rows:
-                live = may_repeat(np.array([r[0] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64), [r[4] for r in rows], length, gram)
+                live = may_repeat(np.array([r[0] for r in rows], np.int64), np.array([r[5] for r in rows], np.int64), [r[6] for r in rows], length, gram)
                 kept += [r for r, x in zip(rows, live.tolist(), strict=True) if x]
-                done = [r for r, x in zip(rows, live.tolist(), strict=True) if not x and r[2] > 1]
-            held = sum(len(r[4]) for r in kept)
+                done = [r for r, x in zip(rows, live.tolist(), strict=True) if not x and r[3] > 1]
+            held = sum(len(r[6]) for r in kept)
             rows, waiting = [], 0
-            return [answer(done, [np.array([0, len(r[4]) - length + 1]) for r in done])] if done else []
+            return [answer(done, [np.array([0, len(r[6]) - length + 1]) for r in done])] if done else []
 
         def flush() -> list[pa.RecordBatch]:
             nonlocal kept, held
-            flags = repeated_starts([r[4] for r in kept], length)
-            out = answer(kept, [intervals(f | (r[2] > 1)) for f, r in zip(flags, kept, strict=True)])
+            flags = repeated_starts([r[6] for r in kept], length)
+            out = answer(kept, [intervals(f | (r[3] > 1)) for f, r in zip(flags, kept, strict=True)])
             kept, held = [], 0
             return [out]
 
         def answer(some: list, spans: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.int64()), pa.array([x.astype(np.int32) for x in spans], pa.list_(pa.int32()))], ["anchor", "content", "spans"])
+            return pa.RecordBatch.from_arrays([pa.array([r[1] for r in some], pa.int64()), pa.array([r[2] for r in some], pa.int64()), pa.array([(x + r[4]).astype(np.int32) for x, r in zip(spans, some, strict=True)], pa.list_(pa.int32()))], ["anchor", "content", "spans"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "copies", "rel", "bytes")), strict=True):
-                if waiting >= PACKET_BYTES and rows[-1][0] != row[0]:  # an anchor's contents stay together
+            for row in zip(*(batch.column(c).to_pylist() for c in ("part", "anchor", "content", "copies", "lo", "rel", "bytes")), strict=True):
+                if waiting >= PACKET_BYTES and rows[-1][0] != row[0]:  # a part's contents stay together
                     yield from sift()
                     if held >= PACKET_BYTES:
                         yield from flush()
                 rows.append(row)
-                waiting += len(row[4])
+                waiting += len(row[6])
         yield from sift()
         if kept:
             yield from flush()
@@ -297,14 +303,53 @@ def _sort_packets(length: int, gram: int):
     return run
 
 
+#: Bytes to look at: ``part`` meets in one packet, ``lo`` is where the bytes begin in the content.
+FETCHED = "part long, anchor long, content long, copies long, many boolean, lo int, rel int, bytes binary"
+
+
+def _divide(length: int, gram: int, stride: int):
+    """Each content's strings by the stretch of places that their anchor is in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["part", "anchor", "content", "copies", "many", "lo", "rel", "bytes"]
+        for batch in batches:
+            out: list[tuple] = []
+            for part, anchor, content, copies, _, lo, rel, raw in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                for t in range((length - gram) // stride + 1):
+                    piece = rel - stride * t
+                    first, last = max(0, piece - stride + 1), min(piece, len(raw) - length)
+                    if first <= last:
+                        key = xxhash.xxh3_64_intdigest(raw[piece : piece + length - stride], seed=(part ^ (t * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF)
+                        out.append((key - (1 << 64) if key >> 63 else key, anchor, content, copies, True, lo + first, rel - first, raw[first : last + length]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return run
+
+
+def divided(fetched: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows for packets, rows of parts that are more than a packet however divided)."""
+    packets, crowded = fetched.where("not many"), fetched.where("many")
+    if crowded.isEmpty():
+        return packets, None
+    for share in STRIDES:
+        parts = materialize(crowded.mapInArrow(_divide(length, gram, max(1, round((length - gram + 1) * share))), FETCHED), "parts")
+        large = parts.groupBy("part").agg(F.count("*").alias("rows")).where(F.col("rows") > PACKET_RUNS).select("part")
+        packets = packets.union(parts.join(large, "part", "left_anti").select(*parts.columns))
+        crowded = parts.join(large, "part", "left_semi").select(*parts.columns)
+        if crowded.isEmpty():
+            return packets, None
+    return packets, crowded
+
+
 def _string_hashes(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, content, copies, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "copies", "bytes")), strict=True):
-                data = np.frombuffer(raw, np.uint8)
-                at = np.arange(len(data) - length + 1)
-                h = tk.span_hash(data, at, at + length).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * len(h), pa.int64()), pa.array([content] * len(h), pa.int64()), pa.array([copies] * len(h), pa.int64()), pa.array(at.astype(np.int32)), pa.array(h)], ["anchor", "content", "copies", "at", "string"])
+            for anchor, content, copies, lo, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "copies", "lo", "bytes")), strict=True):
+                n = len(raw) - length + 1
+                keys = np.array([[xxhash.xxh3_64_intdigest(raw[k : k + length], seed) for seed in (0, 1)] for k in range(n)], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([anchor] * n, pa.int64()), pa.array([content] * n, pa.int64()), pa.array([copies] * n, pa.int64()), pa.array(np.arange(lo, lo + n, dtype=np.int32)), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["anchor", "content", "copies", "at", "string", "other"])
 
     return run
 
@@ -312,15 +357,17 @@ def _string_hashes(length: int):
 def _fetch(length: int):
     def run(docs: pa.Table, wanted: pa.Table) -> pa.Table:
         """The bytes of wanted runs from the documents of a group."""
-        names = ["anchor", "content", "copies", "many", "rel", "bytes"]
+        names = ["part", "anchor", "content", "copies", "many", "lo", "rel", "bytes"]
         texts: dict[tuple, bytes] = {}
         for key, tag, text in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "tag", "text")), strict=True):
             texts[key, tag] = text
         rows = [wanted.column(c).to_pylist() for c in ("doc_id", "tag", "first", "n", "anchor", "content", "copies", "many", "rel")]
         raw = {k: t.encode() for k, t in texts.items() if t is not None} if len(rows[0]) else {}
         parts = [raw[d, t][f : f + n + length - 1] for d, t, f, n, *_ in zip(*rows, strict=True)]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32())
-        return pa.table([*(pa.array(c, k) for c, k in zip(rows[4:], kinds, strict=True)), pa.array(parts, pa.binary())], names=names)
+        anchor, content, copies, many, rel = rows[4:]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
+        columns = (anchor, anchor, content, copies, many, [0] * len(anchor), rel, parts)
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return run
 
@@ -371,16 +418,16 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool =
 
     dealt = rows.repartition("g")
     wanted = mixed.select("at.*", "anchor", "content", "copies", (F.col("contents") > PACKET_RUNS).alias("many"))
-    fetched = dealt.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(_fetch(length), "anchor long, content long, copies long, many boolean, rel int, bytes binary")
-    fetched = materialize(fetched, "fetched")
-    packets = fetched.where("not many").repartition("anchor").sortWithinPartitions("anchor", "content")
+    fetched = dealt.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(_fetch(length), FETCHED)
+    packets, crowded = divided(materialize(fetched, "fetched"), length, gram)
+    packets = packets.repartition("part").sortWithinPartitions("part", "content")
     sorted_out = packets.mapInArrow(_sort_packets(length, gram), FOUND)
-    strings = fetched.where("many").mapInArrow(_string_hashes(length), "anchor long, content long, copies long, at int, string long")
-    seen = strings.groupBy("anchor", "string").agg(F.sum("copies").alias("total"))
-    counted = strings.join(seen.where("total > 1"), ["anchor", "string"])
-    counted = counted.groupBy("anchor", "content").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + 1))).alias("spans"))
-    found = settled.union(sorted_out.where("size(spans) > 0")).union(counted)
-
+    found = settled.union(sorted_out.where("size(spans) > 0"))
+    if crowded is not None:
+        strings = crowded.mapInArrow(_string_hashes(length), "anchor long, content long, copies long, at int, string long, other long")
+        seen = strings.groupBy("anchor", "string", "other").agg(F.sum("copies").alias("total"))
+        counted = strings.join(seen.where("total > 1"), ["anchor", "string", "other"])
+        found = found.union(counted.groupBy("anchor", "content").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + 1))).alias("spans")))
     spans = runs.join(found, ["anchor", "content"]).select("g", "doc_id", "tag", "first", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" if texts else RESULT
     return dealt.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(_cut(length, texts), schema)

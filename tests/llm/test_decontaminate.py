@@ -96,3 +96,15 @@ def test_folding_keeps_documents_apart():
     raw = [b" A  b\n", b"", b"  ", b"c d"]
     data, offs = dc.folded(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     assert [data[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)] == [b"a b", b"", b"", b"c d"]
+
+
+def test_a_long_repetitive_text_takes_bounded_memory():
+    import tracemalloc
+
+    items = dc.Items([1, 2], [b"a" * 200, b"ab" * 100])
+    data = np.full(1 << 20, 97, np.uint8)
+    tracemalloc.start()
+    found = dc.find(items, data, np.array([0, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(0, 1, 0, 0, 200)] and peak < 500 << 20

@@ -52,9 +52,16 @@ def test_brute_force(spark, seed):
     assert run(spark, rows, length=40, gram=8) == brute(rows, 40)
 
 
-def test_many_contents_are_counted_by_hash(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "PACKET_RUNS", 1)
-    rows = pieces(7)
+def lines(n=30):
+    """One long line in changing surroundings, some of them shared."""
+    line = "the same long line that stands on every page "
+    return [(i, f"{'left' * (i % 4)}{chr(97 + i % 5)}{line}{chr(97 + i % 3) * (i % 7)}{i if i % 2 else ''}") for i in range(n)]
+
+
+@pytest.mark.parametrize("most", [1, 4])
+def test_crowded_anchors_are_divided(spark, monkeypatch, most):
+    monkeypatch.setattr(suffixes, "PACKET_RUNS", most)
+    rows = pieces(7) + [(100 + i, t) for i, t in lines()]
     assert run(spark, rows, length=40, gram=8) == brute(rows, 40)
 
 
