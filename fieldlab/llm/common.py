@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 SPACE = " \\t\\n\\x0B\\f\\r"
 
 
+def free_name(columns: list[str], wanted: str) -> str:
+    """A column name like ``wanted`` that clashes with none of the columns."""
+    taken = {c.lower() for c in columns}
+    return next(n for n in (wanted, *(f"{wanted}_{k}" for k in range(len(taken) + 1))) if n.lower() not in taken)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -19,12 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) a temporary folder takes its place.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset and all runs on
+    one machine (tests) a temporary folder takes its place.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="fieldlab-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from . import exchange
 from . import textkit as tk
 from .components import components
-from .common import discard, materialize
+from .common import discard, free_name, materialize
 
 SHINGLE = 5
 #: Sizes above this are always heavy: the subsets of larger sets are too many.
@@ -326,7 +326,7 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """The rows of docs, with all their columns, of which each component keeps one row of
     its smallest id; rows without id stay.  Rows are known by id and text, so an id may
     stand for several texts; rows alike in both are one."""
-    name = next(n for n in ("row", *(f"row_{k}" for k in range(len(docs.columns) + 1))) if n not in docs.columns)
+    name = free_name(docs.columns, "row")
     key = F.xxhash64("doc_id", "text")
     rows = labelled(docs.select("doc_id", "text", key.alias("row")), size, keyed=True).where("doc_id is not null")
     rows = rows.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.min("root").alias("root"), F.count("*").alias("rows"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import materialize
+from .common import free_name, materialize
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,9 +92,10 @@ def keep_taken(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float
     """The mixed rows of docs, with all their columns: a row stands once for every epoch that
     takes any of its words, whole also where the budget cuts it.  Rows without words cost
     nothing and stay once; rows alike in id, source and text are taken alike."""
-    name = next(n for n in ("row", *(f"row_{k}" for k in range(len(docs.columns) + 1))) if n not in docs.columns)
+    name = free_name(docs.columns, "row")
+    often = free_name([*docs.columns, name], "times")
     times = taken_rows(docs, weights, share, epochs)
     times = times.groupBy("row").agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.greatest("size", F.lit(1))))).cast("int").alias("times"))
-    times = times.where("times > 0").select(F.col("row").alias(name), "times")
-    kept = docs.withColumn(name, row_hash()).join(times.withColumnRenamed("times", f"{name}_times"), name)
-    return kept.withColumn(f"{name}_times", F.explode(F.array_repeat(F.lit(0), F.col(f"{name}_times")))).select(*docs.columns)
+    times = times.where("times > 0").select(F.col("row").alias(name), F.col("times").alias(often))
+    kept = docs.withColumn(name, row_hash()).join(times, name)
+    return kept.withColumn(often, F.explode(F.array_repeat(F.lit(0), F.col(often)))).select(*docs.columns)

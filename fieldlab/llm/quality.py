@@ -22,10 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .exchange import pack, unpack
 from .toxicity import held_out, labelled_sample
 
 ROWS, WIDTH, WINDOW, SLICES = 1 << 15, 32, 2, 16
@@ -57,26 +59,46 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total += np.bincount(np.concatenate(up), minlength=len(total))
                 total -= np.bincount(np.concatenate(down), minlength=len(total))
     parts = total.reshape(SLICES, -1)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES)), pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())], ["slice", "sums"])
+    some = [k for k in range(SLICES) if parts[k].any()]
+    yield _sums(some, [TaskContext.get().partitionId()] * len(some), [parts[k] for k in some])
+
+
+def _sums(slices: list[int], parts: list[int], sums: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(slices, pa.int64()), pa.array(parts, pa.int64()), pa.array([pack(s.astype("<i8")) for s in sums], pa.binary())], ["slice", "part", "sums"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
+    """Sums by slice and part, of which equal ones stand together."""
+    key: tuple[int, int] | None = None
+    held = np.zeros(0, np.int64)
     for batch in batches:
-        for key, raw in zip(batch.column("slice").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-            part = np.frombuffer(raw, "<i8")
-            held[key] = held[key] + part if key in held else part.copy()
-    keys = sorted(held)
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([held[k].astype("<i8").tobytes() for k in keys], pa.binary())], ["slice", "sums"])
+        for k, part, raw in zip(*(batch.column(c).to_pylist() for c in ("slice", "part", "sums")), strict=True):
+            more = unpack(raw, "<i8")
+            if (k, part) == key:
+                held = held + more
+                continue
+            if key is not None:
+                yield _sums([key[0]], [key[1]], [held])
+            key, held = (k, part), more
+    if key is not None:
+        yield _sums([key[0]], [key[1]], [held])
+
+
+#: How many tasks' sums one task adds up, and how often before all that is left is added.
+FAN, LEVELS = 64, 2
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Unit vectors (ROWS, WIDTH): 4 MB, whatever the table's size."""
-    schema = "slice long, sums binary"
-    rows = docs.select("text").mapInArrow(_add, schema).repartition(SLICES, "slice").mapInArrow(_merge, schema).collect()
+    """Unit vectors (ROWS, WIDTH): 4 MB, whatever the table's size.  The tasks' sums are
+    added up in a tree, so no task reads those of all."""
+    schema = "slice long, part long, sums binary"
+    rows = docs.select("text").mapInArrow(_add, schema)
+    for level in range(LEVELS + 1):
+        part = F.floor(F.col("part") / FAN) if level < LEVELS else F.lit(0).cast("long")
+        rows = rows.withColumn("part", part).repartition("slice", "part").sortWithinPartitions("slice", "part").mapInArrow(_merge, schema)
     table = np.zeros((SLICES, ROWS * WIDTH // SLICES))
-    for r in rows:
-        table[r.slice] = np.frombuffer(bytes(r.sums), "<i8")
+    for r in rows.collect():
+        table[r.slice] = unpack(bytes(r.sums), "<i8")
     table = table.reshape(ROWS, WIDTH)
     common = table.sum(axis=0)
     seen = np.abs(table).sum(axis=1)

@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int
     return row.n_rows, np.frombuffer(bytes(row.slots), "<i4"), np.frombuffer(bytes(row.weights), "<f8")
 
 
-def _score(n_rows: int, slots: np.ndarray, weights: np.ndarray):
+def _score(n_rows: int, slots: np.ndarray, weights: np.ndarray, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 1 << BITS
         dense = np.zeros(size + 1)
@@ -132,17 +132,17 @@ def _score(n_rows: int, slots: np.ndarray, weights: np.ndarray):
                 pair = np.unique(doc[of] * size + slot[of])
                 logit = dense[size] + np.bincount(pair >> BITS, dense[pair & (size - 1)], hi - lo)
                 score[lo:hi] = 1 / (1 + np.exp(-np.clip(logit, -35, 35))) if n_rows else 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, name])
 
     return run
 
 
-def score(docs: DataFrame, model: tuple[int, np.ndarray, np.ndarray], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns of docs and ``score``, for every row."""
+def score(docs: DataFrame, model: tuple[int, np.ndarray, np.ndarray], keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The ``keep`` columns of docs and the score as ``name``, for every row."""
     names = [*dict.fromkeys([*keep, "text"])]
     some = docs.select(*names)
-    schema = some.withColumn("score", F.lit(0.0)).schema
-    return some.mapInArrow(_score(*model), schema).select(*keep, "score")
+    schema = some.withColumn(name, F.lit(0.0)).schema
+    return some.mapInArrow(_score(*model, name), schema).select(*keep, name)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -109,3 +109,23 @@ def test_pcm_blocks_are_seekable(spark):
     one = b"".join(bytes(r.pcm) for r in rows if r.doc_id == 1)
     assert bytes((b + 128) % 256 for b in one) == payload("abc" * 500)
     assert [r.sample_at for r in rows if r.doc_id == 2] == [0, 100]
+
+
+def test_seek_reads_any_sample(spark):
+    rng = np.random.default_rng(3)
+    texts = [(k, "".join(chr(97 + x) for x in rng.integers(0, 26, n))) for k, n in enumerate((10, 5000, 20_000))] + [(9, None)]
+    stored = media.store(frame(spark, texts)).cache()
+    whole = {k: payload(t) for k, t in texts}
+    for start, n in ((0, 16), (4096, 300), (4999, 10_000), (60_000, 5)):
+        got = {r.doc_id: media._unsigned(bytes(r.pcm)) for r in media.seek(stored, start, n).collect()}
+        assert got == {k: p[start : start + n] for k, p in whole.items()}
+
+
+def test_long_streams_are_decoded_by_stretches(spark, monkeypatch):
+    monkeypatch.setattr(media, "PCM_STRETCH", 1000)
+    text = "".join(chr(97 + k * k % 26) for k in range(5000))
+    from pyspark.sql import functions as F
+
+    rows = media.pcm_blocks(media.store(frame(spark, [(1, text)])), size=300).orderBy("sample_at").select("sample_at", F.length("pcm").alias("n"), "pcm").collect()
+    assert [r.sample_at for r in rows] == list(range(0, len(payload(text)), 300))
+    assert b"".join(media._unsigned(bytes(r.pcm)) for r in rows) == payload(text)
