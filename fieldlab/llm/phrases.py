@@ -133,39 +133,137 @@ def _ask_windows(size: int):
     return extract
 
 
-#: Windows in one automaton; with 13 words each their distinct words stay below the letters there are.
-SHARD_WINDOWS = 80_000
+#: Windows in one automaton.
+SHARD_WINDOWS = 1 << 18
+#: Places at which the passages may hold one block; windows of blocks with more are compiled whole.
+BLOCK_PLACES = 4
+
+
+class Speller:
+    """Words of a group's passages as fixed numbers of symbols.
+
+    An automaton's node searches its children one by one, so a word is spelled with a few
+    symbols of a small alphabet, another one for each of its places.
+    """
+
+    BITS = 5
+
+    def __init__(self, g: Group, told: np.ndarray):
+        held = np.zeros(len(g.words) + 1, np.int64)
+        np.add.at(held, told, 1)
+        np.subtract.at(held, told + g.size, 1)
+        letters = np.unique(g.words[np.cumsum(held[:-1]) > 0])
+        slot = np.minimum(np.searchsorted(letters, g.words), len(letters) - 1)
+        self.known = letters[slot] == g.words
+        self.width = max(1, -(-len(letters).bit_length() // self.BITS))
+        places = np.arange(self.width)
+        self.symbols = ((slot[:, None] >> (self.BITS * places)) & ((1 << self.BITS) - 1)) + (places << self.BITS) + 1
+        self.text = self._text(self.symbols)
+        self.doc = g.doc
+
+    @staticmethod
+    def _text(symbols: np.ndarray) -> str:
+        return symbols.astype("<u4").tobytes().decode("utf-32-le")
+
+    def words(self, start: int, n: int) -> str:
+        return self.text[start * self.width : (start + n) * self.width]
+
+    def stream(self, automaton, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(last word, value) of all that the automaton finds in the documents, of which
+        stretches of fewer than ``least`` words of the passages are passed over."""
+        n = len(self.known)
+        fresh = np.ones(n, bool)
+        fresh[1:] = (self.known[1:] != self.known[:-1]) | (self.doc[1:] != self.doc[:-1])
+        begin = np.flatnonzero(fresh)
+        long = np.diff(np.append(begin, n)) >= least
+        kept = np.flatnonzero(np.repeat(long, np.diff(np.append(begin, n))) & self.known)
+        if not len(kept):
+            return kept, kept
+        cut = np.flatnonzero(fresh[kept])[1:] * self.width
+        spaced = np.insert(self.symbols[kept].ravel(), cut, 0)
+        found = np.array(list(automaton.iter(self._text(spaced))), np.int64).reshape(-1, 2)
+        cut = cut + np.arange(len(cut))
+        at = found[:, 0] - np.searchsorted(cut, found[:, 0], side="left")
+        return kept[at // self.width], found[:, 1]
 
 
 def locate(g: Group, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word position, passage) of every occurrence of the windows that start at the words
-    ``passages``, found by streaming all documents of the group through their automata."""
-    import ahocorasick
+    ``passages``, found by streaming all documents of the group through their automata.
 
-    # one separator stands before each later document
-    gaps = g.begins[1:-1] + np.arange(len(g.begins) - 2)
-    spell = lambda x: x.astype("<u4").tobytes().decode("utf-32-le")
+    Runs of consecutive windows are cut into blocks of half a window, one of which lies in
+    every window whatever its place; an automaton holds the blocks.  Around each block found,
+    the words are compared with those around its places in the passages.
+    """
+    order = np.argsort(passages, kind="stable")
     places, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for lo in range(0, len(passages), SHARD_WINDOWS):
-        some = passages[lo : lo + SHARD_WINDOWS]
-        held = np.zeros(len(g.words) + 1, np.int64)
-        np.add.at(held, some, 1)
-        np.subtract.at(held, some + g.size, 1)
-        letters = np.unique(g.words[np.cumsum(held[:-1]) > 0])
-        # one letter for each word of the passages; 0 for all others and between documents
-        slot = np.minimum(np.searchsorted(letters, g.words), len(letters) - 1)
-        letter = np.where(letters[slot] == g.words, slot + 1, 0)
-        letter += np.where(letter >= 0xD800, 0x800, 0)  # no surrogates
+        some = order[lo : lo + SHARD_WINDOWS]
+        at, passage = _locate(g, passages[some])
+        places.append(at)
+        which.append(some[passage])
+    return np.concatenate(places), np.concatenate(which)
+
+
+def _locate(g: Group, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    import ahocorasick
+
+    block = (g.size + 1) // 2
+    spare = g.size - block
+    begin = np.flatnonzero(np.append(True, np.diff(told) > 1))
+    length = np.diff(np.append(begin, len(told)))  # windows in a run
+    count = (length - 1 + block - 1) // block + 1
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    blocks = np.repeat(told[begin], count) + block * step
+    speller = Speller(g, told)
+    number: dict[str, int] = {}
+    kind = np.array([number.setdefault(speller.words(p, block), len(number)) for p in blocks.tolist()], np.int64)
+    by = np.argsort(kind, kind="stable")
+    many = np.bincount(kind)
+    first = np.cumsum(many) - many
+    inside = np.zeros(len(g.words) + 1, bool)
+    inside[g.at] = True
+    index = np.full(len(g.words), -1, np.int64)
+    index[told] = np.arange(len(told))
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for text, k in number.items():
+        if many[k] <= BLOCK_PLACES:
+            automaton.add_word(text, k)
+    automaton.make_automaton()
+    places, passage = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(automaton):
+        last, found = speller.stream(automaton, block)
+        n = many[found]
+        text = np.repeat(last - block + 1, n)
+        model = blocks[by[np.repeat(first[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())]]
+        end = len(g.words) - 1
+        # how many words agree before and after the block, up to a window's rest
+        before, after = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
+        for j in range(1, spare + 1):
+            same = g.words[np.maximum(text - j, 0)] == g.words[np.maximum(model - j, 0)]
+            before += (before == j - 1) & same & (text >= j) & (model >= j)
+            right, wanted = text + block - 1 + j, model + block - 1 + j
+            same = g.words[np.minimum(right, end)] == g.words[np.minimum(wanted, end)]
+            after += (after == j - 1) & same & (right <= end) & (wanted <= end)
+        for j in range(spare + 1):
+            good = np.flatnonzero((before >= j) & (after >= spare - j))
+            at, window = text[good] - j, index[model[good] - j]
+            good = (window >= 0) & inside[at]
+            places.append(at[good])
+            passage.append(window[good])
+    hot = np.flatnonzero(many[kind] > BLOCK_PLACES)
+    if len(hot):
+        served = (blocks[hot][:, None] - np.arange(spare + 1)).ravel()
+        served = np.unique(index[served[served >= 0]])
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        whole = spell(letter)
-        for k, at in enumerate(some.tolist(), lo):
-            automaton.add_word(whole[at : at + g.size], k)
+        for k, p in zip(served[served >= 0].tolist(), told[served[served >= 0]].tolist(), strict=True):
+            automaton.add_word(speller.words(p, g.size), k)
         automaton.make_automaton()
-        found = np.array(list(automaton.iter(spell(np.insert(letter, g.begins[1:-1], 0)))), np.int64).reshape(-1, 2)
-        last = found[:, 0]
-        places.append(last - np.searchsorted(gaps, last, side="left") - (g.size - 1))
-        which.append(found[:, 1])
-    return np.concatenate(places), np.concatenate(which)
+        if len(automaton):
+            last, found = speller.stream(automaton, g.size)
+            places.append(last - g.size + 1)
+            passage.append(found)
+    return np.concatenate(places), np.concatenate(passage)
 
 
 def kept_digests(g: Group, gone: np.ndarray) -> list[str]:

@@ -83,10 +83,11 @@ def test_automata_locate_and_nothing_else(spark):
     assert [r[2] for r in run(spark, rows)] == [0, 20, 40]
 
 
-@pytest.mark.parametrize("limit", [1, 7])
-def test_many_automata(spark, limit, monkeypatch):
+@pytest.mark.parametrize("limit,places", [(1, 4), (7, 4), (1000, 0), (1000, 1)])
+def test_many_automata(spark, limit, places, monkeypatch):
     monkeypatch.setattr(exchange, "GROUP_BYTES", 4000)
     monkeypatch.setattr(phrases, "SHARD_WINDOWS", limit)
+    monkeypatch.setattr(phrases, "BLOCK_PLACES", places)
     rows = copies(4)
     assert run(spark, rows) == brute(rows)
 
