@@ -287,7 +287,7 @@ def link_sets(sets: DataFrame, postings: DataFrame) -> DataFrame:
             break
         both = found.select(F.col("ru").alias("old"), F.col("rv").alias("new")).union(found.select(F.col("rv").alias("old"), F.col("ru").alias("new")))
         lower = both.where("new < old").groupBy("old").agg(F.min("new").alias("new"))
-        postings = left.join(lower, F.col("root") == F.col("old"), "left").select("key", "sid", "n", "pos", F.coalesce("new", "root").alias("root"))
+        postings = salted(left, "sid", lower.withColumnRenamed("old", "root"), "root").select("key", "sid", "n", "pos", F.coalesce("new", "root").alias("root"))
         release(sets)
     if not links:
         return sets.sparkSession.createDataFrame([], "node long, root long")
@@ -300,6 +300,19 @@ def link_sets(sets: DataFrame, postings: DataFrame) -> DataFrame:
     return roots
 
 
+#: Tasks that the rows of one label are spread over when something is joined to them.
+SALTS = 8
+
+
+def salted(rows: DataFrame, by: str, values: DataFrame, key: str) -> DataFrame:
+    """rows left-joined with values, of which each key has one; a key's rows are spread by
+    ``by`` over ``SALTS`` tasks."""
+    names = [*rows.columns, *(c for c in values.columns if c != key)]
+    many = values.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    some = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return some.join(many, [key, "salt"], "left").select(*names)
+
+
 def labelled(docs: DataFrame, size: int, keyed: bool = False) -> DataFrame:
     """(doc_id, n, root) for every row of docs; sets that are linked have one root, and rows
     without words none.  ``keyed`` docs have a long ``row`` that stays with each row."""
@@ -318,8 +331,8 @@ def labelled(docs: DataFrame, size: int, keyed: bool = False) -> DataFrame:
 def join(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text)."""
     rows = labelled(docs, size)
-    names = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(names, "root", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    names = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
+    return salted(rows, "doc_id", names.where("rows > 1").drop("rows"), "root").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
