@@ -4,8 +4,8 @@
 field          lineitem: run = supplier, position by row number, value = quantity
 history        events: key = user, time = ts, value
 species        part: molecular weight, formation enthalpy, heat capacity from columns
-reactions      supplier: rate-law parameters from the account balance
-stoichiometry  lineitem: reaction = supplier, species = part mod 97, side by flag
+reactions      orders: rate-law parameters from the total price
+stoichiometry  lineitem: reaction = order, species = part, side by flag
 grid           part: a square grid by key, value = retail price
 matrix         lineitem: rows and columns by keys, value = discount
 mesh           customer: triangles on a jittered grid of nodes
@@ -30,51 +30,42 @@ def field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run"), (F.row_number().over(w) - 1).cast("long").alias("i"), F.col("l_quantity").alias("v"), (F.col("l_extendedprice") / 1e4).alias("w"))
 
 
-#: Fixed numbers of species and of positions that the tables are folded to.
-N_SPECIES = 97
-
-STOICH = f"stoich AS (SELECT l_suppkey AS rxn, l_partkey % {N_SPECIES} AS species, CASE WHEN l_returnflag = 'R' THEN 'R' ELSE 'P' END AS side, CAST(max(l_linenumber) AS DOUBLE) / 4 AS coeff FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 10 = 0 GROUP BY 1, 2, 3)"
-SPECIES = f"species AS (SELECT p_partkey AS species, 0.002 + p_size * 0.001 AS mw, (p_retailprice - 1000) * 10 AS h_form, 500 + p_size * 10.0 AS cp, 0.01 * p_size AS k_th, (p_partkey * 37 % 101) / 50.0 AS conc, CASE p_size % 4 WHEN 0 THEN 'solid' WHEN 1 THEN 'liquid' ELSE 'gas' END AS phase FROM part WHERE p_partkey < {N_SPECIES})"
-REACTIONS = "reactions AS (SELECT s_suppkey AS rxn, 1e6 * (1 + s_suppkey % 7) AS a_f, (s_suppkey % 3) * 0.5 AS b_f, 20000 + abs(s_acctbal) * 4 AS e_f, 5e5 AS a_r, 0.0 AS b_r, 30000 + abs(s_acctbal) * 2 AS e_r, s_suppkey % 2 = 0 AS reversible FROM supplier)"
+STOICH = "stoich AS (SELECT l_orderkey AS rxn, l_partkey AS species, CASE WHEN l_returnflag = 'R' THEN 'R' ELSE 'P' END AS side, CAST(max(l_linenumber) AS DOUBLE) / 4 AS coeff FROM lineitem GROUP BY 1, 2, 3)"
+SPECIES = "species AS (SELECT p_partkey AS species, 0.002 + p_size * 0.001 AS mw, (p_retailprice - 1000) * 10 AS h_form, 500 + p_size * 10.0 AS cp, 0.01 * p_size AS k_th, (p_partkey * 37 % 101) / 50.0 AS conc, CASE p_size % 4 WHEN 0 THEN 'solid' WHEN 1 THEN 'liquid' ELSE 'gas' END AS phase FROM part)"
+REACTIONS = "reactions AS (SELECT o_orderkey AS rxn, 1e6 * (1 + o_orderkey % 7) AS a_f, (o_orderkey % 3) * 0.5 AS b_f, 20000 + o_totalprice / 10 AS e_f, 5e5 AS a_r, 0.0 AS b_r, 30000 + o_totalprice / 20 AS e_r, o_orderkey % 2 = 0 AS reversible FROM orders)"
 
 
 def stoichiometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rxn, species, side, coeff): side R or P."""
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2 and l_orderkey % 10 = 0")
-    return rows.groupBy(F.col("l_suppkey").alias("rxn"), (F.col("l_partkey") % N_SPECIES).alias("species"), F.when(F.col("l_returnflag") == "R", "R").otherwise("P").alias("side")).agg((F.max("l_linenumber").cast("double") / 4).alias("coeff"))
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.groupBy(F.col("l_orderkey").alias("rxn"), F.col("l_partkey").alias("species"), F.when(F.col("l_returnflag") == "R", "R").otherwise("P").alias("side")).agg((F.max("l_linenumber").cast("double") / 4).alias("coeff"))
 
 
 def species(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").where(F.col("p_partkey") < N_SPECIES)
+    rows = table(spark, sf_dir, "part")
     phase = F.when(F.col("p_size") % 4 == 0, "solid").when(F.col("p_size") % 4 == 1, "liquid").otherwise("gas")
     return rows.select(F.col("p_partkey").alias("species"), (0.002 + F.col("p_size") * 0.001).alias("mw"), ((F.col("p_retailprice") - 1000) * 10).alias("h_form"), (500 + F.col("p_size") * 10.0).alias("cp"), (0.01 * F.col("p_size")).alias("k_th"), (F.col("p_partkey") * 37 % 101 / 50.0).alias("conc"), phase.alias("phase"))
 
 
 def reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(k.alias("rxn"), (1e6 * (1 + k % 7)).alias("a_f"), (k % 3 * 0.5).alias("b_f"), (20000 + F.abs("s_acctbal") * 4).alias("e_f"), F.lit(5e5).alias("a_r"), F.lit(0.0).alias("b_r"), (30000 + F.abs("s_acctbal") * 2).alias("e_r"), (k % 2 == 0).alias("reversible"))
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    return table(spark, sf_dir, "orders").select(k.alias("rxn"), (1e6 * (1 + k % 7)).alias("a_f"), (k % 3 * 0.5).alias("b_f"), (20000 + price / 10).alias("e_f"), F.lit(5e5).alias("a_r"), F.lit(0.0).alias("b_r"), (30000 + price / 20).alias("e_r"), (k % 2 == 0).alias("reversible"))
 
 
-GRID2 = "grid2 AS (SELECT 0 AS run, p_partkey % 40 AS i, p_partkey // 40 AS j, p_retailprice / 1000 AS v, ((p_partkey * 31) % 17 - 8) / 8.0 AS ux, ((p_partkey * 13) % 11 - 5) / 5.0 AS uy FROM part WHERE p_partkey // 40 < (SELECT count(*) FROM part) // 40)"
+GRID2 = "grid2 AS (SELECT 0 AS run, p_partkey % 40 AS i, p_partkey // 40 AS j, p_retailprice / 1000 AS v, ((p_partkey * 31) % 17 - 8) / 8.0 AS ux, ((p_partkey * 13) % 11 - 5) / 5.0 AS uy FROM part)"
 
 
 def grid2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(run, i, j, v, ux, uy): 40 columns, as many whole rows as the table fills."""
-    part = table(spark, sf_dir, "part")
-    rows = part.select(F.lit(0).alias("run"), (F.col("p_partkey") % 40).alias("i"), F.expr("p_partkey div 40").alias("j"), (F.col("p_retailprice") / 1000).alias("v"), ((F.col("p_partkey") * 31 % 17 - 8) / 8.0).alias("ux"), ((F.col("p_partkey") * 13 % 11 - 5) / 5.0).alias("uy"))
-    full = part.agg(F.expr("count(*) div 40").alias("full"))
-    return rows.join(F.broadcast(full), F.col("j") < F.col("full")).drop("full")
+    """(run, i, j, v, ux, uy): 40 columns; the last row may be short."""
+    return table(spark, sf_dir, "part").select(F.lit(0).alias("run"), (F.col("p_partkey") % 40).alias("i"), F.expr("p_partkey div 40").alias("j"), (F.col("p_retailprice") / 1000).alias("v"), ((F.col("p_partkey") * 31 % 17 - 8) / 8.0).alias("ux"), ((F.col("p_partkey") * 13 % 11 - 5) / 5.0).alias("uy"))
 
 
-GRID3 = "grid3 AS (SELECT p_partkey // 1000 AS run, p_partkey % 10 AS i, p_partkey // 10 % 10 AS j, p_partkey // 100 % 10 AS k, p_retailprice / 1000 AS v FROM part WHERE p_partkey // 1000 < (SELECT count(*) FROM part) // 1000)"
+GRID3 = "grid3 AS (SELECT p_partkey // 1000 AS run, p_partkey % 10 AS i, p_partkey // 10 % 10 AS j, p_partkey // 100 % 10 AS k, p_retailprice / 1000 AS v FROM part)"
 
 
 def grid3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(run, i, j, k, v): cubes of ten."""
-    part = table(spark, sf_dir, "part")
-    rows = part.select(F.expr("p_partkey div 1000").alias("run"), (F.col("p_partkey") % 10).alias("i"), F.expr("p_partkey div 10 % 10").alias("j"), F.expr("p_partkey div 100 % 10").alias("k"), (F.col("p_retailprice") / 1000).alias("v"))
-    full = part.agg(F.expr("count(*) div 1000").alias("full"))
-    return rows.join(F.broadcast(full), F.col("run") < F.col("full")).drop("full")
+    """(run, i, j, k, v): cubes of ten, the last one as far as the table goes."""
+    return table(spark, sf_dir, "part").select(F.expr("p_partkey div 1000").alias("run"), (F.col("p_partkey") % 10).alias("i"), F.expr("p_partkey div 10 % 10").alias("j"), F.expr("p_partkey div 100 % 10").alias("k"), (F.col("p_retailprice") / 1000).alias("v"))
 
 
 MATRIX = "matrix AS (SELECT l_suppkey AS run, l_orderkey % 50 AS i, l_partkey % 50 AS j, sum(l_discount) AS v FROM lineitem GROUP BY 1, 2, 3)"

@@ -112,19 +112,16 @@ def species_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rx.roles(stoichiometry(spark, sf_dir))
 
 
-LOCAL = "t AS (SELECT * FROM stoich WHERE rxn <= 2)"
-
-
-@query(f"WITH {STOICH}, {LOCAL} SELECT DISTINCT species FROM t WHERE side = 'R' AND species NOT IN (SELECT species FROM t WHERE side = 'P')")
+@query(f"WITH {STOICH} SELECT DISTINCT species FROM stoich WHERE side = 'R' AND species NOT IN (SELECT species FROM stoich WHERE side = 'P')")
 def pure_reactants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anti-join."""
-    return rx.pure(stoichiometry(spark, sf_dir).where("rxn <= 2"), "R")
+    return rx.pure(stoichiometry(spark, sf_dir), "R")
 
 
-@query(f"WITH {STOICH}, {LOCAL} SELECT DISTINCT species FROM t WHERE side = 'P' AND species NOT IN (SELECT species FROM t WHERE side = 'R')")
+@query(f"WITH {STOICH} SELECT DISTINCT species FROM stoich WHERE side = 'P' AND species NOT IN (SELECT species FROM stoich WHERE side = 'R')")
 def pure_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anti-join."""
-    return rx.pure(stoichiometry(spark, sf_dir).where("rxn <= 2"), "P")
+    return rx.pure(stoichiometry(spark, sf_dir), "P")
 
 
 @query(f"WITH {STOICH} SELECT DISTINCT species FROM stoich WHERE side = 'R' AND species IN (SELECT species FROM stoich WHERE side = 'P')")
@@ -170,24 +167,20 @@ def all_species(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EDGES = "edges AS (SELECT DISTINCT a.species AS src, b.species AS dst FROM t a JOIN t b ON a.rxn = b.rxn WHERE a.side = 'R' AND b.side = 'P' AND a.species <> b.species)"
-FEW = "t AS (SELECT * FROM stoich WHERE rxn % 5 = 0 AND coeff > 0.3)"
-
-
-def _few(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stoichiometry(spark, sf_dir).where("rxn % 5 = 0 and coeff > 0.3")
+ALL = "t AS (SELECT * FROM stoich)"
 
 
-@query(f"WITH {STOICH}, {FEW}, {EDGES} SELECT src, dst FROM edges")
+@query(f"WITH {STOICH}, {ALL}, {EDGES} SELECT src, dst FROM edges")
 def network_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1."""
-    return rx.network_edges(_few(spark, sf_dir))
+    return rx.network_edges(stoichiometry(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {STOICH}, {FEW}, {EDGES}, reach(src, dst, hops) AS (SELECT DISTINCT src, src, 0 FROM edges WHERE src % 10 = 3 UNION SELECT r.src, e.dst, r.hops + 1 FROM reach r JOIN edges e ON r.dst = e.src WHERE r.hops < 3) SELECT src, dst, min(hops) AS hops FROM reach GROUP BY src, dst")
+@query(f"WITH RECURSIVE {STOICH}, {ALL}, {EDGES}, reach(src, dst) AS (SELECT DISTINCT src, src FROM edges WHERE src = 7 UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src) SELECT src, dst FROM reach")
 def network_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pathways of at most three steps."""
-    edges = rx.network_edges(_few(spark, sf_dir))
-    return rx.reachable(edges, edges.where("src % 10 = 3").select("src"), 3)
+    """All that has a pathway from a given species, however long."""
+    edges = rx.network_edges(stoichiometry(spark, sf_dir))
+    return rx.reachable(edges, edges.where("src = 7").select("src")).select("src", "dst")
 
 
 @query(f"""WITH {STOICH}, {REACTIONS}, t AS (SELECT * FROM stoich), {EDGES}, ro AS (SELECT species, bool_or(side = 'R') AS r, bool_or(side = 'P') AS p FROM stoich GROUP BY species)
@@ -197,13 +190,13 @@ def network_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rx.network_stats(stoichiometry(spark, sf_dir), reactions(spark, sf_dir))
 
 
-@query(f"""WITH {STOICH}, {REACTIONS}, t AS (SELECT rxn, side, lpad(CAST(species AS VARCHAR), 3, '0') AS name, coeff FROM stoich WHERE rxn <= 20),
+@query(f"""WITH {STOICH}, {REACTIONS}, t AS (SELECT rxn, side, lpad(CAST(species AS VARCHAR), 9, '0') AS name, coeff FROM stoich),
 s AS (SELECT rxn, side, string_agg(CASE WHEN coeff = 1 THEN '' ELSE regexp_replace(printf('%.2f', coeff), '\\.?0+$', '') || ' ' END || 'X' || name, ' + ' ORDER BY name) AS e FROM t GROUP BY rxn, side)
 SELECT r.rxn, coalesce(max(e) FILTER (side = 'R'), '') || CASE WHEN reversible THEN ' <=> ' ELSE ' => ' END || coalesce(max(e) FILTER (side = 'P'), '') AS equation FROM s JOIN reactions r USING (rxn) GROUP BY r.rxn, reversible""")
 def reaction_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M58."""
-    name = F.concat(F.lit("X"), F.lpad(F.col("species").cast("string"), 3, "0"))
-    return rx.equations(stoichiometry(spark, sf_dir).where("rxn <= 20"), reactions(spark, sf_dir), name)
+    name = F.concat(F.lit("X"), F.lpad(F.col("species").cast("string"), 9, "0"))
+    return rx.equations(stoichiometry(spark, sf_dir), reactions(spark, sf_dir), name)
 
 
 @query("SELECT p_partkey AS id, 'C' || CASE WHEN p_size > 1 THEN CAST(p_size AS VARCHAR) ELSE '' END || 'H' || CAST(2 * p_size + 2 AS VARCHAR) || CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN '+' ELSE '-2' END AS formula, 3 * p_size + 2 AS atoms, CAST(2 * p_size + 2 AS INT) AS hydrogens, CAST(0 AS INT) AS nitrogens FROM part")

@@ -46,10 +46,10 @@ def matrix_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(linalg.transpose(matrix(spark, sf_dir)).select("run", "i", "j", "v"), 8)
 
 
-@query(f"WITH {MATRIX} SELECT a.run, a.i, b.j, round(sum(a.v * b.v), 8) AS v FROM matrix a JOIN matrix b ON a.run = b.run AND a.j = b.i WHERE a.run <= 5 GROUP BY 1, 2, 3")
+@query(f"WITH {MATRIX} SELECT a.run, a.i, b.j, round(sum(a.v * b.v), 8) AS v FROM matrix a JOIN matrix b ON a.run = b.run AND a.j = b.i GROUP BY 1, 2, 3")
 def matrix_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L6."""
-    m = matrix(spark, sf_dir).where("run <= 5")
+    m = matrix(spark, sf_dir)
     return rounded(linalg.matmul(m, m, ["run"]), 8)
 
 
@@ -227,30 +227,30 @@ def adaptive_test_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CONF = "conf AS (SELECT user_id AS cfg, CASE event_type WHEN 'view' THEN 'solver.type' WHEN 'click' THEN 'solver.tolerance' WHEN 'purchase' THEN 'solver.max_iterations' WHEN 'signup' THEN 'time.dt' ELSE 'time.cfl' END AS key, CASE event_type WHEN 'view' THEN 'string' WHEN 'purchase' THEN 'int' ELSE 'double' END AS type, CASE event_type WHEN 'view' THEN CASE WHEN event_id % 4 = 0 THEN 'magic' ELSE 'implicit' END WHEN 'purchase' THEN CAST(event_id * 300 AS VARCHAR) WHEN 'click' THEN CASE WHEN event_id % 5 = 0 THEN 'abc' ELSE '0.' || CAST(event_id AS VARCHAR) END WHEN 'signup' THEN CAST(event_id % 3 - 1 AS VARCHAR) ELSE CAST(event_id % 3 AS VARCHAR) END AS value, event_id FROM events)"
-LATEST = "one AS (SELECT * FROM conf QUALIFY row_number() OVER (PARTITION BY cfg, key ORDER BY event_id DESC) = 1), first AS (SELECT * FROM conf QUALIFY row_number() OVER (PARTITION BY cfg, key ORDER BY event_id) = 1)"
+LATEST = "one AS (SELECT * FROM conf QUALIFY row_number() OVER (PARTITION BY cfg, key ORDER BY event_id DESC) = 1)"
+HALVES = "half AS (SELECT conf.*, event_id > (SELECT max(event_id) // 2 FROM conf) AS late FROM conf), last AS (SELECT * FROM half QUALIFY row_number() OVER (PARTITION BY cfg, key, late ORDER BY event_id DESC) = 1)"
 
 
-def _configs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(newest, oldest) value of every key of every user's configuration."""
+def _settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cfg, key, type, value, event_id): every setting that a user ever made."""
     e, i = F.col("event_type"), F.col("event_id")
     key = F.when(e == "view", "solver.type").when(e == "click", "solver.tolerance").when(e == "purchase", "solver.max_iterations").when(e == "signup", "time.dt").otherwise("time.cfl")
     kind = F.when(e == "view", "string").when(e == "purchase", "int").otherwise("double")
     value = F.when(e == "view", F.when(i % 4 == 0, "magic").otherwise("implicit")).when(e == "purchase", (i * 300).cast("string")).when(e == "click", F.when(i % 5 == 0, "abc").otherwise(F.concat(F.lit("0."), i.cast("string")))).when(e == "signup", (i % 3 - 1).cast("string")).otherwise((i % 3).cast("string"))
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("cfg"), key.alias("key"), kind.alias("type"), value.alias("value"), "event_id")
-    pick = lambda f: rows.groupBy("cfg", "key").agg(f(F.struct("type", "value"), "event_id").alias("b")).select("cfg", "key", "b.*")
-    return pick(F.max_by), pick(F.min_by)
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("cfg"), key.alias("key"), kind.alias("type"), value.alias("value"), "event_id")
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """The last value of every key of every configuration."""
+    return rows.groupBy("cfg", "key").agg(F.max_by(F.struct("type", "value"), "event_id").alias("b")).select("cfg", "key", "b.*")
 
 
-@query(f"WITH {CONF}, {LATEST} SELECT coalesce(o.cfg, n.cfg) AS cfg, coalesce(o.key, n.key) AS key, CASE WHEN o.type IS NULL THEN 'added' WHEN n.type IS NULL THEN 'removed' WHEN o.type = n.type AND o.value = n.value THEN 'unchanged' ELSE 'modified' END AS change, o.value AS old_value, n.value AS new_value FROM (SELECT * FROM first WHERE event_id % 2 = 0) o FULL JOIN (SELECT * FROM one WHERE event_id % 3 > 0) n ON o.cfg = n.cfg AND o.key = n.key")
+@query(f"WITH {CONF}, {HALVES} SELECT coalesce(o.cfg, n.cfg) AS cfg, coalesce(o.key, n.key) AS key, CASE WHEN o.type IS NULL THEN 'added' WHEN n.type IS NULL THEN 'removed' WHEN o.type = n.type AND o.value = n.value THEN 'unchanged' ELSE 'modified' END AS change, o.value AS old_value, n.value AS new_value FROM (SELECT * FROM last WHERE NOT late) o FULL JOIN (SELECT * FROM last WHERE late) n ON o.cfg = n.cfg AND o.key = n.key")
 def config_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J9."""
-    rows = table(spark, sf_dir, "events")
-    newest, oldest = _configs(spark, sf_dir)
-    names = F.when(F.col("event_type") == "view", "solver.type").when(F.col("event_type") == "click", "solver.tolerance").when(F.col("event_type") == "purchase", "solver.max_iterations").when(F.col("event_type") == "signup", "time.dt").otherwise("time.cfl")
-    ends = rows.groupBy(F.col("user_id").alias("cfg"), names.alias("key")).agg(F.max("event_id").alias("last"), F.min("event_id").alias("first"))
-    old = oldest.join(ends.where("first % 2 = 0"), ["cfg", "key"], "left_semi")
-    new = newest.join(ends.where("last % 3 > 0"), ["cfg", "key"], "left_semi")
-    return cf.diff(old, new, ["cfg"])
+    """What the first half of all events left, against the second half."""
+    rows = _settings(spark, sf_dir)
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.expr("max(event_id) div 2").alias("middle"))))  # one row
+    return cf.diff(_newest(rows.where("event_id <= middle")), _newest(rows.where("event_id > middle")), ["cfg"])
 
 
 @query(f"""WITH {CONF}, {LATEST}, s(key, type, required, rule) AS (VALUES ('solver.type', 'string', true, 'enum'), ('solver.tolerance', 'double', false, 'positive'), ('solver.max_iterations', 'int', false, 'range'), ('solver.preconditioner', 'string', false, 'enum'), ('time.dt', 'double', true, 'positive'), ('time.t_final', 'double', false, 'positive'), ('time.output_interval', 'int', false, 'range'), ('time.cfl', 'double', false, 'unit')),
@@ -259,22 +259,20 @@ p AS (SELECT cfg, key, CASE WHEN value IS NULL THEN CASE WHEN required THEN 'mis
 SELECT cfg, key, problem FROM p WHERE problem IS NOT NULL""")
 def config_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Presence, type, then rule."""
-    newest, _ = _configs(spark, sf_dir)
-    return cf.validate(newest, cf.schema_rows(spark, "solver", "time"), ["cfg"])
+    return cf.validate(_newest(_settings(spark, sf_dir)), cf.schema_rows(spark, "solver", "time"), ["cfg"])
 
 
-@query(f"WITH {CONF}, {LATEST}, n AS (SELECT * FROM one WHERE cfg = 7) SELECT coalesce(n.key, d.key) AS key, coalesce(n.value, d.value) AS value FROM (VALUES ('solver.tolerance', '1.0E-6'), ('solver.max_iterations', '1000'), ('solver.preconditioner', 'jacobi'), ('time.t_final', '1.0'), ('time.output_interval', '10'), ('time.cfl', '0.5')) d(key, value) FULL JOIN n ON n.key = d.key")
+@query(f"WITH {CONF}, {LATEST}, d AS (SELECT cfg, v.key, v.value FROM (SELECT DISTINCT cfg FROM one) CROSS JOIN (VALUES ('solver.tolerance', '1.0E-6'), ('solver.max_iterations', '1000'), ('solver.preconditioner', 'jacobi'), ('time.t_final', '1.0'), ('time.output_interval', '10'), ('time.cfl', '0.5')) v(key, value)) SELECT coalesce(n.cfg, d.cfg) AS cfg, coalesce(n.key, d.key) AS key, coalesce(n.value, d.value) AS value FROM d FULL JOIN one n ON n.cfg = d.cfg AND n.key = d.key")
 def config_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Defaults under one configuration."""
-    newest, _ = _configs(spark, sf_dir)
-    return cf.defaults(newest.where("cfg = 7").select("key", "type", "value"), cf.schema_rows(spark, "solver", "time")).select("key", "value")
+    """Defaults under every configuration."""
+    newest = _newest(_settings(spark, sf_dir))
+    return cf.defaults(newest, cf.schema_rows(spark, "solver", "time"), ["cfg"]).select("cfg", "key", "value")
 
 
 @query(f"WITH {CONF}, {LATEST} SELECT cfg, substr(key, 8) AS key, value FROM one WHERE starts_with(key, 'solver.')")
 def config_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F9, T6."""
-    newest, _ = _configs(spark, sf_dir)
-    return cf.with_prefix(newest, "solver.", strip=True).select("cfg", "key", "value")
+    return cf.with_prefix(_newest(_settings(spark, sf_dir)), "solver.", strip=True).select("cfg", "key", "value")
 
 
 @query("SELECT tag, field, count(*) AS n FROM (SELECT user_id AS tag, event_type AS field, value > 20 AS enabled FROM events) WHERE enabled GROUP BY 1, 2 HAVING count(*) > 1")
