@@ -46,7 +46,7 @@ from . import textkit as tk
 from .common import bytes_of, materialize
 
 LENGTH, GRAM = 400, 32
-PACKET_BYTES, PACKET_RUNS = 1 << 20, 20_000
+PACKET_BYTES, PACKET_RUNS = 1 << 19, 20_000
 #: Stretches of anchor places that crowded anchors are divided by, as shares of all places.
 STRIDES = (1 / 8, 1 / 64)
 
