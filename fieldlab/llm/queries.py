@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, media, mixing, phrases, quality, repair, suffixes, toxicity, urls
+from . import decontaminate, jaccard, media, minhash, mixing, phrases, quality, repair, search, suffixes, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,7 +60,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_media_flac, op2_toxicity_ftrl, op3_jaccard_join, op4_suffix_array, op5_decontaminate, op6_mix_sources, op7_repeated_phrases, op8_url_filter, op9_token_ids, op10_quality_classifier)}
+def op11_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_media_flac, op2_toxicity_ftrl, op3_jaccard_join, op4_suffix_array, op5_decontaminate, op6_mix_sources, op7_repeated_phrases, op8_url_filter, op9_token_ids, op10_quality_classifier, op11_minhash_join, op12_ranked_search)}
 
 OP6_SQL = r"""
 WITH sizes AS (
@@ -118,4 +126,48 @@ SELECT page_id, host, path, rule, coalesce(ruled.action, inherited.action, 'allo
 FROM ruled LEFT JOIN inherited ON ruled.node = inherited.node
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_mix_sources": OP6_SQL, "op8_url_filter": OP8_SQL}
+OP11_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+grams AS (
+  SELECT r, unnest(CASE WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE [ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2] || ' ' || ws[k + 3] for k in range(1, len(ws) - 2)] END) AS g
+  FROM w WHERE len(ws) > 0),
+sets AS (SELECT r, list_sort(list_distinct(list(g))) AS s FROM grams GROUP BY r),
+firsts AS (SELECT min(r) AS f, s, len(s) AS n FROM sets GROUP BY s),
+elements AS (SELECT f, n, unnest(s) AS g FROM firsts),
+overlap AS (
+  SELECT a.f AS u, b.f AS v, count(*) AS x FROM elements a JOIN elements b ON a.g = b.g
+  WHERE a.f < b.f AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+  GROUP BY a.f, b.f, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges AS (SELECT u, v FROM overlap UNION SELECT v, u FROM overlap),
+reach(a, b) AS (SELECT f, f FROM firsts UNION SELECT reach.a, edges.v FROM reach JOIN edges ON reach.b = edges.u),
+lowest AS (SELECT s, min(w.doc_id) AS d FROM sets JOIN w USING (r) GROUP BY s),
+named AS (SELECT reach.a AS f, min(d) AS component_id FROM reach JOIN firsts o ON o.f = reach.b JOIN lowest USING (s) GROUP BY reach.a)
+SELECT w.doc_id, CAST(coalesce(len(sets.s), 0) AS BIGINT) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id,
+  w.doc_id IS NOT DISTINCT FROM coalesce(component_id, w.doc_id) AS kept
+FROM w LEFT JOIN sets USING (r) LEFT JOIN firsts USING (s) LEFT JOIN named USING (f)
+"""
+
+OP12_SQL = r"""
+WITH items AS (SELECT row_number() OVER () AS item, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+wanted AS (
+  SELECT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM items),
+repeats AS (SELECT item, item_id, term, count(*) AS c FROM wanted GROUP BY ALL),
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(len(ts)) AS BIGINT) AS ll FROM docs WHERE len(ts) > 0),
+found AS (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS term FROM docs WHERE len(ts) > 0),
+tfs AS (SELECT r, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM found WHERE term IN (SELECT term FROM repeats) GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM dfs, totals),
+scored AS (
+  SELECT item, item_id, r, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM repeats JOIN tfs USING (term) JOIN weights USING (term), totals GROUP BY ALL),
+placed AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id ASC NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_mix_sources": OP6_SQL, "op8_url_filter": OP8_SQL, "op11_minhash_join": OP11_SQL, "op12_ranked_search": OP12_SQL}
