@@ -21,6 +21,14 @@ Two documents link when their sets' Jaccard similarity reaches 4/5.
    and pairs below ``MATCHES`` go.
 6. What is left is confirmed on the full sets of shingles, so no link is false.
 
+Sets that stand in any list also learn how many of their shingles no other such set holds, and
+how far they are from the first pivot that they were compared with.  A link needs an overlap of
+4/9 of both sizes, that is a difference of at most 1/9 of them.  So a set that was edited too
+much for any partner leaves the lists, and a pair is compared only if what either can share
+reaches the overlap and what is known of both differences from one pivot leaves a difference
+small enough.  The pivots of the first round are the least edited sets.  In a large group of
+near copies this spares nearly all pairs that aren't linked, and none that is.
+
 A link at similarity s is missed with the chance that fewer than ``MATCHES`` of
 ``COORDINATES`` minima agree: for 36 of 64 that is 4e-6 at s = 0.80 and 8e-9 at 0.85.
 
@@ -36,7 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import exchange
@@ -140,59 +148,93 @@ def _post(table: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(keys), "sid": tk.as_array(table.column("doc_id")).take(take), "n": tk.as_array(table.column("n")).take(take), "pos": pa.array(pos.astype(np.int32))})
 
 
+#: Two sets to compare, their labels, and the pivot among them with its rank among pivots.
+PAIR_ROW = "u long, v long, ru long, rv long, pivot long, rank double"
+PAIR = tuple(c.split()[0] for c in PAIR_ROW.split(", "))
+
+
 def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs of a batch whose signatures agree in MATCHES coordinates."""
     for batch in batches:
         one, other = (np.frombuffer(tk.text_buffers(batch.column(c))[0].tobytes(), "<u4").reshape(-1, COORDINATES) for c in ("s", "t"))
-        yield batch.select(["u", "v", "ru", "rv"]).filter(pa.array((one == other).sum(axis=1) >= MATCHES))
+        yield batch.select(list(PAIR)).filter(pa.array((one == other).sum(axis=1) >= MATCHES))
 
 
-def _confirmed(pairs: DataFrame, signed: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The rows of pairs (u, v, ru, rv) that link: collisions first, then the full sets."""
+def _compared(pairs: DataFrame, signed: DataFrame, tokens: DataFrame) -> DataFrame:
+    """pairs (u, v, ru, rv, pivot, rank) with enough collisions, with ``x``, the elements in which
+    their full sets differ, and ``linked``."""
     both = pairs.join(signed.select(F.col("sid").alias("u"), F.col("signature").alias("s")), "u").join(signed.select(F.col("sid").alias("v"), F.col("signature").alias("t")), "v")
-    likely = materialize(both.select("u", "v", "ru", "rv", "s", "t").mapInArrow(_collide, "u long, v long, ru long, rv long"), "collisions")
+    likely = materialize(both.select(*PAIR, "s", "t").mapInArrow(_collide, PAIR_ROW), "collisions")
     sets = likely.join(tokens.select(F.col("sid").alias("u"), F.col("tokens").alias("tu")), "u").join(tokens.select(F.col("sid").alias("v"), F.col("tokens").alias("tv")), "v")
-    shared = sets.withColumn("shared", F.size(F.array_intersect("tu", "tv")).cast("long"))
-    found = materialize(shared.where("100 * shared >= 80 * (size(tu) + size(tv) - shared)").select("u", "v", "ru", "rv"), "links")
+    x = F.size("tu") + F.size("tv") - 2 * F.size(F.array_intersect("tu", "tv"))
+    out = materialize(sets.select(*PAIR, x.alias("x"), (9 * x <= F.size("tu") + F.size("tv")).alias("linked")), "compared")
     discard(likely)
-    return found
+    return out
+
+
+def _fit():
+    """Whether u and v can link, by their sizes and what no other set shares with them.
 
+    What both share has none of the elements that one holds alone.  And with x the elements in
+    which a set differs from a pivot, u and v differ in x_u + x_v less twice those that x_u and
+    x_v have in common, which again are none that one of them holds alone.
+    """
+    sizes = F.col("n_u") + F.col("n_v")
+    near = 9 * F.least(F.col("n_u") - F.col("own_u"), F.col("n_v") - F.col("own_v")) >= 4 * sizes
+    common = lambda c: F.greatest(F.col(f"x_{c}") - F.col(f"own_{c}"), F.lit(0))
+    apart = (F.col("p_u") == F.col("p_v")) & (9 * (F.col("x_u") + F.col("x_v") - 2 * F.least(common("u"), common("v"))) > sizes)
+    return near & ~F.coalesce(apart, F.lit(False))
+
+
+def _own(tokens: DataFrame) -> DataFrame:
+    """(sid, own): how many elements of each of tokens' sets no other of them holds."""
+    holders = tokens.select("sid", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c"), F.min("sid").alias("sid"))
+    return holders.where("c = 1").groupBy("sid").agg(F.count("*").cast("int").alias("own"))
 
-def _fit(a: str, b: str):
-    """Whether sets of a and b elements are near enough in size to link."""
-    return (5 * F.col(a) >= 4 * F.col(b)) & (5 * F.col(b) >= 4 * F.col(a))
+
+#: What a posting says of its set; p and x: a pivot, and in how many elements they differ.
+MEMBER = ("sid", "n", "own", "p", "x", "root")
 
 
 def _pairs(left: DataFrame, step: int) -> DataFrame:
-    """(u, v, ru, rv) to compare in this round: with one pivot of each list, or in the last
+    """(u, v, ru, rv, pivot, rank) to compare in this round: with one pivot of each list, or in the last
     round all that is left between the labels of a list."""
+    side = lambda c: left.select("key", *(F.col(x).alias(f"{x}_{c}") for x in left.columns if x != "key"))
     if step == STAR_ROUNDS:
-        one = left.select("key", *(F.col(c).alias(f"{c}_u") for c in ("sid", "n", "root")))
-        two = left.select("key", *(F.col(c).alias(f"{c}_v") for c in ("sid", "n", "root")))
-        met = one.join(two, "key").where("sid_u < sid_v")
+        # a pair meets in the first of its lists only
+        left = left.withColumn("met", F.collect_list("key").over(Window.partitionBy("sid").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)))
+        met = side("u").join(side("v"), "key").where((F.col("sid_u") < F.col("sid_v")) & (F.col("root_u") != F.col("root_v")) & _fit() & ~F.arrays_overlap("met_u", "met_v"))
     else:
-        members = left
-        order = F.col("sid")
+        members, order = left, F.struct(F.col("own") / F.col("n"), F.col("sid"))
         if step:
             # a member of the most frequent label, another one for each sixteenth of the lists
             most = left.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).getField("root").alias("most"))
             members = left.join(most, "key").where("root = most")
             order = F.xxhash64("sid", F.lit(step), F.pmod("key", F.lit(16)))
-        pivot = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "sid", "n", "root")).alias("p"))
-        met = left.select("key", *(F.col(c).alias(f"{c}_v") for c in ("sid", "n", "root"))).join(pivot.select("key", *(F.col(f"p.{c}").alias(f"{c}_u") for c in ("sid", "n", "root"))), "key")
-    met = met.where((F.col("root_u") != F.col("root_v")) & _fit("n_u", "n_v"))
+        pivot = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), *MEMBER)).alias("p"))
+        met = side("v").join(pivot.select("key", *(F.col(f"p.{x}").alias(f"{x}_u") for x in MEMBER)), "key")
+    met = met.where((F.col("root_u") != F.col("root_v")) & _fit())
     ahead = F.col("sid_u") < F.col("sid_v")
-    return met.select(F.least("sid_u", "sid_v").alias("u"), F.greatest("sid_u", "sid_v").alias("v"), F.when(ahead, F.col("root_u")).otherwise(F.col("root_v")).alias("ru"), F.when(ahead, F.col("root_v")).otherwise(F.col("root_u")).alias("rv")).dropDuplicates(["u", "v"])
+    return met.select(F.least("sid_u", "sid_v").alias("u"), F.greatest("sid_u", "sid_v").alias("v"), F.when(ahead, F.col("root_u")).otherwise(F.col("root_v")).alias("ru"), F.when(ahead, F.col("root_v")).otherwise(F.col("root_u")).alias("rv"), F.col("sid_u").alias("pivot"), (F.col("own_u") / F.col("n_u")).alias("rank")).dropDuplicates(["u", "v"])
+
+
+def _differences(compared: DataFrame) -> DataFrame:
+    """(sid, p, x): the first in rank of the pivots that each set was compared with, so that the
+    sets of a group have the same one; pivots were compared with themselves."""
+    sid = F.when(F.col("u") == F.col("pivot"), F.col("v")).otherwise(F.col("u"))
+    rows = compared.select(sid.alias("sid"), "rank", F.col("pivot").alias("p"), "x").union(compared.select(F.col("pivot").alias("sid"), "rank", F.col("pivot").alias("p"), F.lit(0).alias("x")))
+    return rows.groupBy("sid").agg(F.min(F.struct("rank", "p", "x")).alias("b")).select("sid", "b.p", "b.x")
 
 
-def _linked(postings: DataFrame, signed: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(node, root) of the sets that have links.
+def _linked(able: DataFrame, signed: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(node, root) of the sets that have links; able: (key, sid, n, own).
 
     ``root`` of a posting is a label that only connected sets share.  Rounds only save
     comparisons: whatever no round has compared and no label joins is compared in the last.
     """
-    spark = postings.sparkSession
-    left, before, asked, links = postings.withColumn("root", F.col("sid")), None, [], []
+    spark = able.sparkSession
+    left = able.withColumns({"p": F.lit(None).cast("long"), "x": F.lit(None).cast("int"), "root": F.col("sid")})
+    before, asked, links = None, [], []
     for step in range(STAR_ROUNDS + 1):
         apart = left.groupBy("key").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("key")
         now = materialize(left.join(apart, "key"), "left")
@@ -204,15 +246,19 @@ def _linked(postings: DataFrame, signed: DataFrame, tokens: DataFrame) -> DataFr
         for earlier in asked:
             pairs = pairs.join(earlier.select("u", "v"), ["u", "v"], "left_anti")
         asked.append(materialize(pairs, "pairs"))
-        links.append(_confirmed(asked[-1], signed, tokens))
-        both = links[-1].select(F.col("ru").alias("root"), F.col("rv").alias("new")).union(links[-1].select(F.col("rv").alias("root"), F.col("ru").alias("new")))
+        links.append(_compared(asked[-1], signed, tokens))
+        found = links[-1].where("linked")
+        both = found.select(F.col("ru").alias("root"), F.col("rv").alias("new")).union(found.select(F.col("rv").alias("root"), F.col("ru").alias("new")))
         lower = both.where("new < root").groupBy("root").agg(F.min("new").alias("new"))
         sizes = now.groupBy("root").agg(F.count("*").alias("rows"))
-        left = spread(now, "sid", lower.join(sizes, "root"), "root", "new").select("key", "sid", "n", "pos", F.coalesce("new", "root").alias("root"))
+        left = spread(now, "sid", lower.join(sizes, "root"), "root", "new").withColumn("root", F.coalesce("new", "root")).drop("new")
+        if not step:
+            left = left.drop("p", "x").join(_differences(links[0]), "sid", "left")
+        left = left.select("key", *MEMBER)
         release(signed)
     every = spark.createDataFrame([], "u long, v long")
     for found in links:
-        every = every.union(found.select("u", "v"))
+        every = every.union(found.where("linked").select("u", "v"))
     roots = materialize(components(every), "roots")
     for used in (before, *asked, *links):
         discard(used)
@@ -250,8 +296,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     wanted = known.join(postings.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("row").alias("row"))
     texts = rows.join(wanted.select("row"), "row", "left_semi").select("text")
     tokens = materialize(texts.mapInArrow(_tokens(size), "sid long, tokens array<long>").dropDuplicates(["sid"]), "tokens")
-    roots = _linked(postings, signed, tokens)
-    for used in (signed, postings, tokens):
+    edited = postings.select("key", "sid", "n").join(_own(tokens), "sid", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    able = materialize(edited.where("5 * own <= n").select("key", "sid", "n", "own"), "able")
+    roots = _linked(able, signed, tokens)
+    for used in (signed, postings, tokens, able):
         discard(used)
     # one row a set, so that the rows of copies are counted before they meet
     sets = known.groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
