@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .common import bytes_of, discard, materialize
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Bytes of item texts that one pass over the index searches for, shipped with its tasks.
 ITEM_BYTES = 4 << 20
 #: Items whose nodes are held at once, and the first number of nodes that an item opens at once.
@@ -134,7 +134,6 @@ def shard(ids: pa.Array, pieces: list[tuple[np.ndarray, np.ndarray]], docs: int,
 
 def _shards(docs: int, total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tk.keep_heap()
         ids, pieces, held = [], [], 0
         for batch in batches:
             for lo, hi, data, offsets in tk.chunks(batch, "text"):
@@ -279,7 +278,6 @@ HITS = "item long, doc_id long, score long"
 
 def _search(items: list[tuple[np.ndarray, np.ndarray]], k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tk.keep_heap()
         best = Best(len(items), k)
         for batch in batches:
             for r in range(batch.num_rows):
