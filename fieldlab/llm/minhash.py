@@ -109,13 +109,15 @@ def _sign(size: int):
     return run
 
 
-def _tokens(size: int):
+def _whole(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in tk.chunks(batch, "text"):
                 n, sid, value, starts = _sets(data, offsets, size)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(value)).astype(np.int32)), pa.array(value.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(sid[n > 0]), lists], ["sid", "tokens"])
+                tokens = pa.ListArray.from_arrays(pa.array(np.append(starts, len(value)).astype(np.int32)), pa.array(value.view(np.int64)))
+                sig = signatures(value, starts).view("<i4")
+                places = pa.array(np.arange(0, sig.size + 1, COORDINATES, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(sid[n > 0]), pa.ListArray.from_arrays(places, pa.array(sig.ravel())), tokens], ["sid", "signature", "tokens"])
 
     return run
 
@@ -149,27 +151,18 @@ def _post(table: pa.Table, answers: pa.Table) -> pa.Table:
 
 
 #: Two sets to compare, their labels, and the pivot among them with its rank among pivots.
-PAIR_ROW = "u long, v long, ru long, rv long, pivot long, rank double"
-PAIR = tuple(c.split()[0] for c in PAIR_ROW.split(", "))
+PAIR = ("u", "v", "ru", "rv", "pivot", "rank")
 
 
-def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of a batch whose signatures agree in MATCHES coordinates."""
-    for batch in batches:
-        one, other = (np.frombuffer(tk.text_buffers(batch.column(c))[0].tobytes(), "<u4").reshape(-1, COORDINATES) for c in ("s", "t"))
-        yield batch.select(list(PAIR)).filter(pa.array((one == other).sum(axis=1) >= MATCHES))
-
-
-def _compared(pairs: DataFrame, signed: DataFrame, tokens: DataFrame) -> DataFrame:
-    """pairs (u, v, ru, rv, pivot, rank) with enough collisions, with ``x``, the elements in which
-    their full sets differ, and ``linked``."""
-    both = pairs.join(signed.select(F.col("sid").alias("u"), F.col("signature").alias("s")), "u").join(signed.select(F.col("sid").alias("v"), F.col("signature").alias("t")), "v")
-    likely = materialize(both.select(*PAIR, "s", "t").mapInArrow(_collide, PAIR_ROW), "collisions")
-    sets = likely.join(tokens.select(F.col("sid").alias("u"), F.col("tokens").alias("tu")), "u").join(tokens.select(F.col("sid").alias("v"), F.col("tokens").alias("tv")), "v")
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs with enough collisions, with ``x``, the elements in which their full sets
+    differ, and ``linked``.  Each set is fetched once, with its signature."""
+    side = lambda key, s, t: sets.select(F.col("sid").alias(key), F.col("signature").alias(s), F.col("tokens").alias(t))
+    both = pairs.join(side("u", "s", "tu"), "u").join(side("v", "t", "tv"), "v")
+    collisions = F.aggregate(F.zip_with("s", "t", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda a, b: a + b)
     x = F.size("tu") + F.size("tv") - 2 * F.size(F.array_intersect("tu", "tv"))
-    out = materialize(sets.select(*PAIR, x.alias("x"), (9 * x <= F.size("tu") + F.size("tv")).alias("linked")), "compared")
-    discard(likely)
-    return out
+    likely = both.where(collisions >= MATCHES).select(*PAIR, x.alias("x"), (F.size("tu") + F.size("tv")).alias("sizes"))
+    return materialize(likely.select(*PAIR, "x", (9 * F.col("x") <= F.col("sizes")).alias("linked")), "compared")
 
 
 def _fit():
@@ -186,9 +179,9 @@ def _fit():
     return near & ~F.coalesce(apart, F.lit(False))
 
 
-def _own(tokens: DataFrame) -> DataFrame:
-    """(sid, own): how many elements of each of tokens' sets no other of them holds."""
-    holders = tokens.select("sid", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c"), F.min("sid").alias("sid"))
+def _own(sets: DataFrame) -> DataFrame:
+    """(sid, own): how many elements of each of the sets no other of them holds."""
+    holders = sets.select("sid", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c"), F.min("sid").alias("sid"))
     return holders.where("c = 1").groupBy("sid").agg(F.count("*").cast("int").alias("own"))
 
 
@@ -226,7 +219,7 @@ def _differences(compared: DataFrame) -> DataFrame:
     return rows.groupBy("sid").agg(F.min(F.struct("rank", "p", "x")).alias("b")).select("sid", "b.p", "b.x")
 
 
-def _linked(able: DataFrame, signed: DataFrame, tokens: DataFrame) -> DataFrame:
+def _linked(able: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, root) of the sets that have links; able: (key, sid, n, own).
 
     ``root`` of a posting is a label that only connected sets share.  Rounds only save
@@ -246,7 +239,7 @@ def _linked(able: DataFrame, signed: DataFrame, tokens: DataFrame) -> DataFrame:
         for earlier in asked:
             pairs = pairs.join(earlier.select("u", "v"), ["u", "v"], "left_anti")
         asked.append(materialize(pairs, "pairs"))
-        links.append(_compared(asked[-1], signed, tokens))
+        links.append(_compared(asked[-1], sets))
         found = links[-1].where("linked")
         both = found.select(F.col("ru").alias("root"), F.col("rv").alias("new")).union(found.select(F.col("rv").alias("root"), F.col("ru").alias("new")))
         lower = both.where("new < root").groupBy("root").agg(F.min("new").alias("new"))
@@ -255,7 +248,7 @@ def _linked(able: DataFrame, signed: DataFrame, tokens: DataFrame) -> DataFrame:
         if not step:
             left = left.drop("p", "x").join(_differences(links[0]), "sid", "left")
         left = left.select("key", *MEMBER)
-        release(signed)
+        release(sets)
     every = spark.createDataFrame([], "u long, v long")
     for found in links:
         every = every.union(found.where("linked").select("u", "v"))
@@ -295,17 +288,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     # the full sets of what stands in any list, from one row of each
     wanted = known.join(postings.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("row").alias("row"))
     texts = rows.join(wanted.select("row"), "row", "left_semi").select("text")
-    tokens = materialize(texts.mapInArrow(_tokens(size), "sid long, tokens array<long>").dropDuplicates(["sid"]), "tokens")
-    edited = postings.select("key", "sid", "n").join(_own(tokens), "sid", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    sets = materialize(texts.mapInArrow(_whole(size), "sid long, signature array<int>, tokens array<long>").dropDuplicates(["sid"]), "whole-sets")
+    edited = postings.select("key", "sid", "n").join(_own(sets), "sid", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     able = materialize(edited.where("5 * own <= n").select("key", "sid", "n", "own"), "able")
-    roots = _linked(able, signed, tokens)
-    for used in (signed, postings, tokens, able):
+    roots = _linked(able, sets)
+    for used in (signed, postings, sets, able):
         discard(used)
     # one row a set, so that the rows of copies are counted before they meet
-    sets = known.groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
-    sets = sets.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    names = sets.groupBy("root").agg(F.min("least").alias("component_id"))
-    several = spread(sets, "sid", names.join(sets.groupBy("root").agg(F.count("*").alias("rows")), "root"), "root", "component_id").select("sid", "component_id", "rows")
+    ids = known.groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    ids = ids.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    names = ids.groupBy("root").agg(F.min("least").alias("component_id"))
+    several = spread(ids, "sid", names.join(ids.groupBy("root").agg(F.count("*").alias("rows")), "root"), "root", "component_id").select("sid", "component_id", "rows")
     several = materialize(several, "names")
     out = spread(info, "row", several, "sid", "component_id")
     component = F.coalesce("component_id", "doc_id")
