@@ -7,8 +7,6 @@ independent, ``per_run`` steps each in numpy inside ``applyInPandas``, all runs
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -16,18 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def keep(df: DataFrame) -> DataFrame:
     """df written to the folder that the cluster shares and read back."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="fieldlab-checkpoint-")
-        sc.setCheckpointDir(path)
-    at = f"{path}/fieldlab/state-{uuid.uuid4().hex}"
+    at = shared_folder(spark, "state")
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 

@@ -87,11 +87,8 @@ def from_environment(prefix: str, environment: Mapping[str, str] | None = None)
     return {k[len(prefix) :].lower().replace("_", "."): infer(v) for k, v in sorted(env.items()) if k.startswith(prefix) and len(k) > len(prefix)}
 
 
-def load(path: str) -> dict[str, object]:
-    """Flat keys of a .json, .yaml, .yml, .ini or .cfg file, by extension."""
-    kind = path.rsplit(".", 1)[-1].lower()
-    with open(path) as f:
-        text = f.read()
+def parse(text: str, kind: str) -> dict[str, object]:
+    """Flat keys of a json, yaml, yml, ini or cfg text."""
     if kind == "json":
         return flatten(json.loads(text))
     if kind in ("yaml", "yml"):
@@ -103,6 +100,17 @@ def load(path: str) -> dict[str, object]:
     raise ValueError(f"unknown format {kind}")
 
 
+def load(path: str) -> dict[str, object]:
+    """Flat keys of a local configuration file, by its extension."""
+    with open(path) as f:
+        return parse(f.read(), path.rsplit(".", 1)[-1].lower())
+
+
+def read(spark: SparkSession, path: str) -> dict[str, object]:
+    """Flat keys of one configuration file wherever Spark reads from, by its extension."""
+    return parse(spark.read.text(path, wholetext=True).first().value, path.rsplit(".", 1)[-1].lower())
+
+
 def save(values: Mapping[str, object], path: str) -> None:
     kind = path.rsplit(".", 1)[-1].lower()
     if kind == "json":
