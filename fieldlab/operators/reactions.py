@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kinetics import arrhenius
@@ -120,24 +120,42 @@ def network_stats(stoich: DataFrame, reactions: DataFrame) -> DataFrame:
     return counts.crossJoin(rx).crossJoin(network_edges(stoich).agg(F.count("*").alias("n_edges")))
 
 
+def _places(sources: DataFrame) -> DataFrame:
+    """(src, word, bit): 64 sources share a word, ranked within buckets of their hash."""
+    rows = sources.select("src").distinct()
+    buckets = F.lit(max(1, rows.count() // 64))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("src")) - 1
+    ranked = rows.withColumn("bucket", F.pmod(F.xxhash64("src"), buckets)).withColumn("rank", rank)
+    return ranked.select("src", (F.col("bucket") * (1 << 20) + F.floor(F.col("rank") / 64)).alias("word"), F.pmod("rank", F.lit(64)).cast("int").alias("bit"))
+
+
 def reachable(edges: DataFrame, sources: DataFrame, depth: int | None = None) -> DataFrame:
     """(src, dst, hops): everything within ``depth`` hops of the sources(src), or at any
-    distance without it, the sources themselves included with 0; a frontier join a hop.
-    Without ``depth`` hops follow until one finds nothing new, each written to the shared folder."""
-    found = sources.select("src", F.col("src").alias("dst")).distinct().withColumn("hops", F.lit(0))
-    front = found.select("src", "dst")
-    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    if depth is None:
-        step = keep(step)
+    distance without it, the sources themselves included with 0.
+
+    The frontier holds, for each node, the sources that reached it as bits of 64-bit words, so a
+    hop is one join and one ``bit_or``, whose rows grow with nodes times sources / 64.  Hops
+    follow until one finds nothing new; each is written to the shared folder.  Every hop reads
+    edges(src, dst) again, so they should stand in a table.
+    """
+    places = keep(_places(sources))
+    step = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
+    front = places.groupBy(F.col("src").alias("node"), "word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    found, hops = front, [front.withColumn("hops", F.lit(0))]
     for hop in itertools.count(1) if depth is None else range(1, depth + 1):
-        new = front.join(step, "dst").select("src", F.col("next").alias("dst")).distinct().join(found.select("src", "dst"), ["src", "dst"], "left_anti")
-        if depth is None:
-            new = keep(new)
-            if new.isEmpty():
-                break
-        found = found.union(new.withColumn("hops", F.lit(hop)))
-        front = new
-    return found
+        met = front.join(step, "node").groupBy(F.col("next").alias("node"), "word").agg(F.bit_or("bits").alias("met"))
+        old = F.coalesce("bits", F.lit(0).cast("long"))
+        new = met.join(found, ["node", "word"], "left").select("node", "word", F.col("met").bitwiseAND(F.bitwise_not(old)).alias("bits")).where("bits <> 0")
+        front = keep(new)
+        if front.isEmpty():
+            break
+        hops.append(front.withColumn("hops", F.lit(hop)))
+        found = keep(found.union(front).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
+    every = hops[0]
+    for more in hops[1:]:
+        every = every.union(more)
+    single = every.select("node", "word", "hops", F.explode(F.expr("filter(sequence(0, 63), b -> (shiftright(bits, b) & 1) = 1)")).alias("bit"))
+    return single.join(places, ["word", "bit"]).select("src", F.col("node").alias("dst"), "hops")
 
 
 def equations(stoich: DataFrame, reactions: DataFrame, name: Column) -> DataFrame:
@@ -152,16 +170,12 @@ def equations(stoich: DataFrame, reactions: DataFrame, name: Column) -> DataFram
 
 def mole_fractions(rows: DataFrame, key: str, mass_fraction: str, mw: str) -> DataFrame:
     """rows with ``x``: (Y / mw) over the key's sum."""
-    from pyspark.sql import Window
-
     part = F.col(mass_fraction) / F.col(mw)
     return rows.withColumn("x", part / F.sum(part).over(Window.partitionBy(key)))
 
 
 def mass_fractions(rows: DataFrame, key: str, mole_fraction: str, mw: str) -> DataFrame:
     """rows with ``y``: X mw over the key's sum."""
-    from pyspark.sql import Window
-
     part = F.col(mole_fraction) * F.col(mw)
     return rows.withColumn("y", part / F.sum(part).over(Window.partitionBy(key)))
 

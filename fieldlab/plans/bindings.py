@@ -6,6 +6,7 @@ history        events: key = user, time = ts, value
 species        part: molecular weight, formation enthalpy, heat capacity from columns
 reactions      orders: rate-law parameters from the total price
 stoichiometry  lineitem: reaction = order, species = part, side by flag
+plane          lineitem: one grid of all runs, i = run, j = position in the run
 grid           part: a square grid by key, value = retail price
 matrix         lineitem: rows and columns by keys, value = discount
 mesh           customer: triangles on a jittered grid of nodes
@@ -30,7 +31,16 @@ def field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run"), (F.row_number().over(w) - 1).cast("long").alias("i"), F.col("l_quantity").alias("v"), (F.col("l_extendedprice") / 1e4).alias("w"))
 
 
+PLANE = f"{FIELD}, plane AS (SELECT 0 AS run, run AS i, i AS j, v / 50 AS u, w / 12 AS v FROM field)"
+
+
+def plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run, i, j, u, v): a plane of all suppliers by their positions, ragged on one side."""
+    return field(spark, sf_dir).select(F.lit(0).alias("run"), F.col("run").alias("i"), F.col("i").alias("j"), (F.col("v") / 50).alias("u"), (F.col("w") / 12).alias("v"))
+
+
 STOICH = "stoich AS (SELECT l_orderkey AS rxn, l_partkey AS species, CASE WHEN l_returnflag = 'R' THEN 'R' ELSE 'P' END AS side, CAST(max(l_linenumber) AS DOUBLE) / 4 AS coeff FROM lineitem GROUP BY 1, 2, 3)"
+PAIRED = "paired AS (SELECT l_orderkey AS rxn, l_partkey || '/' || l_suppkey AS species, CASE WHEN l_returnflag = 'R' THEN 'R' ELSE 'P' END AS side, CAST(max(l_linenumber) AS DOUBLE) / 4 AS coeff FROM lineitem GROUP BY 1, 2, 3)"
 SPECIES = "species AS (SELECT p_partkey AS species, 0.002 + p_size * 0.001 AS mw, (p_retailprice - 1000) * 10 AS h_form, 500 + p_size * 10.0 AS cp, 0.01 * p_size AS k_th, (p_partkey * 37 % 101) / 50.0 AS conc, CASE p_size % 4 WHEN 0 THEN 'solid' WHEN 1 THEN 'liquid' ELSE 'gas' END AS phase FROM part)"
 REACTIONS = "reactions AS (SELECT o_orderkey AS rxn, 1e6 * (1 + o_orderkey % 7) AS a_f, (o_orderkey % 3) * 0.5 AS b_f, 20000 + o_totalprice / 10 AS e_f, 5e5 AS a_r, 0.0 AS b_r, 30000 + o_totalprice / 20 AS e_r, o_orderkey % 2 = 0 AS reversible FROM orders)"
 
@@ -41,6 +51,13 @@ def stoichiometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("l_orderkey").alias("rxn"), F.col("l_partkey").alias("species"), F.when(F.col("l_returnflag") == "R", "R").otherwise("P").alias("side")).agg((F.max("l_linenumber").cast("double") / 4).alias("coeff"))
 
 
+def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stoichiometry with a species for each part of each supplier, many of one side only."""
+    rows = table(spark, sf_dir, "lineitem")
+    name = F.concat_ws("/", "l_partkey", "l_suppkey").alias("species")
+    return rows.groupBy(F.col("l_orderkey").alias("rxn"), name, F.when(F.col("l_returnflag") == "R", "R").otherwise("P").alias("side")).agg((F.max("l_linenumber").cast("double") / 4).alias("coeff"))
+
+
 def species(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part")
     phase = F.when(F.col("p_size") % 4 == 0, "solid").when(F.col("p_size") % 4 == 1, "liquid").otherwise("gas")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import boundary, kinetics, models, surface, text, thermo, units, vectors
 from ..functions import transport as tr
-from ..operators import iterate, reactions as rx
+from ..operators import iterate
+from ..operators import reactions as rx
 from ..session import table
-from .bindings import REACTIONS, SPECIES, STOICH, reactions, species, stoichiometry
+from .bindings import PAIRED, REACTIONS, SPECIES, STOICH, paired, reactions, species, stoichiometry
 from .registry import query, rounded
 
 P = "p AS (SELECT p_partkey AS id, 300 + p_size * 20.0 AS t, p_retailprice / 1000 AS a, p_size / 10.0 AS b FROM part)"
@@ -112,16 +113,16 @@ def species_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rx.roles(stoichiometry(spark, sf_dir))
 
 
-@query(f"WITH {STOICH} SELECT DISTINCT species FROM stoich WHERE side = 'R' AND species NOT IN (SELECT species FROM stoich WHERE side = 'P')")
+@query(f"WITH {PAIRED} SELECT DISTINCT species FROM paired WHERE side = 'R' AND species NOT IN (SELECT species FROM paired WHERE side = 'P')")
 def pure_reactants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anti-join."""
-    return rx.pure(stoichiometry(spark, sf_dir), "R")
+    return rx.pure(paired(spark, sf_dir), "R")
 
 
-@query(f"WITH {STOICH} SELECT DISTINCT species FROM stoich WHERE side = 'P' AND species NOT IN (SELECT species FROM stoich WHERE side = 'R')")
+@query(f"WITH {PAIRED} SELECT DISTINCT species FROM paired WHERE side = 'P' AND species NOT IN (SELECT species FROM paired WHERE side = 'R')")
 def pure_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anti-join."""
-    return rx.pure(stoichiometry(spark, sf_dir), "P")
+    return rx.pure(paired(spark, sf_dir), "P")
 
 
 @query(f"WITH {STOICH} SELECT DISTINCT species FROM stoich WHERE side = 'R' AND species IN (SELECT species FROM stoich WHERE side = 'P')")
@@ -176,11 +177,12 @@ def network_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rx.network_edges(stoichiometry(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {STOICH}, {ALL}, {EDGES}, reach(src, dst) AS (SELECT DISTINCT src, src FROM edges WHERE src = 7 UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src) SELECT src, dst FROM reach")
+@query(f"WITH RECURSIVE {STOICH}, {ALL}, {EDGES}, reach(src, dst) AS (SELECT DISTINCT src, src FROM edges WHERE src % 50 = 0 UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src) SELECT src, dst FROM reach")
 def network_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All that has a pathway from a given species, however long."""
-    edges = rx.network_edges(stoichiometry(spark, sf_dir))
-    return rx.reachable(edges, edges.where("src = 7").select("src")).select("src", "dst")
+    """All that has a pathway, however long, from the species whose id is divisible by 50
+    (the query set; the operator takes any sources)."""
+    edges = iterate.keep(rx.network_edges(stoichiometry(spark, sf_dir)))
+    return rx.reachable(edges, edges.where("src % 50 = 0").select("src")).select("src", "dst")
 
 
 @query(f"""WITH {STOICH}, {REACTIONS}, t AS (SELECT * FROM stoich), {EDGES}, ro AS (SELECT species, bool_or(side = 'R') AS r, bool_or(side = 'P') AS p FROM stoich GROUP BY species)
