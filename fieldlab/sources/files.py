@@ -49,7 +49,8 @@ def read_lines(path: str) -> list[str]:
     return [x.rstrip("\n") for f in sorted(glob.glob(os.path.join(path, "part-*"))) for x in open(f)]
 
 
-def _header(spark: SparkSession, section: int, *texts: str) -> DataFrame:
+def header(spark: SparkSession, section: int, *texts: str) -> DataFrame:
+    """Lines of a section in the order given."""
     return spark.createDataFrame([(section, k, t) for k, t in enumerate(texts)], LINES)
 
 
@@ -68,7 +69,7 @@ def vtk_grid(field: DataFrame, shape: tuple[int, ...], spacing: tuple[float, ...
         place = place + F.col("j") * dims[0]
     if "k" in field.columns:
         place = place + F.col("k") * dims[0] * dims[1]
-    head = _header(spark, 0, "# vtk DataFile Version 3.0", title, "ASCII", "DATASET STRUCTURED_POINTS", "DIMENSIONS {} {} {}".format(*dims), "ORIGIN 0 0 0", "SPACING {:g} {:g} {:g}".format(*h), f"POINT_DATA {n}", f"SCALARS {name} double 1", "LOOKUP_TABLE default")
+    head = header(spark, 0, "# vtk DataFile Version 3.0", title, "ASCII", "DATASET STRUCTURED_POINTS", "DIMENSIONS {} {} {}".format(*dims), "ORIGIN 0 0 0", "SPACING {:g} {:g} {:g}".format(*h), f"POINT_DATA {n}", f"SCALARS {name} double 1", "LOOKUP_TABLE default")
     return head.union(field.select(F.lit(1).alias("section"), place.alias("at"), _number(F.col("v")).alias("text")))
 
 
@@ -94,13 +95,13 @@ def vtk_mesh(nodes: DataFrame, elements: DataFrame, title: str = "mesh") -> Data
     n, (m, size) = nodes.count(), cells.agg(F.count("*"), F.coalesce(F.sum(F.size("c") + 1), F.lit(0))).first()
     key = F.col("id").alias("at")
     parts = [
-        _header(spark, 0, "# vtk DataFile Version 3.0", title, "ASCII", "DATASET UNSTRUCTURED_GRID", f"POINTS {n} double"),
+        header(spark, 0, "# vtk DataFile Version 3.0", title, "ASCII", "DATASET UNSTRUCTURED_GRID", f"POINTS {n} double"),
         dense.select(F.lit(1).alias("section"), F.col("d").alias("at"), F.concat_ws(" ", *(_number(F.col(a)) for a in "xyz")).alias("text")),
-        _header(spark, 2, f"CELLS {m} {size}"),
+        header(spark, 2, f"CELLS {m} {size}"),
         cells.select(F.lit(3).alias("section"), key, F.concat_ws(" ", F.size("c").cast("string"), F.array_join(F.col("c").cast("array<string>"), " ")).alias("text")),
-        _header(spark, 4, f"CELL_TYPES {m}"),
+        header(spark, 4, f"CELL_TYPES {m}"),
         cells.select(F.lit(5).alias("section"), key, mesh.vtk_code(F.col("type")).cast("string").alias("text")),
-        _header(spark, 6, f"CELL_DATA {m}", "SCALARS physical_tag int 1", "LOOKUP_TABLE default"),
+        header(spark, 6, f"CELL_DATA {m}", "SCALARS physical_tag int 1", "LOOKUP_TABLE default"),
         cells.select(F.lit(7).alias("section"), key, F.col("tag").cast("string").alias("text")),
     ]
     out = parts[0]
@@ -115,7 +116,7 @@ def stl(nodes: DataFrame, elements: DataFrame, name: str = "mesh") -> DataFrame:
     rows = mesh.normal(mesh.corners(elements, nodes))
     vertex = lambda k: F.concat_ws(" ", F.lit("    vertex"), *(_number(F.element_at("c", k)[a]) for a in "xyz"))
     text = F.concat_ws("\n", F.concat_ws(" ", F.lit("facet normal"), *(_number(F.col(f"n{a}")) for a in "xyz")), F.lit("  outer loop"), vertex(1), vertex(2), vertex(3), F.lit("  endloop"), F.lit("endfacet"))
-    return _header(spark, 0, f"solid {name}").union(rows.select(F.lit(1).alias("section"), F.col("id").alias("at"), text.alias("text"))).union(_header(spark, 2, f"endsolid {name}"))
+    return header(spark, 0, f"solid {name}").union(rows.select(F.lit(1).alias("section"), F.col("id").alias("at"), text.alias("text"))).union(header(spark, 2, f"endsolid {name}"))
 
 
 def obj(nodes: DataFrame, elements: DataFrame) -> DataFrame:
@@ -167,25 +168,3 @@ def read_npz(spark: SparkSession, path: str, name: str) -> DataFrame:
     with np.load(path) as f:
         values = f[name].ravel().astype(float)
     return spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "i long, v double")
-
-
-def vtu_pieces(nodes: DataFrame, elements: DataFrame, part: str = "part") -> DataFrame:
-    """(part, xml): one unstructured-grid piece for each part of the elements, with the nodes
-    its elements touch; ``pvtu`` writes the index over them."""
-    ids = elements.select(part, "id", "type", F.posexplode("node_ids").alias("pos", "node"))
-    local = ids.select(part, "node").distinct().withColumn("d", F.row_number().over(Window.partitionBy(part).orderBy("node")) - 1)
-    points = local.join(nodes.select(F.col("id").alias("node"), "x", "y", "z"), "node").groupBy(part).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("d", F.concat_ws(" ", *(_number(F.col(a)) for a in "xyz")).alias("t")))), lambda s: s["t"]), "\n").alias("points"))
-    cells = ids.join(local, [part, "node"]).groupBy(part, "id", "type").agg(F.array_sort(F.collect_list(F.struct("pos", "d"))).alias("c"))
-    cells = cells.withColumn("end", F.sum(F.size("c")).over(Window.partitionBy(part).orderBy("id")))
-    rows = F.array_sort(F.collect_list(F.struct("id", F.array_join(F.transform("c", lambda s: s["d"].cast("string")), " ").alias("t"), F.col("end").cast("string").alias("e"), mesh.vtk_code(F.col("type")).cast("string").alias("k"))))
-    joined = cells.groupBy(part).agg(F.count("*").alias("m"), rows.alias("r"))
-    line = lambda f: F.array_join(F.transform("r", lambda s: s[f]), " ")
-    array = lambda name, kind, body: F.concat(F.lit(f'<DataArray type="{kind}" Name="{name}" format="ascii">'), body, F.lit("</DataArray>"))
-    xml = F.concat(F.format_string('<VTKFile type="UnstructuredGrid" version="0.1"><UnstructuredGrid><Piece NumberOfPoints="%d" NumberOfCells="%d"><Points><DataArray type="Float64" NumberOfComponents="3" format="ascii">', "n", "m"), "points", F.lit("</DataArray></Points><Cells>"), array("connectivity", "Int64", line("t")), array("offsets", "Int64", line("e")), array("types", "UInt8", line("k")), F.lit("</Cells></Piece></UnstructuredGrid></VTKFile>"))
-    return points.join(joined, part).select(part, xml.alias("xml"))
-
-
-def pvtu(names: list[str]) -> str:
-    """The index file over the pieces."""
-    body = "".join(f'<Piece Source="{n}"/>' for n in names)
-    return f'<VTKFile type="PUnstructuredGrid" version="0.1"><PUnstructuredGrid GhostLevel="0"><PPoints><PDataArray type="Float64" NumberOfComponents="3"/></PPoints>{body}</PUnstructuredGrid></VTKFile>'
