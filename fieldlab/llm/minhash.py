@@ -41,6 +41,7 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -236,8 +237,9 @@ def _linked(able: DataFrame, sets: DataFrame) -> DataFrame:
         if now.isEmpty():
             break
         pairs = _pairs(now, step)
-        for earlier in asked:
-            pairs = pairs.join(earlier.select("u", "v"), ["u", "v"], "left_anti")
+        if asked:
+            known = reduce(DataFrame.union, (earlier.select("u", "v") for earlier in asked))
+            pairs = pairs.join(known, ["u", "v"], "left_anti")
         asked.append(materialize(pairs, "pairs"))
         links.append(_compared(asked[-1], sets))
         found = links[-1].where("linked")
