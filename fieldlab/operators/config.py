@@ -6,6 +6,8 @@ Values are texts; ``type`` is bool, int, double or string.  Rules are rows too:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,8 @@ PRESETS: dict[str, dict[str, object]] = {
     "accurate": {"solver.type": "implicit", "solver.tolerance": 1.0e-9, "solver.max_iterations": 2000, "solver.preconditioner": "ilu", "time.dt": 0.0001, "time.cfl": 0.25, "time.output_interval": 10, "mesh.refine_level": 2, "output.format": "vtk", "output.precision": 12, "output.verbose": False},
     "production": {"solver.type": "implicit", "solver.tolerance": 1.0e-6, "solver.max_iterations": 1000, "solver.preconditioner": "ilu", "time.dt": 0.001, "time.output_interval": 100, "output.format": "vtk", "output.checkpoint_interval": 1000, "output.save_fields": True, "output.save_statistics": True, "output.verbose": True, "logging.level": "INFO", "logging.file": "simulation.log"},
     "debug": {"solver.type": "explicit", "solver.tolerance": 1.0e-3, "solver.max_iterations": 50, "time.dt": 0.01, "time.output_interval": 1, "output.verbose": True, "output.save_every_step": True, "logging.level": "DEBUG", "logging.console": True},
+    "reaction_diffusion": {"solver.type": "implicit", "solver.tolerance": 1.0e-6, "time.dt": 0.01, "time.t_final": 1000.0, "time.output_interval": 100, "coupling.model": "gray_scott", "coupling.diffusion_u": 2.0e-5, "coupling.diffusion_v": 1.0e-5, "coupling.feed_rate": 0.055, "coupling.kill_rate": 0.062, "mesh.dimension": 2, "mesh.periodic": True, "output.format": "vtk", "output.save_pattern_metrics": True},
+    "transport": {"solver.type": "implicit", "solver.tolerance": 1.0e-6, "time.dt": 0.001, "time.cfl": 0.5, "transport.diffusion_coefficient": 1.0e-9, "transport.velocity_field": "uniform", "transport.boundary_conditions": "dirichlet", "output.format": "vtk", "output.save_fluxes": True},
     "surface_chemistry": {"solver.type": "implicit", "solver.tolerance": 1.0e-8, "time.dt": 1.0e-6, "time.output_interval": 1000, "surface.mechanism": "langmuir_hinshelwood", "surface.site_density": 1.0e19, "surface.temperature": 300.0, "output.format": "csv", "output.save_coverage": True, "output.save_rates": True},
 }
 
@@ -90,16 +94,31 @@ def rule_fits(value: Column, rule: Column, low: Column, high: Column, options: C
     return F.when(rule == "range", F.coalesce(number.between(low, high), F.lit(False))).when(rule == "positive", F.coalesce(number > 0, F.lit(False))).when(rule == "enum", F.array_contains(options, value)).when(rule == "regex", F.regexp(value, F.concat(F.lit("^(?:"), F.element_at(options, 1), F.lit(")$")))).when(rule == "nonempty", F.length(F.trim(value)) > 0).otherwise(F.lit(True))
 
 
-def validate(config: DataFrame, schema: DataFrame, keys: list[str] | None = None) -> DataFrame:
+#: A custom rule: whether a value's text is sound, as a Column of it.
+Predicate = Callable[[Column], Column]
+
+
+def validate(config: DataFrame, schema: DataFrame, keys: list[str] | None = None, predicates: dict[str, Predicate] | None = None) -> DataFrame:
     """([keys], key, problem): missing, type or rule, the first that fails; sound keys give no
-    row.  ``config`` may hold many configurations told apart by ``keys``."""
+    row.  ``config`` may hold many configurations told apart by ``keys``.
+
+    ``predicates`` are custom rules by key, also of keys that the schema lacks: values that are
+    there and fail one, or for which it is null, have the problem ``custom``.
+    """
     keys = keys or []
     wanted = schema
     if keys:
         wanted = config.select(*keys).distinct().crossJoin(F.broadcast(schema))  # a schema has few rows
     rows = wanted.join(config.select(*keys, "key", "value"), [*keys, "key"], "left")
-    problem = F.when(F.col("value").isNull(), F.when(F.col("required"), "missing")).when(~type_fits(F.col("value"), F.col("type")), "type").when(~rule_fits(F.col("value"), F.col("rule"), F.col("low"), F.col("high"), F.col("options")), "rule")
-    return rows.select(*keys, "key", problem.alias("problem")).where("problem is not null")
+    own = F.lit(True)
+    for name, sound in (predicates or {}).items():
+        own = F.when(F.col("key") == name, F.coalesce(sound(F.col("value")), F.lit(False))).otherwise(own)
+    problem = F.when(F.col("value").isNull(), F.when(F.col("required"), "missing")).when(~type_fits(F.col("value"), F.col("type")), "type").when(~rule_fits(F.col("value"), F.col("rule"), F.col("low"), F.col("high"), F.col("options")), "rule").when(~own, "custom")
+    out = rows.select(*keys, "key", problem.alias("problem")).where("problem is not null")
+    if predicates:
+        free = config.where(F.col("key").isin(list(predicates)) & F.col("value").isNotNull()).join(schema.select("key"), "key", "left_anti")
+        out = out.union(free.where(~own).select(*keys, "key", F.lit("custom").alias("problem")))
+    return out
 
 
 def defaults(config: DataFrame, schema: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -7,7 +7,11 @@ to shared storage so that lineage stays short.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,6 +28,73 @@ def matmul(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFra
     return a.select(*keys, "i", F.col("j").alias("k"), "v").join(right, [*keys, "k"]).groupBy(*keys, "i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
+def _blocks(matrix: DataFrame, keys: list[str], rows: str, columns: str, size: int, names: tuple[str, str, str]) -> DataFrame:
+    """([keys], block row, block column, values): the matrix as dense blocks of ``size`` squared,
+    values and a mask of the entries that are there, repeated entries summed."""
+    bi, bj, out = names
+    types = dict(matrix.dtypes)
+    placed = matrix.select(*keys, F.floor(F.col(rows) / size).alias(bi), F.floor(F.col(columns) / size).alias(bj), F.pmod(rows, F.lit(size)).cast("int").alias("_i"), F.pmod(columns, F.lit(size)).cast("int").alias("_j"), F.col("v").cast("double").alias("_v"))
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        block = np.zeros((2, size, size))
+        at = table.column("_i").to_numpy(), table.column("_j").to_numpy()
+        np.add.at(block[0], at, table.column("_v").to_numpy())
+        block[1][at] = 1.0
+        return pa.table({n: pa.array([k.as_py()], k.type) for n, k in zip([*keys, bi, bj], key, strict=True)} | {out: pa.array([block.tobytes()], pa.binary())})
+
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), f"{bi} long", f"{bj} long", f"{out} binary"])
+    return placed.groupBy(*keys, bi, bj).applyInArrow(pack, schema)
+
+
+def matmul_blocked(a: DataFrame, b: DataFrame, keys: list[str] | None = None, size: int = 256) -> DataFrame:
+    """([keys], i, j, v) with v = A B, by dense blocks: entries are packed into blocks of ``size``
+    squared, blocks meet on their common index, and numpy multiplies and sums them.
+
+    What is shuffled is one row a block and partner instead of one a product, so this is for
+    matrices that aren't very sparse.  An entry comes out where some product stands behind it.
+    A task holds one block's partners at a time.
+    """
+    keys = keys or []
+    types = dict(a.dtypes)
+    left = _blocks(a, keys, "i", "j", size, ("bi", "bk", "a"))
+    right = _blocks(b, keys, "i", "j", size, ("bk", "bj", "b"))
+    names = [*keys, "bi", "bj"]
+
+    def multiply(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, size, size))
+        for batch in batches:
+            for x, y in zip(batch.column("a"), batch.column("b"), strict=True):
+                one, other = (np.frombuffer(z.as_buffer()).reshape(2, size, size) for z in (x, y))
+                total += one @ other
+        i, j = np.nonzero(total[1] > 0)
+        at = {n: k.as_py() for n, k in zip(names, key, strict=True)}
+        columns = [pa.array([at[k]] * len(i), batch.schema.field(k).type) for k in keys] if len(i) else [pa.array([], batch.schema.field(k).type) for k in keys]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(i + at["bi"] * size), pa.array(j + at["bj"] * size), pa.array(total[0][i, j])], [*keys, "i", "j", "v"])
+
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "i long, j long, v double"])
+    return left.join(right, [*keys, "bk"]).groupBy(*names).applyInArrow(multiply, schema)
+
+
+def csr(matrix: DataFrame, keys: list[str] | None = None, block: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """Compressed rows: entries ([keys], pos, i, j, v) in order of row and column, repeated ones
+    kept, and pointers ([keys], i, start, stop) of the rows that have entries.
+
+    Positions are prefix sums on two levels, over blocks of ``block`` rows and over the (row,
+    stretch of columns) cells within each, plus a rank in the cell: no window holds a matrix, and
+    a row with a third of all entries is dealt by its columns.
+    """
+    keys = keys or []
+    rows = matrix.withColumns({"_b": F.floor(F.col("i") / block), "_c": F.floor(F.col("j") / block)})
+    cells = rows.groupBy(*keys, "_b", "i", "_c").agg(F.count("*").alias("_n"))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = cells.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n")).withColumn("_s", before(Window.partitionBy(*keys).orderBy("_b"))).drop("_n")
+    starts = cells.join(blocks, [*keys, "_b"]).withColumn("_s", F.col("_s") + before(Window.partitionBy(*keys, "_b").orderBy("i", "_c")))
+    rank = F.row_number().over(Window.partitionBy(*keys, "i", "_c").orderBy("j", "v")) - 1
+    entries = rows.withColumn("_r", rank).join(starts.select(*keys, "i", "_c", "_s"), [*keys, "i", "_c"])
+    pointers = starts.groupBy(*keys, "i").agg(F.min("_s").alias("start"), F.max(F.col("_s") + F.col("_n")).alias("stop"))
+    return entries.select(*keys, (F.col("_s") + F.col("_r")).alias("pos"), "i", "j", "v"), pointers
+
+
 def transpose(matrix: DataFrame) -> DataFrame:
     return matrix.withColumns({"i": F.col("j"), "j": F.col("i")})
 

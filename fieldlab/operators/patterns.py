@@ -1,7 +1,8 @@
 """Statistics and classification of scalar fields (run, i, v).
 
-All metrics of a run come from windows partitioned by run and one aggregation on the same
-key, so a field is shuffled once; lags are ``lead`` columns of one window, not a self-join.
+``analyze`` shuffles a field once: windows partitioned by run and aggregations on keys that begin
+with the run follow on the same partitions.  Lags are ``lead`` columns of one window and mirrored
+values meet by their distance from the end, so nothing is joined with itself.
 Empty runs don't exist as rows; a run with one value has variance, amplitude and
 correlation 0.
 """
@@ -42,49 +43,68 @@ def correlation(field: DataFrame, run: str = "run") -> DataFrame:
     return out.select(run, F.coalesce(F.col("s") / safe, F.lit(0.0)).alias("correlation"))
 
 
-def autocorrelation(field: DataFrame, run: str = "run", max_lag: int = MAX_LAG) -> DataFrame:
-    """(run, n, variance, acf): acf[k] for lags below min(n div 4, max_lag), acf[0] = 0."""
+def _lag_sums(field: DataFrame, run: str, max_lag: int, also: list[Column]) -> DataFrame:
+    """n, variance and the sums s1.. of products of centred values by lag, and ``also``."""
     along = _along(run)
-    rows = _centered(field, run).select(run, "v", "c", *(F.lead("c", k).over(along).alias(f"c{k}") for k in range(1, max_lag)))
+    rows = _centered(field, run).select("*", *(F.lead("c", k).over(along).alias(f"c{k}") for k in range(1, max_lag)))
     sums = [F.coalesce(F.sum(F.col("c") * F.col(f"c{k}")), F.lit(0.0)).alias(f"s{k}") for k in range(1, max_lag)]
-    out = rows.groupBy(run).agg(F.count("v").alias("n"), F.var_pop("v").alias("variance"), *sums)
+    return rows.groupBy(run).agg(F.count("v").alias("n"), F.coalesce(F.var_pop("v"), F.lit(0.0)).alias("variance"), *sums, *also)
+
+
+def _by_lag(k: int) -> Column:
+    """The autocorrelation at a lag, null where the variance is below 1e-15."""
+    return F.col(f"s{k}") / F.when((F.col("variance") >= 1e-15) & (F.col("n") > k), (F.col("n") - k) * F.col("variance"))
+
+
+def _acf(max_lag: int) -> Column:
     lags = F.least(F.floor(F.col("n") / 4), F.lit(max_lag)).cast("int")
-    terms = [F.lit(0.0)] + [F.col(f"s{k}") / F.when((F.col("variance") >= 1e-15) & (F.col("n") > k), (F.col("n") - k) * F.col("variance")) for k in range(1, max_lag)]
-    return out.select(run, "n", "variance", F.slice(F.array(*terms), F.lit(1), F.greatest(lags, F.lit(0))).alias("acf"))
+    return F.slice(F.array(F.lit(0.0), *(_by_lag(k) for k in range(1, max_lag))), F.lit(1), F.greatest(lags, F.lit(0)))
 
 
-def dominant_wavelength(field: DataFrame, run: str = "run", spacing: float = 1.0) -> DataFrame:
-    """2 * lag * spacing at the first positive local peak of the autocorrelation, else 0."""
-    acf = autocorrelation(field, run)
+def _wavelength(spacing: float) -> Column:
     at = lambda k: F.element_at("acf", k + 1)
     lags = F.when(F.size("acf") >= 4, F.sequence(F.lit(2), F.size("acf") - 2)).otherwise(F.array().cast("array<int>"))
     peaks = F.filter(lags, lambda k: (at(k - 1) < at(k)) & (at(k) > at(k + 1)) & (at(k) > 0.0))
-    first = F.try_element_at(peaks, F.lit(1))
-    found = F.when((F.col("n") >= 4) & (F.col("variance") >= 1e-15), 2.0 * first * spacing)
-    return acf.select(run, F.coalesce(found, F.lit(0.0)).alias("wavelength"))
+    found = F.when((F.col("n") >= 4) & (F.col("variance") >= 1e-15), 2.0 * F.try_element_at(peaks, F.lit(1)) * spacing)
+    return F.coalesce(found, F.lit(0.0))
+
+
+def autocorrelation(field: DataFrame, run: str = "run", max_lag: int = MAX_LAG) -> DataFrame:
+    """(run, n, variance, acf): acf[k] for lags below min(n div 4, max_lag), acf[0] = 0."""
+    return _lag_sums(field.select(run, "i", "v"), run, max_lag, []).select(run, "n", "variance", _acf(max_lag).alias("acf"))
+
+
+def dominant_wavelength(field: DataFrame, run: str = "run", spacing: float = 1.0) -> DataFrame:
+    """2 * lag * spacing at the first positive local peak of the autocorrelation, else 0."""
+    return autocorrelation(field, run).select(run, _wavelength(spacing).alias("wavelength"))
 
 
 def symmetry(field: DataFrame, run: str = "run") -> DataFrame:
     """1 - sqrt(sum (v_i - v_mirror)^2 / sum (v_i^2 + v_mirror^2)) over the first half; 1 for
     fewer than two values or a norm below 1e-15."""
     sized = field.select(run, "i", "v", F.count("v").over(Window.partitionBy(run)).alias("n"))
-    other = sized.select(run, (F.col("n") - 1 - F.col("i")).alias("i"), F.col("v").alias("w"))
-    pairs = sized.where(F.col("i") < F.floor(F.col("n") / 2)).join(other, [run, "i"])
-    d = F.col("v") - F.col("w")
-    sums = pairs.groupBy(run).agg(F.sum(d * d).alias("diff"), F.sum(F.col("v") * F.col("v") + F.col("w") * F.col("w")).alias("norm"))
-    runs = sized.groupBy(run).agg(F.max("n").alias("n"))
+    pairs = sized.groupBy(run, F.least("i", F.col("n") - 1 - F.col("i")).alias("end")).agg(F.count("v").alias("c"), (F.max("v") - F.min("v")).alias("d"), F.sum(F.col("v") * F.col("v")).alias("e"))
+    both = lambda x: F.sum(F.when(F.col("c") == 2, x))  # noqa: E731 - the middle of an odd run has no mirror
+    sums = pairs.groupBy(run).agg(both(F.col("d") * F.col("d")).alias("diff"), both(F.col("e")).alias("norm"))
     value = F.when(F.col("norm") >= 1e-15, 1.0 - F.sqrt(F.col("diff") / F.when(F.col("norm") >= 1e-15, F.col("norm"))))
-    return runs.join(sums, run, "left").select(run, F.coalesce(value, F.lit(1.0)).alias("symmetry"))
+    return sums.select(run, F.coalesce(value, F.lit(1.0)).alias("symmetry"))
+
 
+BINS = 20
 
-def entropy(field: DataFrame, run: str = "run", bins: int = 20) -> DataFrame:
+
+def _bin(bins: int) -> Column:
+    """The histogram's bin of v between lo and hi, the last one for hi alone."""
+    span = F.col("hi") - F.col("lo")
+    return F.when(span >= 1e-15, F.floor((F.col("v") - F.col("lo")) / F.when(span >= 1e-15, span) * (bins - 1))).otherwise(F.lit(0))
+
+
+def entropy(field: DataFrame, run: str = "run", bins: int = BINS) -> DataFrame:
     """Natural-log entropy of a histogram whose last bin holds the maximum alone: bin
     floor((v - min) / range * (bins - 1)); 0 where the range is below 1e-15."""
     every = Window.partitionBy(run)
     rows = field.select(run, "v", F.min("v").over(every).alias("lo"), F.max("v").over(every).alias("hi"))
-    span = F.col("hi") - F.col("lo")
-    index = F.when(span >= 1e-15, F.floor((F.col("v") - F.col("lo")) / F.when(span >= 1e-15, span) * (bins - 1))).otherwise(F.lit(0))
-    counts = rows.groupBy(run, index.alias("bin")).agg(F.count("*").alias("c"))
+    counts = rows.groupBy(run, _bin(bins).alias("bin")).agg(F.count("*").alias("c"))
     p = F.col("c") / F.sum("c").over(every)
     return counts.select(run, (-p * F.log(p)).alias("e")).groupBy(run).agg(F.sum("e").alias("entropy"))
 
@@ -112,9 +132,15 @@ def classify(variance: Column, wavelength: Column, amplitude: Column, correlatio
 
 def analyze(field: DataFrame, run: str = "run", spacing: float = 1.0) -> DataFrame:
     """Every metric and the class of each run."""
-    out = basics(field, run)
-    for part in (correlation(field, run), dominant_wavelength(field, run, spacing), symmetry(field, run), entropy(field, run)):
-        out = out.join(part, run)
+    every, v = Window.partitionBy(run), F.col("v")
+    binned = field.select(run, "i", "v", F.min("v").over(every).alias("lo"), F.max("v").over(every).alias("hi")).withColumn("bin", _bin(BINS))
+    also = [F.coalesce(F.avg(v), F.lit(0.0)).alias("mean"), F.coalesce(F.max(v) - F.min(v), F.lit(0.0)).alias("amplitude"), F.coalesce(F.sum(v * v), F.lit(0.0)).alias("energy"), *(F.count_if(F.col("bin") == k).alias(f"h{k}") for k in range(BINS))]
+    sums = _lag_sums(binned, run, MAX_LAG, also)
+    total = sum((F.col(f"h{k}") for k in range(1, BINS)), start=F.col("h0"))
+    shares = [F.col(f"h{k}") / total for k in range(BINS)]
+    spread = sum((F.when(p > 0, -p * F.log(p)).otherwise(F.lit(0.0)) for p in shares[1:]), start=F.when(shares[0] > 0, -shares[0] * F.log(shares[0])).otherwise(F.lit(0.0)))
+    out = sums.withColumn("acf", _acf(MAX_LAG)).select(run, "n", "mean", "variance", "amplitude", "energy", F.coalesce(_by_lag(1), F.lit(0.0)).alias("correlation"), _wavelength(spacing).alias("wavelength"), spread.alias("entropy"))
+    out = out.join(symmetry(field, run), run).select(run, "n", "mean", "variance", "amplitude", "energy", "correlation", "wavelength", "symmetry", "entropy")
     return out.withColumn("pattern", classify(F.col("variance"), F.col("wavelength"), F.col("amplitude"), F.col("correlation"), F.col("symmetry")))
 
 

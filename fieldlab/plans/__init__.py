@@ -4,7 +4,7 @@
 other modules register queries with the DuckDB SQL that must give the same rows.
 """
 
-from . import planes, chemistry, fields, structures  # noqa: F401
+from . import chemistry, fields, planes, sources, structures  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

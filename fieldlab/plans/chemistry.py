@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boundary, kinetics, models, surface, text, thermo, units, vectors
 from ..functions import transport as tr
-from ..operators import iterate
+from ..operators import iterate, trajectory
 from ..operators import reactions as rx
 from ..session import table
 from .bindings import PAIRED, REACTIONS, SPECIES, STOICH, paired, reactions, species, stoichiometry
@@ -92,6 +92,31 @@ def production_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("species", _scaled("rate").alias("rate")))
 
 
+JAC = f"""{STOICH}, {SPECIES}, {REACTIONS},
+net AS (SELECT rxn, species, sum(CASE WHEN side = 'P' THEN coeff ELSE -coeff END) AS nu FROM stoich GROUP BY 1, 2),
+jt AS (SELECT rxn, s.species, side, coeff, coalesce(conc, 0) AS conc, coalesce(conc, 0) ** coeff AS term FROM stoich s LEFT JOIN species c ON s.species = c.species),
+js AS (SELECT rxn, side, coalesce(product(term) FILTER (term <> 0), 1) AS rest, count(*) FILTER (term = 0) AS zeros FROM jt GROUP BY 1, 2),
+jp AS (SELECT rxn, species AS wrt, sum((CASE WHEN side = 'R' THEN a_f * 900.0 ** b_f * exp(-e_f / (8.314 * 900)) WHEN reversible THEN -a_r * 900.0 ** b_r * exp(-e_r / (8.314 * 900)) ELSE 0 END)
+  * (CASE WHEN conc > 0 THEN coeff * conc ** (coeff - 1) ELSE 1e-8 ** (coeff - 1) END) * (CASE WHEN zeros = 0 THEN rest / term WHEN zeros = 1 AND term = 0 THEN rest ELSE 0 END)) AS d
+  FROM jt JOIN js USING (rxn, side) JOIN reactions USING (rxn) GROUP BY 1, 2),
+jac AS (SELECT species, wrt, sum(nu * d) AS value FROM net JOIN jp USING (rxn) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {JAC} SELECT species, wrt, {SCALE.format(c='value', n='value')} FROM jac")
+def rate_jacobian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sparse Jacobian of the rate law, on a signed log scale."""
+    rows = rx.jacobian(stoichiometry(spark, sf_dir), reactions(spark, sf_dir), species(spark, sf_dir), 900.0)
+    return rounded(rows.select("species", "wrt", _scaled("value").alias("value")))
+
+
+@query(f"WITH {JAC}, d AS (SELECT phase, abs(value) AS d FROM jac JOIN species USING (species) WHERE species = wrt) SELECT phase, round(ln(coalesce(max(d) / min(d), 0)), 6) AS log_stiffness, coalesce(max(d) / min(d), 0) > 1000 AS stiff FROM d WHERE d > 1e-12 GROUP BY phase")
+def stiffness_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I16: the spread of the Jacobian's diagonal, by phase."""
+    parts = species(spark, sf_dir)
+    rows = rx.jacobian(stoichiometry(spark, sf_dir), reactions(spark, sf_dir), parts, 900.0)
+    return rounded(rx.stiffness(rows.join(parts.select("species", "phase"), "species"), ["phase"]).select("phase", F.log("stiffness").alias("log_stiffness"), "stiff"))
+
+
 @query(f"""WITH {ROP}, t AS (SELECT species, coalesce(sum(coeff * (forward - reverse)) FILTER (side = 'P'), 0) AS p, coalesce(sum(coeff * (forward - reverse)) FILTER (side = 'R'), 0) AS c, count(*) FILTER (side = 'P') AS n_p, count(*) FILTER (side = 'R') AS n_c, min(rxn) FILTER (side = 'P') AS first_p FROM stoich JOIN rop USING (rxn) GROUP BY species)
 SELECT species, {SCALE.format(c='p', n='production')}, {SCALE.format(c='c', n='consumption')}, CAST(n_p AS INT) AS n_producing, CAST(n_c AS INT) AS n_consuming, first_p AS first_producing FROM t""")
 def source_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -383,3 +408,37 @@ DECAY = "(1 - 0.1 * k + 0.1 * k * 0.1 * k / 2 - (0.1 * k) ** 3 / 6 + (0.1 * k) *
 def ode_decay_rk4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three steps of RK4 for dy/dt = -k y, all cells of a batch at once."""
     return rounded(iterate.decay(points(spark, sf_dir), "id", "a", "b", 0.1, 3, "rk4"), 9)
+
+
+@query("""WITH RECURSIVE c AS (SELECT p_partkey AS cell, p_retailprice / 1000 AS y0, p_size / 10.0 AS k FROM part), n AS (SELECT cell, y0, k, unnest(range(0, 8)) AS step FROM c)
+SELECT cell, CAST(step AS INTEGER) AS step, round(CASE WHEN step = 7 THEN 2.0 ELSE step * 0.3 END, 9) AS t, round(y0 * (1 - k * 0.3 + (k * 0.3) ** 2 / 2 - (k * 0.3) ** 3 / 6 + (k * 0.3) ** 4 / 24) ** least(step, 6) * CASE WHEN step = 7 THEN 1 - k * 0.2 + (k * 0.2) ** 2 / 2 - (k * 0.2) ** 3 / 6 + (k * 0.2) ** 4 / 24 ELSE 1 END, 11) AS y FROM n""")
+def rk4_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trajectory of every cell as a table function, the last step shortened."""
+    rows = _decaying(spark, sf_dir).lateralJoin(trajectory.steps(_decay, clamp=False)(F.col("y0").outer(), F.col("k").outer(), F.lit(2.0), F.lit(0.3)))
+    return rounded(rows.select("cell", "step", F.round("t", 9).alias("t"), F.element_at("state", 1).alias("y")), 11, t=9)
+
+
+@query("""WITH RECURSIVE c AS (SELECT p_partkey AS cell, p_retailprice / 1000 AS y0, p_size / 10.0 AS k FROM part),
+s(cell, k, n, t, y, dt, before, accepted) AS (
+  SELECT cell, k, 0, CAST(0 AS DOUBLE), y0, CAST(0.5 AS DOUBLE), CAST(0 AS DOUBLE), 0 FROM c
+  UNION ALL
+  SELECT cell, k, n + 1, CASE WHEN err <= 1 THEN t + h ELSE t END, CASE WHEN err <= 1 THEN heun ELSE y END,
+    least(1.0, greatest(1e-12, h * CASE WHEN err <= 1 THEN least(5.0, greatest(0.2, 0.9 * (1 / greatest(err, 1e-10)) ** 0.35 * (CASE WHEN before > 0 THEN greatest(err, 1e-10) / before ELSE 1 END) ** (-0.2))) ELSE 0.2 END)),
+    CASE WHEN err <= 1 THEN err ELSE before END, accepted + CASE WHEN err <= 1 THEN 1 ELSE 0 END
+  FROM (SELECT *, abs(heun - euler) / (1e-6 + 1e-2 * greatest(abs(y), abs(heun))) AS err FROM (SELECT *, y + h / 2 * (-k * y - k * euler) AS heun FROM (SELECT *, y + h * (-k * y) AS euler FROM (SELECT *, least(dt, 2.0 - t) AS h FROM s WHERE 2.0 - t > 2e-12)))))
+SELECT cell, max(n) AS attempts, max(accepted) AS accepted, round(arg_max(y, n), 6) AS y FROM s GROUP BY cell""")
+def controlled_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error-controlled trajectories with their accepted and rejected attempts."""
+    steps = trajectory.controlled(_decay, rel_tol=1e-2)(F.col("y0").outer(), F.col("k").outer(), F.lit(2.0), F.lit(0.5))
+    rows = _decaying(spark, sf_dir).lateralJoin(steps)
+    out = rows.groupBy("cell").agg(F.max("attempt").alias("attempts"), F.count_if("accepted").cast("int").alias("accepted"), F.max_by(F.element_at("state", 1), "attempt").alias("y"))
+    return rounded(out)
+
+
+def _decay(t, y, p):
+    return -p * y
+
+
+def _decaying(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cell, y0, k): a concentration that decays, and its rate, as arrays of one."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cell"), F.array(F.col("p_retailprice") / 1000).alias("y0"), F.array(F.col("p_size") / 10.0).alias("k"))

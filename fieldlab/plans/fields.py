@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import initial
 from ..functions import transport as tr
 from ..operators import norms, patterns, stencils
 from ..session import table
@@ -288,3 +289,11 @@ def van_leer_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("run").orderBy("i")
     rows = field(spark, sf_dir).select("run", "i", ((F.col("v") - F.lag("v").over(w)) / (F.lead("v").over(w) - F.col("v") + 0.37)).alias("r")).where("r is not null")
     return rounded(rows.select("run", "i", tr.van_leer("r").alias("phi")))
+
+
+@query(f"WITH {GRID2} SELECT i, j, round(2 * exp(-((0.25 * i - 4) ** 2 + (0.5 * j - 3) ** 2) / (2 * 1.5 ** 2)), 9) AS u, CASE WHEN 0.25 * i < 5 THEN 1.0 ELSE 0.25 END AS v, round(sin(0.7 * (0.25 * i)) * sin(1.3 * (0.5 * j)), 9) AS w, round(0.25 * i * (0.5 * j) + 1, 9) AS own FROM grid2")
+def initial_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.15: fields set by functions of the position, ready-made and own."""
+    grid = grid2(spark, sf_dir).select("i", "j")
+    conditions = {"u": initial.gaussian(4, 3, 1.5, 2.0), "v": initial.step(5.0, 1.0, 0.25), "w": initial.sine(0.7, 1.3), "own": lambda x, y: x * y + 1}
+    return rounded(initial.apply(grid, conditions, (0.25, 0.5)), 9)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import config as cf
 from ..operators import iterate, linalg, mesh, ml, partition
 from ..session import table
-from .bindings import ELEMENTS, FIELD, MATRIX, NODES, elements, field, matrix, nodes
+from .bindings import ELEMENTS, FIELD, GRID2, MATRIX, NODES, elements, field, grid2, matrix, nodes
 from .registry import query, rounded
 
 VEC = "vec AS (SELECT DISTINCT run, j AS i, (j * 7 % 13) / 13.0 AS x FROM matrix)"
@@ -53,6 +53,71 @@ def matrix_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(linalg.matmul(m, m, ["run"]), 8)
 
 
+@query(f"WITH {MATRIX} SELECT a.run, a.i, b.j, round(sum(a.v * b.v), 8) AS v FROM matrix a JOIN matrix b ON a.run = b.run AND a.j = b.i GROUP BY 1, 2, 3")
+def matrix_product_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L6 by dense blocks of 25 squared."""
+    m = matrix(spark, sf_dir)
+    return rounded(linalg.matmul_blocked(m, m, ["run"], 25), 8)
+
+
+SYSTEM = """big AS (SELECT max(p_partkey) AS n FROM part),
+off AS (SELECT l_partkey AS i, (l_partkey * 7 + l_suppkey) % n + 1 AS j, sum(l_discount) AS v FROM lineitem, big WHERE (l_partkey * 7 + l_suppkey) % n + 1 <> l_partkey GROUP BY 1, 2),
+dia AS (SELECT p_partkey AS i, 1 + p_size / 10.0 + coalesce(sum(v), 0) AS d FROM part LEFT JOIN off ON i = p_partkey GROUP BY p_partkey, p_size),
+rhs AS (SELECT p_partkey AS i, p_retailprice / 1000 AS b FROM part)"""
+
+
+def _system(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """One sparse system over all parts, diagonally dominant and not symmetric, and a right
+    side."""
+    part = table(spark, sf_dir, "part")
+    big = part.agg(F.max("p_partkey").alias("n"))
+    lines = table(spark, sf_dir, "lineitem").crossJoin(F.broadcast(big))  # one row
+    off = lines.select(F.col("l_partkey").alias("i"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % F.col("n") + 1).alias("j"), F.col("l_discount").alias("v")).where("i <> j").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    sums = off.groupBy("i").agg(F.sum("v").alias("s"))
+    diagonal = part.select(F.col("p_partkey").alias("i"), (1 + F.col("p_size") / 10.0).alias("d")).join(sums, "i", "left").select("i", F.col("i").alias("j"), (F.col("d") + F.coalesce("s", F.lit(0.0))).alias("v"))
+    return iterate.keep(off.unionByName(diagonal)), part.select(F.col("p_partkey").alias("i"), (F.col("p_retailprice") / 1000).alias("x"))
+
+
+def _sweep(source: str) -> str:
+    return f"SELECT r.i, (b - coalesce(y, 0)) / d AS x FROM rhs r JOIN dia USING (i) LEFT JOIN (SELECT off.i, sum(v * x) AS y FROM off JOIN {source} s ON off.j = s.i GROUP BY off.i) p USING (i)"
+
+
+@query(f"WITH {SYSTEM}, x0 AS (SELECT i, 0.0::DOUBLE AS x FROM rhs), x1 AS ({_sweep('x0')}), x2 AS ({_sweep('x1')}), x3 AS ({_sweep('x2')}) SELECT i, round(x, 9) AS x FROM x3")
+def jacobi_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three Jacobi sweeps on one system over all parts."""
+    a, b = _system(spark, sf_dir)
+    return rounded(linalg.jacobi(a, b, 3), 9)
+
+
+@query("SELECT p_partkey AS i, (p_partkey * 5 % 17) / 8.0 AS x FROM part")
+def bicgstab_solution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A general system over all parts whose right side comes from a known solution."""
+    a, b = _system(spark, sf_dir)
+    known = b.select("i", (F.col("i") * 5 % 17 / 8.0).alias("x"))
+    side = iterate.keep(known.select("i").join(linalg.spmv(a, known).withColumnRenamed("y", "x"), "i"))
+    return rounded(linalg.bicgstab(a, side, 40, 1e-11), 6)
+
+
+ENTRIES = "entries AS (SELECT l_suppkey AS run, l_orderkey % 50 AS i, l_partkey % 50 AS j, l_discount AS v FROM lineitem), placed AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY i, j, v) - 1 AS pos FROM entries)"
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrices' entries before repeated ones are summed."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run"), (F.col("l_orderkey") % 50).alias("i"), (F.col("l_partkey") % 50).alias("j"), F.col("l_discount").alias("v"))
+
+
+@query(f"WITH {ENTRIES} SELECT run, pos, i, j, v FROM placed")
+def csr_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries in row and column order, repeated ones kept."""
+    return linalg.csr(_entries(spark, sf_dir), ["run"], 16)[0]
+
+
+@query(f"WITH {ENTRIES} SELECT run, i, min(pos) AS start, max(pos) + 1 AS stop FROM placed GROUP BY 1, 2")
+def csr_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each row's entries begin and end."""
+    return linalg.csr(_entries(spark, sf_dir), ["run"], 16)[1]
+
+
 @query(f"WITH {MATRIX} SELECT run, count(DISTINCT i) = 50 AND min(i) >= 0 AND max(i) < 50 AND min(j) >= 0 AND max(j) < 50 AS posed FROM matrix GROUP BY run")
 def matrix_well_posed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L3."""
@@ -262,6 +327,26 @@ def config_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cf.validate(_newest(_settings(spark, sf_dir)), cf.schema_rows(spark, "solver", "time"), ["cfg"])
 
 
+@query(f"""WITH {CONF}, {LATEST} SELECT cfg, key, CASE WHEN key = 'solver.tolerance' AND try_cast(value AS DOUBLE) IS NULL THEN 'type' ELSE 'custom' END AS problem FROM one
+WHERE (key = 'solver.tolerance' AND (try_cast(value AS DOUBLE) IS NULL OR NOT try_cast(value AS DOUBLE) < 0.5)) OR (key = 'solver.max_iterations' AND try_cast(value AS BIGINT) % 1000 <> 0)""")
+def config_custom_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.15: own predicates beside a schema's rules, also of a key that it lacks."""
+    schema = spark.createDataFrame([("solver.tolerance", "double", False, None, None, None, None, None)], cf.SCHEMA)
+    own = {"solver.tolerance": lambda v: v.try_cast("double") < 0.5, "solver.max_iterations": lambda v: v.try_cast("bigint") % 1000 == 0}
+    return cf.validate(_newest(_settings(spark, sf_dir)), schema, ["cfg"], own)
+
+
+@query(f"""WITH {CONF}, {LATEST} SELECT cfg, count(*) AS n, coalesce(try_cast(max(value) FILTER (key = 'solver.tolerance') AS DOUBLE), -1.0) AS tolerance, coalesce(max(value) FILTER (key = 'solver.type'), 'explicit') AS solver, count(*) FILTER (key = 'time.dt') > 0 AS has_dt,
+coalesce(string_agg(key || '=' || value, ';' ORDER BY key) FILTER (starts_with(key, 'solver.')) || ';', '') || 'time.cfl=0.5' AS merged FROM one GROUP BY cfg""")
+def attribute_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings as one map a user; get with a default, has, remove, set and merge."""
+    from ..operators import attributes as at
+
+    rows = at.collect(_settings(spark, sf_dir), ["cfg"], "key", "value", "event_id")
+    merged = at.merge(at.remove("attributes", "time.dt", "time.cfl"), at.put(F.lit(None).cast("map<string,string>"), "time.cfl", 0.5))
+    return rows.select("cfg", F.size("attributes").cast("long").alias("n"), at.get("attributes", "solver.tolerance", -1.0).alias("tolerance"), at.get("attributes", "solver.type", "explicit").alias("solver"), at.has("attributes", "time.dt").alias("has_dt"), at.spell(merged).alias("merged"))
+
+
 @query(f"WITH {CONF}, {LATEST}, d AS (SELECT cfg, v.key, v.value FROM (SELECT DISTINCT cfg FROM one) CROSS JOIN (VALUES ('solver.tolerance', '1.0E-6'), ('solver.max_iterations', '1000'), ('solver.preconditioner', 'jacobi'), ('time.t_final', '1.0'), ('time.output_interval', '10'), ('time.cfl', '0.5')) v(key, value)) SELECT coalesce(n.cfg, d.cfg) AS cfg, coalesce(n.key, d.key) AS key, coalesce(n.value, d.value) AS value FROM d FULL JOIN one n ON n.cfg = d.cfg AND n.key = d.key")
 def config_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defaults under every configuration."""
@@ -387,9 +472,23 @@ def gray_scott_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(iterate.react_runs(rows, "gray_scott", 0.2, 0.1, 0.04, 0.06, 0.1, 1, 1.0), 7)
 
 
-@query()
+AROUND = "WINDOW g AS (PARTITION BY run ORDER BY i), h AS (PARTITION BY run ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+
+
+def _strang(source: str, steps: int, dt: float) -> str:
+    """CTEs of Brusselator steps: half a step of diffusion, a step of reaction, and the other half."""
+    lap = lambda c: f"(coalesce(lead({c}) OVER g, first_value({c}) OVER h) - 2 * {c} + coalesce(lag({c}) OVER g, last_value({c}) OVER h))"
+    half = lambda name: f"SELECT run, i, u + {dt} / 2 * 0.1 * {lap('u')} AS u, v + {dt} / 2 * 0.2 * {lap('v')} AS v FROM {name} {AROUND}"
+    out, now = [], source
+    for k in range(steps):
+        out += [f"a{k} AS ({half(now)})", f"b{k} AS (SELECT run, i, u + {dt} * (1.0 - 4.0 * u + u * u * v) AS u, v + {dt} * (3.0 * u - u * u * v) AS v FROM a{k})", f"c{k} AS ({half(f'b{k}')})"]
+        now = f"c{k}"
+    return ", ".join(out) + f" SELECT run, i, round(u, 8) AS u, round(v, 8) AS v FROM {now}"
+
+
+@query(f"WITH {FIELD}, f AS (SELECT run, i, 1 + v / 500 AS u, 3 + w / 120 AS v FROM field), {_strang('f', 10, 0.01)}")
 def reaction_diffusion_strang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten Strang-split Brusselator steps (rows only; tested against small steps)."""
+    """Ten Strang-split Brusselator steps, periodic."""
     rows = field(spark, sf_dir).select("run", "i", (1 + F.col("v") / 500).alias("u"), (3 + F.col("w") / 120).alias("v"))
     return rounded(iterate.react_runs(rows, "brusselator", 0.1, 0.2, 1.0, 3.0, 0.01, 10, 1.0, splitting="strang"), 8)
 
@@ -406,13 +505,6 @@ def vector_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(field(spark, sf_dir).select("run", "i", (2.5 * F.col("v") + F.col("w")).alias("axpy"), (F.col("v") - F.col("w")).alias("difference"), (3.0 * F.col("v")).alias("scaled")), 9)
 
 
-@query(f"WITH {FIELD}, s AS (SELECT run, greatest(v, 1.0) AS d FROM field) SELECT run, round(max(d) / min(d), 6) AS stiffness, max(d) / min(d) > 1000 AS stiff FROM s WHERE d > 1e-12 GROUP BY run")
-def stiffness_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I16."""
-    rows = field(spark, sf_dir).select("run", F.greatest("v", F.lit(1.0)).alias("d")).where("abs(d) > 1e-12")
-    return rounded(rows.groupBy("run").agg((F.max("d") / F.min("d")).alias("stiffness"), (F.max("d") / F.min("d") > 1000).alias("stiff")))
-
-
 @query("WITH g AS (SELECT user_id, ts, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) SELECT user_id, date_trunc('week', ts) AS week, max(value) FILTER (r % 3 = 0) AS a, max(value) FILTER (r % 3 = 1) AS b, max(value) FILTER (r % 3 = 2) AS c FROM g GROUP BY 1, 2")
 def time_series_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IO12, M62: long rows to one column a species."""
@@ -430,11 +522,17 @@ def reactor_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(coupled.reactor(cells, "cell", "c", "T", 1e5, 5e4, -100.0, 10.0, 0.01, 1), 8)
 
 
-@query()
+LINES = "WINDOW x AS (PARTITION BY j ORDER BY i), y AS (PARTITION BY i ORDER BY j)"
+SPREAD = "{c} + 0.01 * {d} * coalesce((lead({c}) OVER x - 2 * {c} + lag({c}) OVER x) / 0.01 + (lead({c}) OVER y - 2 * {c} + lag({c}) OVER y) / 0.04, 0) AS {c}"
+
+
+@query(f"""WITH {GRID2}, p AS (SELECT i, j, ux, uy, v AS c, 300 + i * 2.0 AS t FROM grid2),
+r AS (SELECT *, least(c, 0.01 * 1e3 * exp(-3e4 / (8.314 * t)) * c) AS used FROM p), q AS (SELECT i, j, ux, uy, c - used AS c, t + 5 * used AS t FROM r),
+s AS (SELECT i, j, ux, uy, {SPREAD.format(c='t', d='2e-2')}, {SPREAD.format(c='c', d='1e-2')} FROM q {LINES}),
+n AS (SELECT *, lag(c) OVER x AS l, lead(c) OVER x AS r, lag(c) OVER y AS d, lead(c) OVER y AS u FROM s {LINES})
+SELECT i, j, round(CASE WHEN l IS NULL OR r IS NULL OR d IS NULL OR u IS NULL THEN c ELSE c - 0.01 * (ux * (CASE WHEN ux > 0 THEN c - l ELSE r - c END) / 0.1 + uy * (CASE WHEN uy > 0 THEN c - d ELSE u - c END) / 0.2) END, 8) AS c, round(t, 8) AS "T" FROM n""")
 def multiphysics_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chemistry, heat, diffusion, advection on a plane (rows only; its parts have SQL)."""
+    """Chemistry, heat, diffusion, advection on a plane."""
     from ..operators import coupled
-    from .bindings import grid2
-
     plane = grid2(spark, sf_dir).withColumnRenamed("v", "c").withColumn("T", 300 + F.col("i") * 2.0)
     return rounded(coupled.plane_step(plane, 0.01, 0.1, 0.2, 1e-2, 2e-2, 1e3, 3e4, 5.0).select("i", "j", "c", "T"), 8)

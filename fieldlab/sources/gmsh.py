@@ -93,12 +93,14 @@ class Marks(DataSource):
 
 class MarksReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.split = options["path"], int(options["split"])
+        self.path, self.split, self.end = options["path"], int(options["split"]), options["end"]
 
     def partitions(self) -> list[Range]:
         system, path = place(self.path)
-        out = []
-        for info in listed(system, path, ".msh"):
+        out, files = [], listed(system, path, self.end)
+        if not files:
+            raise FileNotFoundError(f"{path}: no files that end in {self.end}")
+        for info in files:
             with system.open_input_stream(info.path) as f:
                 head = f.read(HEAD).split(b"\n")
             said = head[1].split() if len(head) > 1 and head[0].strip() == b"$MeshFormat" else []
@@ -150,10 +152,10 @@ class SectionReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array([partition.file] * len(text)), pa.array(text, pa.string())], ["file", "line"])
 
 
-def sections(spark: SparkSession, path: str, split: int = SPLIT) -> dict[str, list[tuple[str, int, int]]]:
+def sections(spark: SparkSession, path: str, split: int = SPLIT, end: str = ".msh") -> dict[str, list[tuple[str, int, int]]]:
     """For each section the (file, start, end) of its lines; a few marks a file."""
     spark.dataSource.register(Marks)
-    marks = spark.read.format("gmsh_marks").option("split", split).load(path).orderBy("file", "at").collect()
+    marks = spark.read.format("gmsh_marks").option("split", split).option("end", end).load(path).orderBy("file", "at").collect()
     out: dict[str, list[tuple[str, int, int]]] = {}
     begun = None
     for m in marks:
@@ -171,10 +173,10 @@ def sections(spark: SparkSession, path: str, split: int = SPLIT) -> dict[str, li
     return out
 
 
-def read(spark: SparkSession, path: str, split: int = SPLIT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, elements, physical groups) of a file or a folder's .msh files, each with
-    ``file``; elements of unknown types are left out."""
-    found = sections(spark, path, split)
+def read(spark: SparkSession, path: str, split: int = SPLIT, end: str = ".msh") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, elements, physical groups) of a file, or of those of a folder whose names end so,
+    each with ``file``; elements of unknown types are left out."""
+    found = sections(spark, path, split, end)
     spark.dataSource.register(Gmsh)
 
     def lines(section: str) -> DataFrame:

@@ -1,17 +1,34 @@
-"""Streams of (key, t, value): bounded histories and windowed aggregates.
+"""Streams of (key, t, value): bounded histories, step control and windowed aggregates.
 
-State is one bounded list a key, so it grows with the number of keys only; watermarks let
-idle keys and closed windows go.
+Keyed state is one bounded list or a few numbers a key, held in the RocksDB state store, so it
+grows with the number of keys only and need not fit in memory; ``idle`` (an event-time column
+with a watermark, milliseconds) lets go of a key by a timer once the watermark has passed its
+last row by so much (rows behind the watermark are then dropped), and watermarks close windows.
+Start such streams within ``state_store``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in RocksDB; the session's setting is put back."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
 
 
 def read_parquet(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -26,23 +43,65 @@ def turns(values: list[float]) -> float:
     return sum(x * y < 0 for x, y in zip(d, d[1:], strict=False)) / (len(values) - 2)
 
 
-def oscillation(stream: DataFrame, key: str, order: list[str], value: str, last: int = 10) -> DataFrame:
-    """(key, n, oscillation) of the newest ``last`` values of each key after every batch."""
+class Keyed(StatefulProcessor):
+    """State of a key that a timer clears once the key has been idle."""
+
+    idle: tuple[str, int] | None = None
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+
+    def seen(self, rows: pd.DataFrame) -> None:
+        if self.idle is not None:
+            time, ms = self.idle
+            due = int(rows[time].max().timestamp() * 1000) + ms
+            for other in list(self.handle.listTimers()):
+                due = max(due, other)
+                self.handle.deleteTimer(other)
+            self.handle.registerTimer(due)
+
+    def close(self) -> None:
+        pass
+
+
+class Oscillation(Keyed):
+    def __init__(self, key: str, order: list[str], value: str, last: int, idle: tuple[str, int] | None):
+        self.key, self.order, self.value, self.last, self.idle = key, order, value, last, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.held = handle.getListState("held", "value double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        part = pd.concat(list(rows)).sort_values(self.order)
+        new = part[self.value].astype(float).tolist()
+        held = [*(v for (v,) in self.held.get()), *new][-self.last :] if self.held.exists() else new[-self.last :]
+        self.held.put([(v,) for v in held])
+        self.seen(part)
+        yield pd.DataFrame({self.key: [key[0]], "n": [len(held)], "oscillation": [turns(held)]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        yield pd.DataFrame({self.key: [key[0]], "n": [0], "oscillation": [0.0]})
 
-    def update(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (held,) = state.get if state.exists else ([],)
-        rows = pd.concat(list(parts)).sort_values(order)
-        held = [*held, *rows[value].astype(float).tolist()][-last:]
-        state.update((held,))
-        yield pd.DataFrame({key: [k[0]], "n": [len(held)], "oscillation": [turns(held)]})
 
+def oscillation(stream: DataFrame, key: str, order: list[str], value: str, last: int = 10, idle: tuple[str, int] | None = None) -> DataFrame:
+    """(key, n, oscillation) of the newest ``last`` values of each key after every batch; a key
+    let go says n = 0 once."""
     kind = dict(stream.dtypes)[key]
-    return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n int, oscillation double", "held array<double>", "update", GroupStateTimeout.NoTimeout)
+    processor = Oscillation(key, order, value, last, idle)
+    return stream.groupBy(key).transformWithStateInPandas(processor, f"{key} {kind}, n int, oscillation double", "Update", "None" if idle is None else "EventTime")
 
 
 def tumbling(stream: DataFrame, time: str, key: str, value: str, width: str, delay: str) -> DataFrame:
     """(window, key, n, mean): event-time windows closed by a watermark."""
-    return stream.withWatermark(time, delay).groupBy(F.window(time, width).alias("window"), key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    return sliding(stream, time, key, value, width, width, delay)
+
+
+def sliding(stream: DataFrame, time: str, key: str, value: str, width: str, slide: str, delay: str) -> DataFrame:
+    """(window, key, n, mean): windows of ``width`` that begin every ``slide``; rows later than
+    ``delay`` behind the newest are dropped, earlier ones still count."""
+    return stream.withWatermark(time, delay).groupBy(F.window(time, width, slide).alias("window"), key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
 
 
 def sessions(stream: DataFrame, time: str, key: str, gap: str, delay: str) -> DataFrame:
@@ -50,20 +109,43 @@ def sessions(stream: DataFrame, time: str, key: str, gap: str, delay: str) -> Da
     return stream.withWatermark(time, delay).groupBy(F.session_window(time, gap).alias("window"), key).agg(F.count("*").alias("n"))
 
 
-def controller(stream: DataFrame, key: str, order: str, error: str, dt: float, kind: str = "pi", method_order: int = 2) -> DataFrame:
-    """(key, order, accepted, dt): the adaptive step controller fed by a stream of errors."""
-    from ..operators.iterate import StepController
-
-    def update(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        c = StepController(dt, kind, method_order)
-        if state.exists:
-            c.dt, c.before, c.before2, c.streak = state.get
-        out = []
-        for row in pd.concat(list(parts)).sort_values(order).itertuples():
-            good = c.step(float(getattr(row, error)))
-            out.append((k[0], getattr(row, order), good, c.dt))
-        state.update((c.dt, c.before, c.before2, c.streak))
-        yield pd.DataFrame(out, columns=[key, order, "accepted", "dt"])
+class Control(Keyed):
+    def __init__(self, key: str, order: str, error: str, dt: float, kind: str, method_order: int, idle: tuple[str, int] | None):
+        self.key, self.order, self.error, self.start, self.idle = key, order, error, (dt, kind, method_order), idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.state = handle.getValueState("state", "dt double, before double, before2 double, streak int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        from ..operators.iterate import StepController
+
+        c, out = StepController(*self.start), []
+        if self.state.exists():
+            c.dt, c.before, c.before2, c.streak = self.state.get()
+        part = pd.concat(list(rows)).sort_values(self.order)
+        for row in part.itertuples():
+            good = c.step(float(getattr(row, self.error)))
+            out.append((key[0], getattr(row, self.order), good, c.dt))
+        self.state.update((c.dt, c.before, c.before2, c.streak))
+        self.seen(part)
+        yield pd.DataFrame(out, columns=[self.key, self.order, "accepted", "dt"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame({self.key: [], self.order: [], "accepted": [], "dt": []})
+
+
+def controller(stream: DataFrame, key: str, order: str, error: str, dt: float, kind: str = "pi", method_order: int = 2, idle: tuple[str, int] | None = None) -> DataFrame:
+    """(key, order, accepted, dt): the adaptive step controller fed by a stream of errors."""
     types = dict(stream.dtypes)
-    return stream.groupBy(key).applyInPandasWithState(update, f"{key} {types[key]}, {order} {types[order]}, accepted boolean, dt double", "dt double, before double, before2 double, streak int", "update", GroupStateTimeout.NoTimeout)
+    processor = Control(key, order, error, dt, kind, method_order, idle)
+    return stream.groupBy(key).transformWithStateInPandas(processor, f"{key} {types[key]}, {order} {types[order]}, accepted boolean, dt double", "Update", "None" if idle is None else "EventTime")
+
+
+def collected(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
+    """Run a stream over all there is and write each batch as ``batch=N`` below path, so that a
+    batch that is run again replaces itself."""
+    with state_store(stream.sparkSession):
+        query = stream.writeStream.outputMode(mode).foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{path}/batch={n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()

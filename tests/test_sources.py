@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from fieldlab.operators import mesh
 from fieldlab.sources import configs, files, gmsh, vtu
-from fieldlab.streaming import history
 
 from .test_operators import tetra
 
@@ -149,28 +148,3 @@ def test_configs(spark, tmp_path):
         assert configs.load(str(tmp_path / f"f.{kind}")) == {"a.b": 1, "a.c": [1, 2], "d": "x"}
     assert configs.from_environment("APP_", {"APP_SOLVER_TYPE": "x", "APP_N": "[1, 2.5]", "OTHER": "1"}) == {"solver.type": "x", "n": [1, 2.5]}
     assert mesh.TYPES["hex"][2] == 5
-
-
-def drain(stream, name, mode):
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    try:
-        q.awaitTermination(120)
-    finally:
-        q.stop()
-
-
-def test_streams_match_batch(spark, tmp_path):
-    rows = spark.createDataFrame([(k % 3, k, float((k * 7) % 5)) for k in range(60)], "key long, t long, value double")
-    for part in range(3):
-        rows.where(F.col("t").between(part * 20, part * 20 + 19)).coalesce(1).write.parquet(f"{tmp_path}/in", mode="append")
-    source = history.read_parquet(spark, f"{tmp_path}/in", rows.schema, 100)
-    drain(history.oscillation(source, "key", ["t"], "value"), "osc", "update")
-    got = {r.key: r.oscillation for r in spark.table("osc").collect()}
-    for key in range(3):
-        values = [r.value for r in rows.where(F.col("key") == key).orderBy("t").collect()][-10:]
-        assert got[key] == pytest.approx(history.turns(values))
-    drain(history.controller(source.withColumn("error", F.lit(0.5)), "key", "t", "error", 0.1), "ctl", "update")
-    assert spark.table("ctl").where("accepted").count() == 60
-    timed = source.withColumn("ts", F.timestamp_seconds("t"))
-    drain(history.tumbling(timed, "ts", "key", "value", "10 seconds", "5 seconds"), "tumble", "append")
-    assert 0 < spark.table("tumble").count() <= 18
