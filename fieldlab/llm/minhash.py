@@ -97,7 +97,6 @@ def _sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray,
 
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tk.keep_heap()
         for batch in batches:
             for lo, hi, data, offsets in tk.chunks(batch, "text"):
                 n, sid, value, starts = _sets(data, offsets, size)
