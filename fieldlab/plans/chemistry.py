@@ -410,15 +410,15 @@ def ode_decay_rk4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(iterate.decay(points(spark, sf_dir), "id", "a", "b", 0.1, 3, "rk4"), 9)
 
 
-@query("""WITH RECURSIVE c AS (SELECT p_partkey AS cell, p_retailprice / 1000 AS y0, p_size / 10.0 AS k FROM part), n AS (SELECT cell, y0, k, unnest(range(0, 8)) AS step FROM c)
-SELECT cell, CAST(step AS INTEGER) AS step, round(CASE WHEN step = 7 THEN 2.0 ELSE step * 0.3 END, 9) AS t, round(y0 * (1 - k * 0.3 + (k * 0.3) ** 2 / 2 - (k * 0.3) ** 3 / 6 + (k * 0.3) ** 4 / 24) ** least(step, 6) * CASE WHEN step = 7 THEN 1 - k * 0.2 + (k * 0.2) ** 2 / 2 - (k * 0.2) ** 3 / 6 + (k * 0.2) ** 4 / 24 ELSE 1 END, 11) AS y FROM n""")
+@query("""WITH RECURSIVE c AS (SELECT p_partkey AS cell, p_retailprice / 1000 AS y0, ln(1 + p_size) AS k FROM part), n AS (SELECT cell, y0, k, unnest(range(0, 8)) AS step FROM c)
+SELECT cell, CAST(step AS INTEGER) AS step, round(CASE WHEN step = 7 THEN 2.0 ELSE step * 0.3 END, 9) AS t, round(y0 * (1 - k * 0.3 + (k * 0.3) ** 2 / 2 - (k * 0.3) ** 3 / 6 + (k * 0.3) ** 4 / 24) ** least(step, 6) * CASE WHEN step = 7 THEN 1 - k * 0.2 + (k * 0.2) ** 2 / 2 - (k * 0.2) ** 3 / 6 + (k * 0.2) ** 4 / 24 ELSE 1 END, 8) AS y FROM n""")
 def rk4_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trajectory of every cell as a table function, the last step shortened."""
     rows = _decaying(spark, sf_dir).lateralJoin(trajectory.steps(_decay, clamp=False)(F.col("y0").outer(), F.col("k").outer(), F.lit(2.0), F.lit(0.3)))
-    return rounded(rows.select("cell", "step", F.round("t", 9).alias("t"), F.element_at("state", 1).alias("y")), 11, t=9)
+    return rounded(rows.select("cell", "step", F.round("t", 9).alias("t"), F.element_at("state", 1).alias("y")), 8, t=9)
 
 
-@query("""WITH RECURSIVE c AS (SELECT p_partkey AS cell, p_retailprice / 1000 AS y0, p_size / 10.0 AS k FROM part),
+@query("""WITH RECURSIVE c AS (SELECT p_partkey AS cell, p_retailprice / 1000 AS y0, ln(1 + p_size) AS k FROM part),
 s(cell, k, n, t, y, dt, before, accepted) AS (
   SELECT cell, k, 0, CAST(0 AS DOUBLE), y0, CAST(0.5 AS DOUBLE), CAST(0 AS DOUBLE), 0 FROM c
   UNION ALL
@@ -441,4 +441,4 @@ def _decay(t, y, p):
 
 def _decaying(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cell, y0, k): a concentration that decays, and its rate, as arrays of one."""
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cell"), F.array(F.col("p_retailprice") / 1000).alias("y0"), F.array(F.col("p_size") / 10.0).alias("k"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cell"), F.array(F.col("p_retailprice") / 1000).alias("y0"), F.array(F.log(1 + F.col("p_size"))).alias("k"))

@@ -1,10 +1,13 @@
-"""Queries on large planes: many steps by tiles, a few of them for each shuffle."""
+"""Queries on large planes, many steps by tiles, and on networks that learn an equation."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import tiles
+from ..operators import pinn, tiles
+from ..operators.iterate import keep
+from ..session import table
 from .bindings import PLANE, plane
 from .registry import query, rounded
 
@@ -41,3 +44,17 @@ def brusselator_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two Brusselator steps without flux over the edges."""
     out = tiles.react_diffuse(plane(spark, sf_dir), "brusselator", (0.2, 0.1), (1.0, 3.0), 0.01, 2, (0.5, 0.4), "neumann")
     return rounded(out.select("i", "j", "u", "v"), 8)
+
+
+@query("SELECT p_partkey AS id, round((p_partkey * 37 % 1009) / 1009.0, 6) AS x, round((p_partkey * 61 % 997) / 997.0, 6) AS t, true AS within FROM part")
+def network_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML1, ML2, I27: a network trained on the equation at a place for every part, and on
+    boundary and initial values beside it; within 0.02 of the exact solution at every place."""
+    place = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 37 % 1009 / 1009.0).alias("x"), (F.col("p_partkey") * 61 % 997 / 997.0).alias("t"))
+    none, zero = F.lit(None).cast("double"), F.lit(0.0)
+    rows = [place.select(F.lit("pde").alias("kind"), "x", "t", none.alias("u")), place.select(F.lit("ic"), "x", zero, F.sin(F.pi() * F.col("x"))), place.select(F.lit("bc"), (F.col("id") % 2).cast("double"), "t", zero)]
+    points = keep(rows[0].union(rows[1]).union(rows[2]))
+    model, _ = pinn.train(points, 0.1, hidden=10, rounds=45, tolerance=1e-6)
+    exact = F.exp(-0.1 * F.pi() * F.pi() * F.col("t")) * F.sin(F.pi() * F.col("x"))
+    out = model.predict(place)
+    return rounded(out.select("id", "x", "t", (F.abs(F.col("prediction") - exact) < 0.02).alias("within")))

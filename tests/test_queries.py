@@ -33,11 +33,15 @@ def shaped(df):
     return df.sort_values(list(df.columns), na_position="first").reset_index(drop=True)
 
 
+#: Queries whose right answer on the given tables has no rows; they have tests of their own.
+EMPTY = {"unknown_references"}
+
+
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query(spark, duck, name):
     got = plans.QUERIES[name](spark, SF).toPandas()
+    assert len(got) or name in EMPTY
     if name not in plans.ORACLES:
-        assert len(got)
         return
     a, b = shaped(got), shaped(duck.sql(plans.ORACLES[name]).df())
     assert list(a.columns) == list(b.columns) and len(a) == len(b)
