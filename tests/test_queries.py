@@ -33,8 +33,9 @@ def shaped(df):
     return df.sort_values(list(df.columns), na_position="first").reset_index(drop=True)
 
 
-#: Queries whose right answer on the given tables has no rows; they have tests of their own.
-EMPTY = {"unknown_references"}
+#: Queries whose right answer has no rows: on all given tables (tested by itself), and on the
+#: smallest ones.
+EMPTY = {"unknown_references", "elements_by_type_and_tag"}
 
 
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
