@@ -264,9 +264,10 @@ def gradient_error(cells: DataFrame) -> DataFrame:
     asked = cells.withColumn("s", F.col("size")).select("id", "x", "y", "v", "s", near.alias("b")).select("id", "x", "y", "v", "s", "b.*")
     found = cells.crossJoin(F.broadcast(sizes)).select(F.col("id").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("v").alias("ov"), "s", F.floor(F.col("x") / (2 * F.col("s"))).alias("bx"), F.floor(F.col("y") / (2 * F.col("s"))).alias("by"))
     d = F.sqrt((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")))
-    pairs = asked.join(found, ["s", "bx", "by"]).where((F.col("id") != F.col("o")) & (d < 2 * F.col("s")) & (d > 0))
+    # sizes are judged before explode makes nine rows of each, so Spark would broadcast all cells
+    pairs = asked.join(found.hint("merge"), ["s", "bx", "by"]).where((F.col("id") != F.col("o")) & (d < 2 * F.col("s")) & (d > 0))
     error = pairs.groupBy("id").agg(F.max(F.abs(F.col("v") - F.col("ov")) / d).alias("error"))
-    return cells.join(error, "id", "left").withColumn("error", F.coalesce("error", F.lit(0.0)))
+    return cells.join(error.hint("merge"), "id", "left").withColumn("error", F.coalesce("error", F.lit(0.0)))
 
 
 def mark(cells: DataFrame, refine_at: float = 0.75, coarsen_at: float = 0.1, most: int = 3) -> DataFrame:

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import duckdb
 
 from fieldlab import plans
+from fieldlab.operators import mesh
 
 
 def test_stream_controller_with_errors_of_zero_equals_its_sql(spark, tmp_path):
@@ -15,3 +16,17 @@ def test_stream_controller_with_errors_of_zero_equals_its_sql(spark, tmp_path):
     con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
     got = plans.QUERIES["stream_controller"](spark, str(tmp_path)).collect()
     assert sorted((r.user_id, r.event_id, r.accepted, r.dt) for r in got) == sorted(con.sql(plans.ORACLES["stream_controller"]).fetchall())
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_are_not_broadcast(spark):
+    cells = spark.range(400).selectExpr("id", "(id % 20 + 0.5D) / 20 as x", "(id div 20 + 0.5D) / 20 as y", "1 / 20D as size", "cast(id % 3 as int) as level", "cast(id * id % 7 as double) as v")
+    errors = mesh.gradient_error(cells)
+    assert "BroadcastHashJoin" not in plan(errors)
+    rows = [r.asDict() for r in cells.collect()]
+    for r in errors.collect():
+        near = [(abs(r.v - o["v"]) / d) for o in rows if 0 < (d := ((r.x - o["x"]) ** 2 + (r.y - o["y"]) ** 2) ** 0.5) < 2 * r["size"]]
+        assert abs(r.error - max(near)) < 1e-9
