@@ -413,8 +413,9 @@ def ode_decay_rk4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH RECURSIVE c AS (SELECT p_partkey AS cell, p_retailprice / 1000 AS y0, ln(1 + p_size) AS k FROM part), n AS (SELECT cell, y0, k, unnest(range(0, 8)) AS step FROM c)
 SELECT cell, CAST(step AS INTEGER) AS step, round(CASE WHEN step = 7 THEN 2.0 ELSE step * 0.3 END, 9) AS t, round(y0 * (1 - k * 0.3 + (k * 0.3) ** 2 / 2 - (k * 0.3) ** 3 / 6 + (k * 0.3) ** 4 / 24) ** least(step, 6) * CASE WHEN step = 7 THEN 1 - k * 0.2 + (k * 0.2) ** 2 / 2 - (k * 0.2) ** 3 / 6 + (k * 0.2) ** 4 / 24 ELSE 1 END, 8) AS y FROM n""")
 def rk4_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trajectory of every cell as a table function, the last step shortened."""
-    rows = _decaying(spark, sf_dir).lateralJoin(trajectory.steps(_decay, clamp=False)(F.col("y0").outer(), F.col("k").outer(), F.lit(2.0), F.lit(0.3)))
+    """The trajectory of every cell, all cells of a batch at once, the last step
+    shortened."""
+    rows = trajectory.stepped(_decaying(spark, sf_dir), "y0", "k", _decay, 2.0, 0.3, clamp=False)
     return rounded(rows.select("cell", "step", F.round("t", 9).alias("t"), F.element_at("state", 1).alias("y")), 8, t=9)
 
 
@@ -429,8 +430,7 @@ s(cell, k, n, t, y, dt, before, accepted) AS (
 SELECT cell, max(n) AS attempts, max(accepted) AS accepted, round(arg_max(y, n), 6) AS y FROM s GROUP BY cell""")
 def controlled_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error-controlled trajectories with their accepted and rejected attempts."""
-    steps = trajectory.controlled(_decay, rel_tol=1e-2)(F.col("y0").outer(), F.col("k").outer(), F.lit(2.0), F.lit(0.5))
-    rows = _decaying(spark, sf_dir).lateralJoin(steps)
+    rows = trajectory.adapted(_decaying(spark, sf_dir), "y0", "k", _decay, 2.0, 0.5, rel_tol=1e-2)
     out = rows.groupBy("cell").agg(F.max("attempt").alias("attempts"), F.count_if("accepted").cast("int").alias("accepted"), F.max_by(F.element_at("state", 1), "attempt").alias("y"))
     return rounded(out)
 

@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly to all cores, where rows cost much more than their bytes tell."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path under ``spark.checkpoint.dir``, which driver and executors share; a
     temporary folder takes its place only where that is unset and all runs on one machine."""

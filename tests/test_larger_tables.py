@@ -4,8 +4,12 @@ from datetime import datetime, timedelta
 
 import duckdb
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from fieldlab import plans
-from fieldlab.operators import mesh
+from fieldlab.operators import mesh, trajectory
 
 
 def test_stream_controller_with_errors_of_zero_equals_its_sql(spark, tmp_path):
@@ -30,3 +34,26 @@ def test_cells_are_not_broadcast(spark):
     for r in errors.collect():
         near = [(abs(r.v - o["v"]) / d) for o in rows if 0 < (d := ((r.x - o["x"]) ** 2 + (r.y - o["y"]) ** 2) ** 0.5) < 2 * r["size"]]
         assert abs(r.error - max(near)) < 1e-9
+
+
+def rhs(t, y, p):
+    return np.array([y[1], -p[0] * y[0]]) if len(y) == 2 else -p * y + 0 * t
+
+
+def test_batches_of_cells_give_the_rows_of_single_cells(spark):
+    cells = spark.createDataFrame([(k, [1.0 + k / 9, 0.5] if k % 3 else [2.0 + k], [float(k % 7)]) for k in range(60)], "cell long, y array<double>, p array<double>").coalesce(1)
+    given = F.col("y").outer(), F.col("p").outer(), F.lit(1.2), F.lit(0.5)
+    single = lambda f: cells.lateralJoin(f(*given)).drop("y", "p")
+    both = [(single(trajectory.steps(rhs, save_every=m, clamp=False)), trajectory.stepped(cells, "y", "p", rhs, 1.2, 0.5, save_every=m, clamp=False), "step") for m in (None, 0.7)]
+    both += [(single(trajectory.controlled(rhs, kind)), trajectory.adapted(cells, "y", "p", rhs, 1.2, 0.5, kind), "attempt") for kind in ("pi", "pid", "elementary")]
+    for a, b, n in both:
+        a, b = a.orderBy("cell", n).collect(), b.orderBy("cell", n).collect()
+        assert len(a) == len(b) > 60 and set(a[0].asDict()) == set(b[0].asDict())
+        for x, y in zip(a, b, strict=True):
+            for c in x.asDict():
+                assert y[c] == pytest.approx(x[c], rel=1e-9, abs=1e-12)
+
+
+def test_trajectories_of_one_small_file_are_dealt_to_all_cores(spark):
+    used = trajectory.stepped(spark.createDataFrame([(k, [1.0], [1.0]) for k in range(400)], "cell long, y array<double>, p array<double>").coalesce(1), "y", "p", rhs, 1.0, 0.5)
+    assert used.groupBy(F.spark_partition_id()).count().count() == 4
