@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldlab import plans
-from fieldlab.operators import mesh, trajectory
+from fieldlab.operators import mesh, reactions, trajectory
 
 
 def test_stream_controller_with_errors_of_zero_equals_its_sql(spark, tmp_path):
@@ -57,3 +57,17 @@ def test_batches_of_cells_give_the_rows_of_single_cells(spark):
 def test_trajectories_of_one_small_file_are_dealt_to_all_cores(spark):
     used = trajectory.stepped(spark.createDataFrame([(k, [1.0], [1.0]) for k in range(400)], "cell long, y array<double>, p array<double>").coalesce(1), "y", "p", rhs, 1.0, 0.5)
     assert used.groupBy(F.spark_partition_id()).count().count() == 4
+
+
+def test_closure_joins_nodes_that_reach_each_other(spark, monkeypatch):
+    monkeypatch.setattr(reactions, "GROUP_CHUNK", 2)
+    ring = [(k, (k + 1) % 5) for k in range(5)]
+    pairs = [*ring, (3, 100), (100, 101), (101, 102), (102, 101), (200, 3), (300, 301), (4, 4)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    sources = spark.createDataFrame([(0,), (2,), (100,), (102,), (200,), (301,), (999,)], "src long")
+    groups = {r.node: r.comp for r in reactions.strong_groups(edges, hops=8).collect()}
+    assert {groups[k] for k in range(5)} == {0} and groups[101] == groups[102] == 101
+    assert [groups[k] for k in (100, 200, 300, 301)] == [100, 200, 300, 301]
+    expected = {(r.src, r.dst) for r in reactions.reachable(edges, sources).collect()}
+    got = [(r.src, r.dst) for r in reactions.closure(edges, sources).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and (999, 999) in expected
