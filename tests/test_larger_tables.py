@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldlab import plans
 from fieldlab.operators import mesh, reactions, trajectory
+from fieldlab.sources import files
 
 
 def test_stream_controller_with_errors_of_zero_equals_its_sql(spark, tmp_path):
@@ -71,3 +72,17 @@ def test_closure_joins_nodes_that_reach_each_other(spark, monkeypatch):
     expected = {(r.src, r.dst) for r in reactions.reachable(edges, sources).collect()}
     got = [(r.src, r.dst) for r in reactions.closure(edges, sources).collect()]
     assert len(got) == len(set(got)) and set(got) == expected and (999, 999) in expected
+
+
+def test_csv_parts_follow_the_data_and_stay_in_order(spark, tmp_path):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        files.write_csv(spark.range(900, 0, -1).selectExpr("id", "id / 3D as v"), f"{tmp_path}/out", ["id"], parts=None)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    parts = sorted(tmp_path.glob("out/part-*"))
+    ids = [int(x.split(",")[0]) for p in parts for x in p.read_text().splitlines()[1:]]
+    assert len(parts) == 9 and ids == list(range(1, 901))
