@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldlab import plans
-from fieldlab.operators import mesh, reactions, trajectory
+from fieldlab.operators import linalg, mesh, reactions, trajectory
 from fieldlab.sources import files
 
 
@@ -86,3 +86,28 @@ def test_csv_parts_follow_the_data_and_stay_in_order(spark, tmp_path):
     parts = sorted(tmp_path.glob("out/part-*"))
     ids = [int(x.split(",")[0]) for p in parts for x in p.read_text().splitlines()[1:]]
     assert len(parts) == 9 and ids == list(range(1, 901))
+
+
+def test_products_of_a_solver_leave_the_matrix_where_it_lies(spark):
+    matrix = spark.range(3000).selectExpr("id % 300 as i", "id * id % 301 as j", "id % 5 + 0.5D as v").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    x = spark.range(290).selectExpr("id as i", "id % 7 - 2D as x")
+    before = spark.conf.get(linalg.PART_OF_KEYS)
+    with linalg.Standing(matrix, 300) as a:
+        rows = a.keep(x)
+        y = rows.join(a.times(rows), "i", "left")
+        assert plan(y).count("Bucketed: true") == 3 and "BroadcastHashJoin" not in plan(a.times(rows))
+        got = {r.i: r.y for r in y.collect()}
+    assert spark.conf.get(linalg.PART_OF_KEYS) == before and not [t for t in spark.catalog.listTables() if t.name.startswith("standing")]
+    want = {r.i: r.y for r in linalg.spmv(matrix, x).collect()}
+    assert all(got[i] == pytest.approx(want.get(i)) for i in range(290))
+
+
+def test_jacobi_stops_at_its_tolerance_and_takes_odd_rows(spark):
+    rng = np.random.default_rng(3)
+    full = rng.random((12, 12)) + 13 * np.eye(12)
+    matrix = spark.createDataFrame([(i, j, float(full[i, j])) for i in range(12) for j in range(12)], "i long, j long, v double")
+    b = spark.createDataFrame([(i, float(i)) for i in range(13)], "i long, x double")  # row 12 has no entries
+    solved = {r.i: r.x for r in linalg.jacobi(matrix, b.where("i < 12"), 200, 1e-9).collect()}
+    np.testing.assert_allclose([solved[i] for i in range(12)], np.linalg.solve(full, np.arange(12.0)), atol=1e-9)
+    assert {r.i for r in linalg.jacobi(matrix, b, 2).collect()} == set(range(12))
+    assert {r.i: r.x for r in linalg.jacobi(matrix, b, 0).collect()} == {i: 0.0 for i in range(13)}
