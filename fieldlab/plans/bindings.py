@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import parts, table
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate"]
 
@@ -90,8 +90,9 @@ MATRIX = "matrix AS (SELECT l_suppkey AS run, l_orderkey % 50 AS i, l_partkey %
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run, i, j, v): one sparse 50 x 50 matrix a supplier, repeated entries summed."""
-    rows = table(spark, sf_dir, "lineitem")
-    return rows.groupBy(F.col("l_suppkey").alias("run"), (F.col("l_orderkey") % 50).alias("i"), (F.col("l_partkey") % 50).alias("j")).agg(F.sum("l_discount").alias("v"))
+    lines = table(spark, sf_dir, "lineitem")
+    rows = lines.select(F.col("l_suppkey").alias("run"), (F.col("l_orderkey") % 50).alias("i"), (F.col("l_partkey") % 50).alias("j"), F.col("l_discount").alias("v"))
+    return rows.repartition(parts(spark, lines.count()), "run", "i", "j").groupBy("run", "i", "j").agg(F.sum("v").alias("v"))
 
 
 NODES = "nodes AS (SELECT c_custkey AS id, c_custkey % 30 + c_acctbal / 1e5 AS x, c_custkey // 30 + c_nationkey / 100.0 AS y, c_acctbal / 1e4 AS z, c_nationkey AS tag FROM customer)"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import config as cf
 from ..operators import iterate, linalg, mesh, ml, partition
-from ..session import table
+from ..session import parts, table
 from .bindings import ELEMENTS, FIELD, GRID2, MATRIX, NODES, elements, field, grid2, matrix, nodes
 from .registry import query, rounded
 
@@ -50,7 +50,7 @@ def matrix_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
 def matrix_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L6."""
     m = matrix(spark, sf_dir)
-    return rounded(linalg.matmul(m, m, ["run"]), 8)
+    return rounded(linalg.matmul(m, m, ["run"], parts(spark, table(spark, sf_dir, "lineitem").count())), 8)
 
 
 @query(f"WITH {MATRIX} SELECT a.run, a.i, b.j, round(sum(a.v * b.v), 8) AS v FROM matrix a JOIN matrix b ON a.run = b.run AND a.j = b.i GROUP BY 1, 2, 3")

@@ -34,6 +34,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
 
 
+def parts(spark: SparkSession, rows: int, each: int = 250_000) -> int:
+    """Partitions for about ``each`` rows a task, at least one a core."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path under ``spark.checkpoint.dir``, which driver and executors share; a
     temporary folder takes its place only where that is unset and all runs on one machine."""

@@ -1,5 +1,6 @@
 """Faults that showed on larger tables or odd rows."""
 
+import re
 from datetime import datetime, timedelta
 
 import duckdb
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldlab import plans
 from fieldlab.operators import linalg, mesh, reactions, trajectory
+from fieldlab.session import parts
 from fieldlab.sources import files
 
 
@@ -111,3 +113,12 @@ def test_jacobi_stops_at_its_tolerance_and_takes_odd_rows(spark):
     np.testing.assert_allclose([solved[i] for i in range(12)], np.linalg.solve(full, np.arange(12.0)), atol=1e-9)
     assert {r.i for r in linalg.jacobi(matrix, b, 2).collect()} == set(range(12))
     assert {r.i: r.x for r in linalg.jacobi(matrix, b, 0).collect()} == {i: 0.0 for i in range(13)}
+
+
+def test_products_are_dealt_by_the_size_of_the_data(spark):
+    assert [parts(spark, k) for k in (0, 10_000_000)] == [4, 40]
+    a = spark.range(500).selectExpr("id % 3 as run", "id % 20 as i", "id * 7 % 19 as j", "id % 5 + 0.5D as v").groupBy("run", "i", "j").agg(F.sum("v").alias("v"))
+    product = linalg.matmul(a, a, ["run"], 7)
+    assert "(run#" in plan(product) and re.search(r"hashpartitioning\(run#\d+L, i#\d+L, j#\d+L, 7\), REPARTITION_BY_NUM", plan(product))
+    rows = lambda df: sorted((r.run, r.i, r.j, round(r.v, 9)) for r in df.collect())
+    assert rows(product) == rows(linalg.matmul(a, a, ["run"]))
