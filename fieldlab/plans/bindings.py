@@ -47,7 +47,8 @@ REACTIONS = "reactions AS (SELECT o_orderkey AS rxn, 1e6 * (1 + o_orderkey % 7)
 
 def stoichiometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rxn, species, side, coeff): side R or P."""
-    rows = table(spark, sf_dir, "lineitem")
+    lines = table(spark, sf_dir, "lineitem")
+    rows = lines.repartition(parts(spark, lines.count()), "l_orderkey")
     return rows.groupBy(F.col("l_orderkey").alias("rxn"), F.col("l_partkey").alias("species"), F.when(F.col("l_returnflag") == "R", "R").otherwise("P").alias("side")).agg((F.max("l_linenumber").cast("double") / 4).alias("coeff"))
 
 

@@ -9,7 +9,7 @@ from ..functions import boundary, kinetics, models, surface, text, thermo, units
 from ..functions import transport as tr
 from ..operators import iterate, trajectory
 from ..operators import reactions as rx
-from ..session import table
+from ..session import parts, table
 from .bindings import PAIRED, REACTIONS, SPECIES, STOICH, paired, reactions, species, stoichiometry
 from .registry import query, rounded
 
@@ -105,16 +105,16 @@ jac AS (SELECT species, wrt, sum(nu * d) AS value FROM net JOIN jp USING (rxn) G
 @query(f"WITH {JAC} SELECT species, wrt, {SCALE.format(c='value', n='value')} FROM jac")
 def rate_jacobian(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sparse Jacobian of the rate law, on a signed log scale."""
-    rows = rx.jacobian(stoichiometry(spark, sf_dir), reactions(spark, sf_dir), species(spark, sf_dir), 900.0)
+    rows = rx.jacobian(stoichiometry(spark, sf_dir), reactions(spark, sf_dir), species(spark, sf_dir), 900.0, n=parts(spark, table(spark, sf_dir, "lineitem").count()))
     return rounded(rows.select("species", "wrt", _scaled("value").alias("value")))
 
 
 @query(f"WITH {JAC}, d AS (SELECT phase, abs(value) AS d FROM jac JOIN species USING (species) WHERE species = wrt) SELECT phase, round(ln(coalesce(max(d) / min(d), 0)), 6) AS log_stiffness, coalesce(max(d) / min(d), 0) > 1000 AS stiff FROM d WHERE d > 1e-12 GROUP BY phase")
 def stiffness_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I16: the spread of the Jacobian's diagonal, by phase."""
-    parts = species(spark, sf_dir)
-    rows = rx.jacobian(stoichiometry(spark, sf_dir), reactions(spark, sf_dir), parts, 900.0)
-    return rounded(rx.stiffness(rows.join(parts.select("species", "phase"), "species"), ["phase"]).select("phase", F.log("stiffness").alias("log_stiffness"), "stiff"))
+    known = species(spark, sf_dir)
+    rows = rx.jacobian(stoichiometry(spark, sf_dir), reactions(spark, sf_dir), known, 900.0, n=parts(spark, table(spark, sf_dir, "lineitem").count()))
+    return rounded(rx.stiffness(rows.join(known.select("species", "phase"), "species"), ["phase"]).select("phase", F.log("stiffness").alias("log_stiffness"), "stiff"))
 
 
 @query(f"""WITH {ROP}, t AS (SELECT species, coalesce(sum(coeff * (forward - reverse)) FILTER (side = 'P'), 0) AS p, coalesce(sum(coeff * (forward - reverse)) FILTER (side = 'R'), 0) AS c, count(*) FILTER (side = 'P') AS n_p, count(*) FILTER (side = 'R') AS n_c, min(rxn) FILTER (side = 'P') AS first_p FROM stoich JOIN rop USING (rxn) GROUP BY species)

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldlab import plans
-from fieldlab.operators import linalg, mesh, reactions, trajectory
+from fieldlab.operators import linalg, mesh, patterns, reactions, trajectory
+from fieldlab.plans import bindings
 from fieldlab.session import parts
 from fieldlab.sources import files
 
@@ -122,3 +123,20 @@ def test_products_are_dealt_by_the_size_of_the_data(spark):
     assert "(run#" in plan(product) and re.search(r"hashpartitioning\(run#\d+L, i#\d+L, j#\d+L, 7\), REPARTITION_BY_NUM", plan(product))
     rows = lambda df: sorted((r.run, r.i, r.j, round(r.v, 9)) for r in df.collect())
     assert rows(product) == rows(linalg.matmul(a, a, ["run"]))
+
+
+def test_jacobian_is_dealt_by_the_size_of_the_data(spark):
+    stoich = spark.range(90).selectExpr("id div 4 as rxn", "id * 7 % 11 as species", "if(id % 3 = 0, 'R', 'P') as side", "1.0D + id % 2 as coeff")
+    given = spark.range(23).selectExpr("id as rxn", "2D as a_f", "0D as b_f", "0D as e_f", "1D as a_r", "0D as b_r", "0D as e_r", "id % 2 = 0 as reversible"), spark.range(10).selectExpr("id as species", "id / 4D as conc"), 300.0
+    dealt = reactions.jacobian(stoich, *given, n=7)
+    assert set(re.findall(r"hashpartitioning\([^)]*, (\d+)\)", plan(dealt))) == {"7"}
+    rows = lambda df: {(r.species, r.wrt): r.value for r in df.collect()}
+    a, b = rows(dealt), rows(reactions.jacobian(stoich, *given))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+def test_metrics_of_a_field_stay_on_the_partitions_of_its_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bindings, "parts", lambda *_: 9)
+    spark.range(60).selectExpr("id % 4 as l_suppkey", "id as l_orderkey", "cast(1 as int) as l_linenumber", "id as l_partkey", "id * 7 % 5 + 0D as l_quantity", "1D as l_extendedprice", "timestamp'2024-01-01' as l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = patterns.analyze(bindings.field(spark, str(tmp_path)).select("run", "i", "v"))
+    assert set(re.findall(r"hashpartitioning\([^)]*, (\d+)\)", plan(got))) == {"9"} and got.count() == 4
