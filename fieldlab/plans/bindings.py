@@ -28,7 +28,8 @@ FIELD = "field AS (SELECT l_suppkey AS run, row_number() OVER (PARTITION BY l_su
 def field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run, i, v, w): quantities, and prices / 1e4 as a second value."""
     w = Window.partitionBy("l_suppkey").orderBy(*ORDER)
-    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run"), (F.row_number().over(w) - 1).cast("long").alias("i"), F.col("l_quantity").alias("v"), (F.col("l_extendedprice") / 1e4).alias("w"))
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.repartition(parts(spark, lines.count()), "l_suppkey").select(F.col("l_suppkey").alias("run"), (F.row_number().over(w) - 1).cast("long").alias("i"), F.col("l_quantity").alias("v"), (F.col("l_extendedprice") / 1e4).alias("w"))
 
 
 PLANE = f"{FIELD}, plane AS (SELECT 0 AS run, run AS i, i AS j, v / 50 AS u, w / 12 AS v FROM field)"
