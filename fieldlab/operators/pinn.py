@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,10 +99,9 @@ def _sums(model: Model, scale: dict[str, float], reaction: Reaction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         normal, slope, loss = np.zeros((n, n)), np.zeros(n), 0.0
         for batch in batches:
-            kind = np.asarray(batch.column("kind").to_pylist(), object)
             x, t, u = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "t", "u"))
             for name, by in scale.items():
-                at = kind == name
+                at = pc.fill_null(pc.equal(batch.column("kind"), name), False).to_numpy(zero_copy_only=False)
                 if at.any():
                     value, jac = evaluate(model, x[at], t[at], name == "pde", reaction)
                     r = value if name == "pde" else value - u[at]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pinn, tiles
 from ..operators.iterate import keep
-from ..session import table
+from ..session import spread, table
 from .bindings import PLANE, plane
 from .registry import query, rounded
 
@@ -53,7 +53,7 @@ def network_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 37 % 1009 / 1009.0).alias("x"), (F.col("p_partkey") * 61 % 997 / 997.0).alias("t"))
     none, zero = F.lit(None).cast("double"), F.lit(0.0)
     rows = [place.select(F.lit("pde").alias("kind"), "x", "t", none.alias("u")), place.select(F.lit("ic"), "x", zero, F.sin(F.pi() * F.col("x"))), place.select(F.lit("bc"), (F.col("id") % 2).cast("double"), "t", zero)]
-    points = keep(rows[0].union(rows[1]).union(rows[2]))
+    points = keep(spread(rows[0].union(rows[1]).union(rows[2])))
     model, _ = pinn.train(points, 0.1, hidden=10, rounds=45, tolerance=1e-6)
     exact = F.exp(-0.1 * F.pi() * F.pi() * F.col("t")) * F.sin(F.pi() * F.col("x"))
     out = model.predict(place)
