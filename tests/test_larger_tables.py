@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldlab import plans
 from fieldlab.operators import linalg, mesh, patterns, reactions, trajectory
-from fieldlab.plans import bindings
+from fieldlab.plans import bindings, planes
 from fieldlab.session import parts
 from fieldlab.sources import files
 
@@ -140,3 +140,12 @@ def test_metrics_of_a_field_stay_on_the_partitions_of_its_lines(spark, tmp_path,
     spark.range(60).selectExpr("id % 4 as l_suppkey", "id as l_orderkey", "cast(1 as int) as l_linenumber", "id as l_partkey", "id * 7 % 5 + 0D as l_quantity", "1D as l_extendedprice", "timestamp'2024-01-01' as l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = patterns.analyze(bindings.field(spark, str(tmp_path)).select("run", "i", "v"))
     assert set(re.findall(r"hashpartitioning\([^)]*, (\d+)\)", plan(got))) == {"9"} and got.count() == 4
+
+
+def test_training_points_are_dealt_to_all_cores(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(planes.pinn, "train", lambda points, *_, **how: (seen.append(points), (planes.pinn.start(how["hidden"], 0.1), []))[1])
+    spark.range(400).selectExpr("id as p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    planes.network_training(spark, str(tmp_path))
+    files = seen[0].select(F.input_file_name().alias("f")).groupBy("f").count().collect()
+    assert len(files) == 4 and {r["count"] for r in files} == {300}
