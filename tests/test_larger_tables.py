@@ -1,7 +1,9 @@
 """Faults that showed on larger tables or odd rows."""
 
 import re
+import time
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import duckdb
 
@@ -77,6 +79,35 @@ def test_closure_joins_nodes_that_reach_each_other(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == expected and (999, 999) in expected
 
 
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def test_closure_leaves_nothing_on_disk_but_what_its_pairs_read(spark):
+    edges = spark.range(4000).selectExpr("id * 7919 % 300 as src", "id * id % 311 as dst")
+    sources = spark.range(0, 300, 10).selectExpr("id as src")
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    states = lambda: {p.name for p in Path(shared, "fieldlab").glob("state-*")}
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    had, files, conf = states(), shuffled(), spark.conf.get(FREE)
+    pairs = reactions.closure(edges, sources)
+    assert states() - had == {Path(f).parent.name for f in pairs.inputFiles()}
+    ends = time.monotonic() + 20
+    while shuffled() - files and time.monotonic() < ends:
+        time.sleep(0.2)
+    assert not shuffled() - files and spark.conf.get(FREE) == conf
+    assert {(r.src, r.dst) for r in pairs.collect()} == {(r.src, r.dst) for r in reactions.reachable(edges, sources).collect()}
+
+
+def test_a_hop_deletes_what_the_last_one_wrote(spark):
+    line = spark.range(12).selectExpr("id as src", "id + 1 as dst")
+    states = lambda: {p.name for p in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"), "fieldlab").glob("state-*")}
+    had = states()
+    pairs = reactions.closure(line, spark.createDataFrame([(0,), (7,)], "src long"))
+    assert len(states() - had) == 4
+    assert sorted((r.src, r.dst) for r in pairs.collect()) == [(0, k) for k in range(13)] + [(7, k) for k in range(7, 13)]
+
+
 def test_csv_parts_follow_the_data_and_stay_in_order(spark, tmp_path):
     before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
     try:
